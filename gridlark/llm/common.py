@@ -71,3 +71,14 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[Column], rows: int, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text and the label columns of at most `rows` labelled documents, chosen by a hash of the id.
+
+    `rows` bounds what is broadcast and what a fit may gather. Labels without an id are left out; of several labels of
+    a document the largest counts."""
+    named = labels.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), *columns)
+    names = [c for c in named.columns if c != "doc_id"]
+    chosen = named.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in names)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).join(F.broadcast(chosen), "doc_id")

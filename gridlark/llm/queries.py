@@ -6,9 +6,12 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridlark.llm import common
+from gridlark.llm.quality import fit_quality, score_quality
 from gridlark.llm.sentencepieces import encode_documents
+from gridlark.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,11 +23,38 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def toxicity_categories() -> dict:
+    """Categories over `labels` in the chain's order: junk text, toxic text, and text unfit for either reason."""
+    junk, toxic = F.col("quality") == 0, F.col("toxic") == 1
+    return {"junk": junk, "toxic": toxic, "unfit": junk | toxic}
+
+
+def scored_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with the struct `toxicity`, by a chain fitted on their labelled rows."""
+    return score_toxicity(docs, fit_toxicity(docs, common.read_table(spark, sf_dir, "labels"), toxicity_categories()))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("toxicity")
+    scored = scored_toxicity(spark, common.read_table(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir)
+    toxic = p["toxic"] >= 0.5
+    return scored.select("doc_id", p["junk"].alias("p_junk"), p["toxic"].alias("p_toxic"), p["unfit"].alias("p_unfit"), toxic.alias("toxic"), (~toxic).alias("kept"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    learnt = common.read_table(spark, sf_dir, "labels").where(common.remainder("doc_id", 5) != 0)
+    scored = score_quality(docs, fit_quality(docs, learnt, F.col("quality")))
+    return scored.select("doc_id", (common.remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(common.read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), output="digest")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op5_sentencepiece": op5_sentencepiece,
 }
 
