@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridlark.llm import common
 from gridlark.llm.exact_dedup import exact_groups
+from gridlark.llm.line_dedup import apply_bitmaps, dedup_lines
 from gridlark.llm.quality import fit_quality, score_quality
 from gridlark.llm.sentencepieces import encode_documents
 from gridlark.llm.toxicity import fit_toxicity, score_toxicity
@@ -57,11 +58,18 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(common.read_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = apply_bitmaps(dedup_lines(docs))
+    return kept.select("doc_id", "kept.n_lines", "kept.n_dropped", F.sha2("kept.text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_exact_dedup": op6_exact_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -69,4 +77,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op10_line_dedup": """
+        WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        lines AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS place, unnest(lines) AS line FROM texts),
+        keys AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+        shared AS (SELECT key, min(doc_id) AS first FROM keys WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) < max(doc_id)),
+        told AS (SELECT k.*, s.first IS NOT NULL AND k.doc_id <> s.first AS lost FROM keys k LEFT JOIN shared s ON k.key = s.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT lost), '')) AS kept_sha256
+        FROM told GROUP BY doc_id""",
 }
