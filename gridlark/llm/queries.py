@@ -13,6 +13,7 @@ from gridlark.llm.exact_dedup import exact_groups
 from gridlark.llm.line_dedup import apply_bitmaps, dedup_lines
 from gridlark.llm.quality import fit_quality, score_quality
 from gridlark.llm.sentencepieces import encode_documents
+from gridlark.llm.simhash import near_duplicates
 from gridlark.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -58,6 +59,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(common.read_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(common.read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = apply_bitmaps(dedup_lines(docs))
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_simhash": op8_simhash,
     "op10_line_dedup": op10_line_dedup,
 }
 
