@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridlark.llm import common
 from gridlark.llm.exact_dedup import exact_groups
+from gridlark.llm.fingerprint import compare_neighbours
 from gridlark.llm.line_dedup import apply_bitmaps, dedup_lines
 from gridlark.llm.quality import fit_quality, score_quality
 from gridlark.llm.sentencepieces import encode_documents
@@ -59,6 +60,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(common.read_table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_neighbours(common.read_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_fingerprint": op7_fingerprint,
     "op8_simhash": op8_simhash,
     "op10_line_dedup": op10_line_dedup,
 }
