@@ -12,6 +12,7 @@ from gridlark.llm import common
 from gridlark.llm.exact_dedup import exact_groups
 from gridlark.llm.fingerprint import compare_neighbours
 from gridlark.llm.line_dedup import apply_bitmaps, dedup_lines
+from gridlark.llm.mixing_lm import score_texts
 from gridlark.llm.quality import fit_quality, score_quality
 from gridlark.llm.sentencepieces import encode_documents
 from gridlark.llm.simhash import near_duplicates
@@ -69,6 +70,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(common.read_table(spark, sf_dir, "documents"), common.remainder("doc_id", 7) == 2)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = apply_bitmaps(dedup_lines(docs))
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_fingerprint": op7_fingerprint,
     "op8_simhash": op8_simhash,
+    "op9_mixing_lm": op9_mixing_lm,
     "op10_line_dedup": op10_line_dedup,
 }
 
