@@ -16,7 +16,9 @@ from gridlark.llm.mixing_lm import score_texts
 from gridlark.llm.quality import fit_quality, score_quality
 from gridlark.llm.sentencepieces import encode_documents
 from gridlark.llm.simhash import near_duplicates
+from gridlark.llm.source_mixing import mix_sources
 from gridlark.llm.toxicity import fit_toxicity, score_toxicity
+from gridlark.llm.training_order import training_order
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,6 +30,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(common.read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", "mix.*")
+
+
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(common.read_table(spark, sf_dir, "documents"))
+
+
 def toxicity_categories() -> dict:
     """Categories over `labels` in the chain's order: junk text, toxic text, and text unfit for either reason."""
     junk, toxic = F.col("quality") == 0, F.col("toxic") == 1
@@ -81,6 +92,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
+    "op2_training_order": op2_training_order,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_sentencepiece": op5_sentencepiece,
