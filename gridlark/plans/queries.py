@@ -1,10 +1,366 @@
-"""The registered queries over arrays held as table columns, and the SQL each must agree with."""
+"""The registered queries over arrays held as table columns, and the SQL each must agree with.
+
+Computed doubles are rounded alike on both sides, as sums depend on the order in which partitions are added up."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gridlark.functions import ufuncs as U
+from gridlark.operators import reduce as R
+from gridlark.operators import scan, sets
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+# Element-wise
+
+def _map(name: str, columns: dict[str, tuple[Callable, str]], source: str = "lineitem", keys: tuple[str, ...] = ("l_orderkey", "l_linenumber", "l_partkey")) -> None:
+    """A query that maps each row of a table; columns: name -> (function of a column getter, SQL), both rounded."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return table(spark, sf_dir, source).select(*keys, *(f(F.col).alias(n) for n, (f, _) in columns.items()))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"SELECT {', '.join(keys)}, {', '.join(f'{s} AS {n}' for n, (_, s) in columns.items())} FROM {source}"
+
+
+_map("ufunc_arithmetic", {
+    "total": (lambda c: r6(U.BINARY["multiply"](c("l_extendedprice"), 1 - c("l_discount")), 4), "round(l_extendedprice * (1 - l_discount), 4)"),
+    "ratio": (lambda c: r6(U.divide(c("l_extendedprice"), c("l_quantity"))), "round(l_extendedprice / l_quantity, 6)"),
+    "by_zero": (lambda c: U.divide(c("l_quantity"), c("l_tax") * 0), "CASE WHEN l_quantity > 0 THEN 'inf'::DOUBLE END"),
+    "floored": (lambda c: U.floor_divide(-c("l_quantity"), F.lit(4.0)), "floor(-l_quantity / 4.0)"),
+    "rest": (lambda c: U.mod(-c("l_quantity"), F.lit(4.0)) + 0.0, "-l_quantity - floor(-l_quantity / 4.0) * 4.0"),
+    "fmod": (lambda c: U.fmod(-c("l_quantity"), F.lit(4.0)) + 0.0, "(floor(l_quantity / 4.0) * 4.0 - l_quantity) + 0.0"),
+    "clipped": (lambda c: U.clip(c("l_quantity"), 10, 40), "least(greatest(l_quantity, 10.0), 40.0)"),
+    "sign": (lambda c: U.sign(c("l_quantity") - 25), "sign(l_quantity - 25)::DOUBLE"),
+    "half_even": (lambda c: U.rint(c("l_quantity") / 2), "round_even(l_quantity / 2, 0)"),
+})
+_map("ufunc_exponential", {
+    "exp": (lambda c: r6(U.UNARY["exp"](c("l_quantity") / 10)), "round(exp(l_quantity / 10), 6)"),
+    "log": (lambda c: r6(U.log(c("l_extendedprice"))), "round(ln(l_extendedprice), 6)"),
+    "log2": (lambda c: r6(U.log2(c("l_extendedprice"))), "round(log2(l_extendedprice), 6)"),
+    "log10": (lambda c: r6(U.log10(c("l_extendedprice"))), "round(log10(l_extendedprice), 6)"),
+    "log_zero": (lambda c: U.log(c("l_quantity") * 0), "'-inf'::DOUBLE"),
+    "log1p": (lambda c: r6(U.log1p(c("l_discount"))), "round(ln(1 + l_discount), 6)"),
+    "sqrt": (lambda c: r6(U.sqrt(c("l_extendedprice"))), "round(sqrt(l_extendedprice), 6)"),
+    "cbrt": (lambda c: r6(U.UNARY["cbrt"](c("l_quantity"))), "round(cbrt(l_quantity), 6)"),
+    "power": (lambda c: r6(U.power(c("l_quantity"), F.lit(1.5))), "round(pow(l_quantity, 1.5), 6)"),
+})
+_map("ufunc_trigonometric", {
+    "sin": (lambda c: r6(U.UNARY["sin"](c("l_quantity"))), "round(sin(l_quantity), 6)"),
+    "cos": (lambda c: r6(U.UNARY["cos"](c("l_quantity"))), "round(cos(l_quantity), 6)"),
+    "arctan2": (lambda c: r6(U.arctan2(c("l_quantity"), c("l_tax") + 1)), "round(atan2(l_quantity, l_tax + 1), 6)"),
+    "hypot": (lambda c: r6(U.BINARY["hypot"](c("l_quantity"), c("l_tax"))), "round(sqrt(l_quantity * l_quantity + l_tax * l_tax), 6)"),
+    "radians": (lambda c: r6(U.UNARY["radians"](c("l_quantity"))), "round(radians(l_quantity), 6)"),
+    "tanh": (lambda c: r6(U.UNARY["tanh"](c("l_discount"))), "round(tanh(l_discount), 6)"),
+})
+_map("ufunc_learning", {
+    "sigmoid": (lambda c: r6(U.sigmoid(c("l_quantity") - 25)), "round(1 / (1 + exp(-(l_quantity - 25))), 6)"),
+    "relu": (lambda c: U.relu(c("l_quantity") - 25), "greatest(l_quantity - 25, 0.0)"),
+    "gelu_tanh": (lambda c: r6(U.gelu_tanh(c("l_quantity") / 25 - 1)), "round(0.5 * (l_quantity / 25 - 1) * (1 + tanh(sqrt(2 / pi()) * ((l_quantity / 25 - 1) + 0.044715 * pow(l_quantity / 25 - 1, 3)))), 6)"),
+    "softplus": (lambda c: r6(U.softplus(c("l_quantity") / 10)), "round(ln(1 + exp(l_quantity / 10)), 6)"),
+    "entr": (lambda c: r6(U.entr(c("l_discount"))), "round(CASE WHEN l_discount = 0 THEN 0.0 ELSE -l_discount * ln(l_discount) END, 6)"),
+})
+_map("ufunc_bits", {
+    "conj": (lambda c: U.BINARY["bitwise_and"](c("l_partkey"), F.lit(255)), "l_partkey & 255"),
+    "disj": (lambda c: U.BINARY["bitwise_or"](c("l_partkey"), F.lit(256)), "l_partkey | 256"),
+    "excl": (lambda c: U.BINARY["bitwise_xor"](c("l_partkey"), F.lit(85)), "xor(l_partkey, 85)"),
+    "shifted": (lambda c: U.left_shift(c("l_partkey"), 33), "l_partkey << 33"),
+    "ones": (lambda c: U.UNARY["bitwise_count"](c("l_partkey")).cast("long"), "bit_count(l_partkey)::BIGINT"),
+    "gcd": (lambda c: U.gcd(c("l_partkey"), c("l_suppkey")), "gcd(l_partkey, l_suppkey)"),
+    "lcm": (lambda c: U.lcm(c("l_partkey"), c("l_suppkey")), "lcm(l_partkey, l_suppkey)"),
+})
+_map("where_select_choose", {
+    "chosen": (lambda c: F.when(c("l_quantity") > 30, c("l_extendedprice")).otherwise(c("l_tax")), "CASE WHEN l_quantity > 30 THEN l_extendedprice ELSE l_tax END"),
+    "selected": (lambda c: F.when(c("l_quantity") < 10, 1).when(c("l_quantity") < 20, 2).otherwise(0).cast("long"), "(CASE WHEN l_quantity < 10 THEN 1 WHEN l_quantity < 20 THEN 2 ELSE 0 END)::BIGINT"),
+    "picked": (lambda c: F.element_at(F.array(c("l_quantity"), c("l_tax"), c("l_discount")), (c("l_linenumber") % 3 + 1).cast("int")), "list_extract([l_quantity, l_tax, l_discount], l_linenumber % 3 + 1)"),
+})
+_map("digitize", {"bin": (lambda c: sets.digitize(c("l_discount"), [0.02, 0.05, 0.08]), "((l_discount >= 0.02)::INT + (l_discount >= 0.05)::INT + (l_discount >= 0.08)::INT)::BIGINT")})
+
+# Reductions
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS total, round(avg(l_extendedprice), 6) AS mean, min(l_extendedprice) AS low, max(l_extendedprice) AS high, max(l_extendedprice) - min(l_extendedprice) AS ptp, count(*) FILTER (WHERE l_tax <> 0) AS nonzero FROM lineitem GROUP BY ALL")
+def reduce_by_axis(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus")
+    p = "l_extendedprice"
+    return df.agg(R.sum_("l_quantity").alias("total"), r6(R.mean(p)).alias("mean"), R.min_(p).alias("low"), R.max_(p).alias("high"), R.ptp(p).alias("ptp"), R.count_nonzero(F.col("l_tax")).alias("nonzero"))
+
+
+@query("SELECT l_suppkey, round(var_pop(l_quantity), 6) AS var, round(stddev_pop(l_quantity), 6) AS std, round(var_samp(l_quantity), 6) AS var1 FROM lineitem GROUP BY ALL")
+def var_std(spark, sf_dir):
+    q = "l_quantity"
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(r6(R.var(q)).alias("var"), r6(R.std(q)).alias("std"), r6(R.var(q, 1)).alias("var1"))
+
+
+@query("SELECT o_custkey, round(product(1 + ln(o_totalprice) / 100), 6) AS prod, bool_or(o_totalprice > 300000) AS any, bool_and(o_totalprice > 1000) AS all FROM orders GROUP BY ALL")
+def prod_any_all(spark, sf_dir):
+    p = F.col("o_totalprice")
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(r6(R.prod(1 + F.log(p) / 100)).alias("prod"), R.any_((p > 300000).cast("int")).alias("any"), R.all_((p > 1000).cast("int")).alias("all"))
+
+
+@query("SELECT l_suppkey, first(l_orderkey * 10 + l_linenumber ORDER BY l_extendedprice, l_orderkey * 10 + l_linenumber) AS lowest, first(l_orderkey * 10 + l_linenumber ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) AS highest FROM lineitem GROUP BY ALL")
+def argmin_argmax(spark, sf_dir):
+    at = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(R.argmin("l_extendedprice", at).alias("lowest"), R.argmax("l_extendedprice", at).alias("highest"))
+
+
+_NAN = "CASE WHEN l_linenumber = 3 THEN NULL ELSE l_extendedprice END"
+
+
+@query(f"SELECT l_suppkey, round(sum({_NAN}), 2) AS nansum, round(avg({_NAN}), 6) AS nanmean, min({_NAN}) AS nanmin, max({_NAN}) AS nanmax, round(median({_NAN}), 6) AS nanmedian, round(stddev_pop({_NAN}), 5) AS nanstd, 'nan'::DOUBLE AS spread FROM lineitem GROUP BY ALL")
+def nan_reductions(spark, sf_dir):
+    v = F.when(F.col("l_linenumber") == 3, float("nan")).otherwise(F.col("l_extendedprice"))
+    n = R.NAN_AWARE
+    digits = {"nansum": 2, "nanmean": 6, "nanmin": 6, "nanmax": 6, "nanmedian": 6, "nanstd": 5}
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(*(r6(n[k](v), d).alias(k) for k, d in digits.items()), R.min_(v).alias("spread"))
+
+
+@query("SELECT l_returnflag, median(l_extendedprice) AS median, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95 FROM lineitem GROUP BY ALL")
+def median_percentile(spark, sf_dir):
+    p = "l_extendedprice"
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(R.median(p).alias("median"), r6(R.quantile(p, 0.1)).alias("p10"), r6(R.quantile(p, 0.95)).alias("p95"))
+
+
+@query("SELECT l_suppkey, quantile_disc(l_quantity, 0.3) AS inverted FROM lineitem GROUP BY ALL")
+def quantile_methods(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(R.quantile("l_quantity", 0.3, "inverted_cdf").alias("inverted"))
+
+
+@query("SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 6) AS average FROM lineitem GROUP BY ALL")
+def average_weighted(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(r6(R.average("l_extendedprice", "l_quantity")).alias("average"))
+
+
+@query("""WITH d AS (SELECT l_returnflag, l_quantity AS x, avg(l_quantity) OVER (PARTITION BY l_returnflag) AS m FROM lineitem)
+SELECT l_returnflag, round(avg(pow(x - m, 3)) / pow(avg(pow(x - m, 2)), 1.5), 6) AS skew, round(avg(pow(x - m, 4)) / pow(avg(pow(x - m, 2)), 2) - 3, 6) AS kurtosis, round(avg(pow(x - m, 2)), 6) AS var FROM d GROUP BY ALL""")
+def moments(spark, sf_dir):
+    m = R.moments("l_quantity")
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*(r6(m[k]).alias(k) for k in ("skew", "kurtosis", "var")))
+
+
+_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_pairs = lambda f: " UNION ALL ".join(f"SELECT {i}::INT AS i, {j}::INT AS j, round({f}({a}::DOUBLE, {b}::DOUBLE), 5) AS v FROM lineitem" for i, a in enumerate(_COLUMNS) for j, b in enumerate(_COLUMNS))
+
+
+@query(_pairs("covar_samp").replace("round(covar_samp(l_extendedprice::DOUBLE, l_extendedprice::DOUBLE), 5)", "round(covar_samp(l_extendedprice::DOUBLE, l_extendedprice::DOUBLE) / 1e6, 5) * 1e6"))
+def cov_matrix(spark, sf_dir):
+    out = R.cov_matrix(table(spark, sf_dir, "lineitem"), _COLUMNS)
+    large = (F.col("i") == 1) & (F.col("j") == 1)
+    return out.select("i", "j", F.when(large, F.round(F.col("v") / 1e6, 5) * 1e6).otherwise(F.round("v", 5)).alias("v"))
+
+
+@query(_pairs("corr"))
+def corr_matrix(spark, sf_dir):
+    return R.cov_matrix(table(spark, sf_dir, "lineitem"), _COLUMNS, correlation=True).select("i", "j", F.round("v", 5).alias("v"))
+
+
+# Sets, counting, histograms
+
+
+@query("""WITH l AS (SELECT min(l_extendedprice) AS a, max(l_extendedprice) AS b FROM lineitem),
+x AS (SELECT least(floor((l_extendedprice - a) / (b - a) * 10), 9)::BIGINT AS bin FROM lineitem, l)
+SELECT r.bin, coalesce(n, 0) AS counts FROM range(10) r(bin) LEFT JOIN (SELECT bin, count(*) AS n FROM x GROUP BY bin) USING (bin)""")
+def histogram_price(spark, sf_dir):
+    return sets.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice").select("bin", F.col("counts").cast("long").alias("counts"))
+
+
+@query("""WITH l AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS c, max(l_extendedprice) AS d FROM lineitem)
+SELECT least(floor((l_quantity - a) / (b - a) * 7), 6)::BIGINT AS x_bin, least(floor((l_extendedprice - c) / (d - c) * 5), 4)::BIGINT AS y_bin, count(*) AS counts FROM lineitem, l GROUP BY ALL""")
+def histogram2d(spark, sf_dir):
+    return sets.histogram2d(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", (7, 5))
+
+
+@query("SELECT r.bin, coalesce(n, 0) AS counts FROM range((SELECT max(l_linenumber) + 1 FROM lineitem)) r(bin) LEFT JOIN (SELECT l_linenumber::BIGINT AS bin, count(*) AS n FROM lineitem GROUP BY 1) USING (bin)")
+def bincount(spark, sf_dir):
+    return sets.bincount(table(spark, sf_dir, "lineitem"), "l_linenumber")
+
+
+@query("SELECT r.bin, round(coalesce(n, 0.0), 2) AS counts FROM range((SELECT max(p_size) + 1 FROM part)) r(bin) LEFT JOIN (SELECT p_size::BIGINT AS bin, sum(p_retailprice) AS n FROM part GROUP BY 1) USING (bin)")
+def bincount_weights(spark, sf_dir):
+    return sets.bincount(table(spark, sf_dir, "part"), "p_size", weights="p_retailprice").select("bin", r6("counts", 2).alias("counts"))
+
+
+@query("SELECT l_shipdate, count(*) AS counts FROM lineitem GROUP BY ALL")
+def unique_counts(spark, sf_dir):
+    return sets.unique(table(spark, sf_dir, "lineitem"), "l_shipdate")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def isin(spark, sf_dir):
+    return sets.isin(table(spark, sf_dir, "orders"), "o_custkey", table(spark, sf_dir, "customer").where("c_acctbal < 0"), "c_custkey").select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def isin_inverted(spark, sf_dir):
+    return sets.isin(table(spark, sf_dir, "orders"), "o_custkey", table(spark, sf_dir, "customer").where("c_acctbal < 0"), "c_custkey", invert=True).select("o_orderkey")
+
+
+def _set_query(name: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        a, b = table(spark, sf_dir, "lineitem").where("l_quantity > 40"), table(spark, sf_dir, "lineitem").where("l_discount > 0.05")
+        return getattr(sets, name)(a, "l_partkey", b, "l_partkey")
+
+    QUERIES[name] = run
+    a, b = "SELECT l_partkey AS value FROM lineitem WHERE l_quantity > 40", "SELECT l_partkey AS value FROM lineitem WHERE l_discount > 0.05"
+    ORACLE_SQL[name] = sql.format(a=f"({a})", b=f"({b})")
+
+
+_set_query("union1d", "{a} UNION {b}")
+_set_query("intersect1d", "{a} INTERSECT {b}")
+_set_query("setdiff1d", "{a} EXCEPT {b}")
+_set_query("setxor1d", "({a} EXCEPT {b}) UNION ({b} EXCEPT {a})")
+
+
+def _binned(statistic: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        return sets.binned_statistic(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", statistic, 8).select("bin", r6(F.col("statistic").cast("double"), 4).alias("statistic"))
+
+    QUERIES[f"binned_statistic_{statistic}"] = run
+    ORACLE_SQL[f"binned_statistic_{statistic}"] = f"""WITH l AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b FROM lineitem)
+SELECT least(floor((l_quantity - a) / (b - a) * 8), 7)::BIGINT AS bin, round({sql}::DOUBLE, 4) AS statistic FROM lineitem, l GROUP BY 1"""
+
+
+for _name, _sql in {"mean": "avg(l_extendedprice)", "sum": "sum(l_extendedprice)", "count": "count(*)", "std": "stddev_pop(l_extendedprice)", "min": "min(l_extendedprice)", "max": "max(l_extendedprice)", "median": "median(l_extendedprice)"}.items():
+    _binned(_name, _sql)
+
+# Order, scans and windows
+
+
+@query("SELECT o_orderkey, round(sum(o_totalprice) OVER (ORDER BY o_orderkey), 2) AS cumsum FROM orders")
+def cumsum(spark, sf_dir):
+    return scan.cumsum(table(spark, sf_dir, "orders"), [F.col("o_orderkey")], F.col("o_totalprice")).select("o_orderkey", r6("cumsum", 2).alias("cumsum"))
+
+
+@query("SELECT p_partkey, round(exp(sum(ln(1 + p_size / 1e6)) OVER (ORDER BY p_partkey)), 5) AS cumprod FROM part")
+def cumprod(spark, sf_dir):
+    return scan.cumprod(table(spark, sf_dir, "part"), [F.col("p_partkey")], 1 + F.col("p_size") / 1e6).select("p_partkey", r6("cumprod", 5).alias("cumprod"))
+
+
+@query("SELECT o_orderkey, max(o_totalprice) OVER (ORDER BY o_orderkey) AS cummax FROM orders")
+def cummax(spark, sf_dir):
+    return scan.cummax(table(spark, sf_dir, "orders"), [F.col("o_orderkey")], F.col("o_totalprice")).select("o_orderkey", "cummax")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i FROM orders")
+def argsort(spark, sf_dir):
+    return scan.with_index(table(spark, sf_dir, "orders"), [F.col("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey", "i")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_custkey DESC, o_orderkey) - 1 AS i FROM orders")
+def lexsort(spark, sf_dir):
+    return scan.with_index(table(spark, sf_dir, "orders"), [F.col("o_orderpriority"), F.col("o_custkey").desc(), F.col("o_orderkey")]).select("o_orderkey", "i")
+
+
+_RANKS = {"average": "(rank() OVER w + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0)::DOUBLE", "min": "rank() OVER w", "max": "rank() OVER w + count(*) OVER (PARTITION BY l_quantity) - 1", "dense": "dense_rank() OVER w"}
+
+
+def _rank(method: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        return scan.rankdata(table(spark, sf_dir, "lineitem"), "l_quantity", "rank", method).select("l_orderkey", "l_linenumber", "l_partkey", "rank")
+
+    QUERIES[f"rankdata_{method}"] = run
+    ORACLE_SQL[f"rankdata_{method}"] = f"SELECT l_orderkey, l_linenumber, l_partkey, {sql} AS rank FROM lineitem WINDOW w AS (ORDER BY l_quantity)"
+
+
+for _name, _sql in _RANKS.items():
+    _rank(_name, _sql)
+
+
+@query("SELECT DISTINCT l_quantity, round(cume_dist() OVER (ORDER BY l_quantity), 9) AS ecdf FROM lineitem")
+def ecdf(spark, sf_dir):
+    return scan.ecdf(table(spark, sf_dir, "lineitem"), "l_quantity").select("l_quantity", r6("ecdf", 9).alias("ecdf"))
+
+
+@query("SELECT o_orderkey, (SELECT count(*) FROM (SELECT DISTINCT c_acctbal * 40 AS e FROM customer) WHERE e < o_totalprice) AS i FROM orders")
+def searchsorted(spark, sf_dir):
+    edges = table(spark, sf_dir, "customer").select((F.col("c_acctbal") * 40).alias("e")).distinct()
+    return scan.searchsorted(edges, "e", table(spark, sf_dir, "orders"), "o_totalprice").select("o_orderkey", "i")
+
+
+def seconds(ts: str):
+    """Seconds since 1970 of a time without a zone, whatever the session's zone is."""
+    return F.expr(f"cast(cast({ts} - TIMESTAMP_NTZ '1970-01-01 00:00:00' as interval second) as decimal(18, 6))").cast("double")
+
+
+def _by_user():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+@query("SELECT event_id, round(value - lag(value) OVER w, 6) AS diff, round(value - 2 * lag(value) OVER w + lag(value, 2) OVER w, 6) AS diff2, round(sum(value) OVER w, 4) AS running FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def diff_by_user(spark, sf_dir):
+    w, v = _by_user(), F.col("value")
+    first = table(spark, sf_dir, "events").withColumn("d1", scan.diff(v, w))
+    return first.select("event_id", r6("d1").alias("diff"), r6(F.col("d1") - F.lag("d1").over(w)).alias("diff2"), r6(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 4).alias("running"))
+
+
+@query("""WITH d AS (SELECT *, epoch_us(ts) / 1e6 AS x FROM events), e AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b, x - lag(x) OVER w AS h, lead(x) OVER w - x AS k FROM d WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, round(CASE WHEN a IS NULL THEN (b - value) / k WHEN b IS NULL THEN (value - a) / h ELSE (h * h * b + (k * k - h * h) * value - k * k * a) / (h * k * (h + k)) END, 4) AS gradient FROM e""")
+def gradient(spark, sf_dir):
+    x = seconds("ts")
+    return table(spark, sf_dir, "events").withColumn("x", x).select("event_id", r6(scan.gradient(F.col("value"), F.col("x"), _by_user()), 4).alias("gradient"))
+
+
+@query("SELECT user_id, round(sum((x - px) * (value + pv) / 2), 3) AS area FROM (SELECT user_id, value, epoch_us(ts) / 1e6 AS x, lag(value) OVER w AS pv, lag(epoch_us(ts) / 1e6) OVER w AS px FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) GROUP BY ALL")
+def trapezoid(spark, sf_dir):
+    w, x = _by_user(), seconds("ts")
+    df = table(spark, sf_dir, "events").select("user_id", ((x - F.lag(x).over(w)) * (F.col("value") + F.lag("value").over(w)) / 2).alias("a"))
+    return df.groupBy("user_id").agg(r6(F.sum("a"), 3).alias("area"))
+
+
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS uniform, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS minimum, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS maximum, median(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS median FROM events")
+def moving_filters(spark, sf_dir):
+    w, v = _by_user().rowsBetween(-2, 2), F.col("value")
+    return table(spark, sf_dir, "events").select("event_id", r6(F.avg(v).over(w)).alias("uniform"), F.min(v).over(w).alias("minimum"), F.max(v).over(w).alias("maximum"), F.percentile(v, 0.5).over(w).alias("median"))
+
+
+@query("SELECT event_id, round(0.5 * value + 0.3 * coalesce(lag(value) OVER w, 0) + 0.2 * coalesce(lag(value, 2) OVER w, 0), 6) AS y FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def convolve_fir(spark, sf_dir):
+    w = _by_user()
+    y = sum((k * F.coalesce(F.lag("value", i).over(w), F.lit(0.0)) for i, k in enumerate((0.5, 0.3, 0.2))), F.lit(0.0))
+    return table(spark, sf_dir, "events").select("event_id", r6(y).alias("y"))
+
+
+@query("SELECT e.event_id, p.value AS last_purchase FROM events e ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts")
+def asof_join(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    right = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("last_purchase"))
+    return scan.asof(e.select("event_id", "user_id", "ts"), right, "ts", ["user_id"], ["last_purchase"]).select("event_id", "last_purchase")
+
+
+@query("""WITH k AS (SELECT p_partkey::DOUBLE AS x, p_retailprice AS y FROM part WHERE p_partkey % 50 = 0), q AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey < (SELECT max(x) FROM k))
+SELECT l_partkey, round(a.y + (b.y - a.y) * (l_partkey - a.x) / (b.x - a.x), 6) AS y FROM q ASOF JOIN k a ON l_partkey >= a.x JOIN k b ON b.x = a.x + 50""")
+def interp(spark, sf_dir):
+    knots = table(spark, sf_dir, "part").where("p_partkey % 50 = 0")
+    top = F.broadcast(knots.agg(F.max("p_partkey").alias("top")))
+    points = table(spark, sf_dir, "lineitem").select("l_partkey").distinct().crossJoin(top).where("l_partkey < top").select("l_partkey")
+    return scan.interp(points, knots, "l_partkey", "p_partkey", "p_retailprice").select("l_partkey", r6("y").alias("y"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def partition_topk(spark, sf_dir):
+    return table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100).select("o_orderkey", "o_totalprice")
