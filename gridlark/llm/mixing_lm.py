@@ -44,11 +44,13 @@ _MIX = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35))
 
 
 class Codes:
-    """Huffman codes of symbols 0..n-1: for each its inner nodes from the root down, and the bit taken there."""
+    """Huffman codes of symbols 0..n-1: for each its inner nodes from the root down, and the bit taken there.
+
+    Pickled as the tree alone, of which the codes are made again where they are used."""
 
     def __init__(self, counts: np.ndarray):
         n = len(counts)
-        parent, side = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.uint8)
+        parent, side = np.zeros(2 * n, np.int32), np.zeros(2 * n, np.uint8)
         total = np.concatenate([np.asarray(counts, np.int64), np.zeros(n, np.int64)])
         heap = [(int(c), i) for i, c in enumerate(counts)]
         heapq.heapify(heap)
@@ -60,36 +62,37 @@ class Codes:
             total[top] = a[0] + b[0]
             heapq.heappush(heap, (a[0] + b[0], top))
             top += 1
-        root = heap[0][1]
-        self.n_nodes = max(top - n, 1)
-        steps, at = [], np.arange(n)
-        alive = np.ones(n, bool)
+        ones = np.zeros(n)
+        np.add.at(ones, parent[:top][side[:top] > 0] - n, total[:top][side[:top] > 0].astype(float))
+        self.odds = np.log((ones + 0.4) / (total[n:] - ones + 0.4)).astype(np.float32)[: max(top - n, 1)]
+        self.__setstate__((parent, side, heap[0][1], self.odds))
+
+    def __getstate__(self):
+        return self.tree
+
+    def __setstate__(self, tree) -> None:
+        self.tree = parent, side, root, self.odds = tree
+        n = len(parent) // 2
+        steps, at, alive = [], np.arange(n, dtype=np.int32), np.ones(n, bool)
         while (alive := alive & (at != root)).any():
-            steps.append((np.where(alive, parent[at] - n, -1), np.where(alive, side[at], 0)))
+            steps.append(np.where(alive, (parent[at] - n) * 2 + side[at], -1).astype(np.int32))
             at = np.where(alive, parent[at], at)
-        self.length = np.zeros(n, np.int64)
-        for node, _ in steps:
-            self.length += node >= 0
+        self.length = sum(((s >= 0).astype(np.int64) for s in steps), np.zeros(n, np.int64))
         self.start = np.concatenate([[0], np.cumsum(self.length)])
-        self.node, self.bit = np.zeros(self.start[-1], np.int32), np.zeros(self.start[-1], np.uint8)
-        for k, (node, bit) in enumerate(steps):  # steps go upward from the leaf
-            own = np.flatnonzero(node >= 0)
-            place = self.start[own] + self.length[own] - 1 - k
-            self.node[place], self.bit[place] = node[own], bit[own]
-        ones = np.zeros(self.n_nodes)
-        both = np.zeros(self.n_nodes)
-        np.add.at(ones, self.node, np.repeat(counts, self.length) * self.bit)
-        np.add.at(both, self.node, np.repeat(counts, self.length))
-        p = (ones + 0.4) / (both + 0.8)
-        self.odds = np.log(p / (1 - p)).astype(np.float32)
+        self.code = np.zeros(self.start[-1], np.int32)  # node * 2 + bit
+        for k, s in enumerate(steps):  # steps go upward from the leaf
+            own = np.flatnonzero(s >= 0)
+            self.code[self.start[own] + self.length[own] - 1 - k] = s[own]
 
     def expand(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """node, bit, and the symbol's place, for each bit of the symbols' codes in turn."""
         n = self.length[symbols]
         which = np.repeat(np.arange(len(symbols), dtype=np.int32), n)
-        first = self.start[symbols] - (np.cumsum(n) - n)
-        at = np.repeat(first, n) + np.arange(int(n.sum()))
-        return self.node[at], self.bit[at], which
+        first = (self.start[symbols] - (np.cumsum(n) - n)).astype(np.int32)
+        at = first[which]
+        at += np.arange(len(which), dtype=np.int32)
+        code = self.code[at]
+        return code >> 1, (code & 1).astype(np.uint8), which
 
 
 def slot(node: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -106,7 +109,7 @@ class Lexicon:
 
     def __init__(self, listed: list[bytes], counts: list[int], rare: int):
         self.words = {w: i for i, w in enumerate(listed)}
-        self.escape = len(listed)
+        self.escape = len(listed)  # of the symbols the last
         self.codes = Codes(np.append(np.array(counts, np.int64), max(rare, 1)))
 
     def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -129,16 +132,15 @@ class Lexicon:
         return [slot(base, ((c.astype(np.uint32) * np.uint32(8) + np.uint32(k)) * _MIX[1])[token]) for k, c in enumerate(contexts)]
 
 
-def context_counts(lexicon: Lexicon, texts: list[str | None]) -> np.ndarray:
-    """How often each slot's bit was 0 and 1: an array of 2 * SLOTS."""
+def count_contexts(lexicon: Lexicon, texts: list[str | None], out: np.ndarray) -> None:
+    """Add to `out` (2 * SLOTS) how often each slot's bit was 0 and 1."""
     ids, n, _ = lexicon.tokens(texts)
-    contexts, out = lexicon.contexts(ids, n), np.zeros(2 * SLOTS, np.int64)
+    contexts = lexicon.contexts(ids, n)
     for i in range(0, len(ids), AT_ONCE):
         part = slice(i, i + AT_ONCE)
         node, bit, token = lexicon.codes.expand(ids[part])
         for s in lexicon.slots(node, token, [c[part] for c in contexts]):
-            out += np.bincount((s << 1) + bit, minlength=2 * SLOTS)
-    return out
+            np.add.at(out, (s << 1) + bit, np.int64(1))
 
 
 #: Tokens whose bits are laid out at once.
@@ -165,10 +167,10 @@ def first_weights() -> np.ndarray:
 
 
 class Model:
-    def __init__(self, lexicon: Lexicon, odds: np.ndarray, step: np.ndarray, rate: float = 0.02, refine: float = 0.02):
-        """odds, step: of each slot, as from weighed()."""
+    def __init__(self, lexicon: Lexicon, odds: np.ndarray, step: np.ndarray, rate: float = 0.01, refine: float = 0.005):
+        """odds, step: of each slot, as from weighed(). The step goes in the odds' two lowest bits: one look-up gives both."""
         self.lexicon, self.rate, self.refine = lexicon, np.float32(rate), np.float32(refine)
-        self.odds, self.step, self.start = odds, step, first_weights().astype(np.float32)
+        self.packed, self.start = odds.view(np.int32) & ~3 | step, first_weights().astype(np.float32)
 
     def score(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Natural log probability of each text's symbols. ids, n: as from Lexicon.tokens."""
@@ -191,9 +193,10 @@ class Model:
             part = slice(edges[r], edges[stop])
             node, bits, token = lex.codes.expand(ids[part])
             s1, s2 = lex.slots(node, token, [c[part] for c in contexts])
-            odds = lex.codes.odds[node], self.odds[s1], self.odds[s2]
+            p1, p2 = self.packed[s1], self.packed[s2]
+            odds = lex.codes.odds[node], p1.view(np.float32), p2.view(np.float32)
             docs = doc[part][token]
-            keys = docs * np.int32(16) + self.step[s1] * np.uint8(4) + self.step[s2]
+            keys = (docs << 4) + ((p1 & 3) << 2) + (p2 & 3)
             ends = np.concatenate([[0], np.cumsum(lex.codes.length[ids[part]])])[edges[r : stop + 1] - edges[r]]
             for k in range(stop - r):
                 at = slice(ends[k], ends[k + 1])
@@ -209,11 +212,12 @@ class Model:
                 known = table[own]
                 true = bit.astype(np.float32)
                 final = np.float32(0.85) * p + np.float32(0.15) * known
-                total[:live] += np.bincount(d, np.log(np.abs(final + true - 1)), live)
+                np.add.at(total, d, np.log(np.abs(final + true - 1)).astype(np.float64))
                 err = (true - p) * self.rate
                 for w, o in zip(weights, (o0, o1, o2)):
-                    w[: live * 16] += np.bincount(key, err * o, live * 16)
-                table[: live * BINS] += self.refine * np.clip(np.bincount(own, true - known, live * BINS), -8, 8)
+                    np.add.at(w, key, err * o)
+                np.add.at(table, own, self.refine * (true - known))
+                np.clip(seen := table[: live * BINS], 0.001, 0.999, out=seen)
             r = stop
         np.clip(total, None, 0, out=total)
         return total[place]
@@ -249,11 +253,10 @@ def slot_tables(texts: DataFrame, held) -> tuple[np.ndarray, np.ndarray]:
     sums are weighed where they are made, so the driver gets five bytes a slot whatever the data's size."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = np.zeros(2 * SLOTS, np.int64)
         for b in blocks(batches):
-            c = context_counts(held.value, b.column("text").to_pylist())
-            total = c if total is None else total + c
-        for k, part in enumerate(total.reshape(-1, 2 * SLOT_BLOCK)) if total is not None else ():
+            count_contexts(held.value, b.column("text").to_pylist(), total)
+        for k, part in enumerate(total.reshape(-1, 2 * SLOT_BLOCK)):
             if part.any():
                 kind = np.min_scalar_type(int(part.max()))
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([kind.str]), pa.array([part.astype(kind).tobytes()], pa.binary())], ["block", "kind", "counts"])
@@ -299,11 +302,11 @@ def score_texts(df: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text
     # Broadcasts of a fixed size: LEXICON words with their codes, SLOTS slots.
     lexicon = Lexicon([w for _, w in listed], [n for n, _ in listed], rare)
     held = sc.broadcast(lexicon)
-    model = sc.broadcast(Model(lexicon, *slot_tables(seen, held)))
+    tables = sc.broadcast(slot_tables(seen, held))
     head = sc.broadcast(np.append(np.log10((np.array([n for n, _ in listed], float) + 1) / (n_all + v_all + 1)), 0.0))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, base = model.value, head.value
+        m, base = Model(held.value, *tables.value), head.value
         for b in blocks(batches):
             texts = b.column("text").to_pylist()
             ids, n, flat = m.lexicon.tokens(texts)
@@ -318,6 +321,8 @@ def score_texts(df: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text
 
     each = docs.mapInArrow(scored, f"doc_id {kind}, held_out boolean, n_tokens long, base double, score double, n_bytes long, tail array<binary>")
     each = durable(each.withColumn("row", F.monotonically_increasing_id()))
+    for b in (held, tables, head):  # what was scored is kept for good; the copies on the executors' disks can go
+        b.destroy()
     # Words of the tail are rare, so no key of this join is hot.
     tails = each.select("row", F.explode("tail").alias("word")).join(counts.where(level < cut), "word", "left")
     sums = tails.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0))).alias("share"), F.count("n").alias("known"), F.count(F.lit(1)).alias("rare"))
