@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gridlark.llm.common import BLOCK_BYTES, Memo, labelled_sample, words
 
-TERM_BITS = 22
+TERM_BITS = 20
 LETTERS = re.compile(rb"[a-z\x80-\xff]+")
 SIGNS = re.compile(rb"[^a-z\x80-\xff]+")
 
@@ -94,15 +94,17 @@ def fit_chain(doc_terms: list[np.ndarray], labels: np.ndarray, categories: list[
     model = ChainModel(categories, {}, np.zeros((c, 0)), np.zeros((c, c)), np.full(c, -12.0))
     if not n:
         return model
-    row = np.repeat(np.arange(n), [len(t) for t in doc_terms])
-    term = np.concatenate(doc_terms).astype(np.int64) if len(row) else np.zeros(0, np.int64)
     size = 1 << TERM_BITS
-    seen, chosen = np.bincount(term, minlength=size), set()
+    # Document by document: all documents' terms are never laid side by side.
+    seen, with_pos, chosen = np.zeros(size), np.zeros((c, size)), set()
+    for terms, own in zip(doc_terms, labels):
+        seen[terms] += 1
+        for k in np.flatnonzero(own):
+            with_pos[k, terms] += 1
     for k in range(c):
         pos = labels[:, k].sum()
         if 0 < pos < n:
-            with_pos = np.bincount(term, labels[row, k], size)
-            cells, g = [(with_pos, pos), (seen - with_pos, n - pos)], np.zeros(size)
+            cells, g = [(with_pos[k], pos), (seen - with_pos[k], n - pos)], np.zeros(size)
             for have, of in cells:
                 for obs, exp in ((have, seen * of / n), (of - have, (n - seen) * of / n)):
                     g += 2 * np.where(obs > 0, obs * np.log(np.maximum(obs, 1e-9) / np.maximum(exp, 1e-9)), 0)
@@ -110,10 +112,11 @@ def fit_chain(doc_terms: list[np.ndarray], labels: np.ndarray, categories: list[
             best = np.argsort(-g, kind="stable")[: n_terms // c]
             chosen |= set(best[g[best] > 12].tolist())
     model.terms = {t: i for i, t in enumerate(sorted(chosen))}
-    place = np.full(size, -1)
+    place = np.full(size, -1, np.int32)
     place[list(model.terms)] = list(model.terms.values())
-    keep = place[term] >= 0
-    row, col, n_col = row[keep], place[term[keep]], len(model.terms)
+    del seen, with_pos
+    places = [(p := place[t])[p >= 0] for t in doc_terms]
+    row, col, n_col = np.repeat(np.arange(n), [len(p) for p in places]), np.concatenate([np.zeros(0, np.int32), *places]), len(model.terms)
     model.weights = np.zeros((c, n_col))
     fold, odds = np.arange(n) % folds, np.zeros((n, c))
     for k in range(c):
