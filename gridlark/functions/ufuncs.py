@@ -42,15 +42,14 @@ def _within(x: Column, ok: Column, inside: Column, edge: Column | None = None, a
 
 
 def divide(x, y) -> Column:
+    """x / y; by a signed zero it is x times that zero's signed infinity, so NaN for 0 / 0."""
     x, y = _d(x), _d(y)
-    signed = F.when(negative_zero(y), -x).otherwise(x)
-    zero = F.when(F.isnan(x) | (x == 0), _nan()).when(signed > 0, _inf()).otherwise(-_inf())
-    return F.when(x.isNull() | y.isNull(), None).when(_any_nan(x, y), _nan()).when(y == 0, zero).otherwise(x / F.when(y == 0, 1.0).otherwise(y))
+    return F.when(y == 0, x * F.pow(y, F.lit(-1.0))).otherwise(x / F.when(y == 0, 1.0).otherwise(y))
 
 
 def negative_zero(x: Column) -> Column:
-    """Whether x is -0.0. Text tells the zeros apart, as comparison doesn't."""
-    return (x == 0) & F.startswith(x.cast("string"), F.lit("-"))
+    """Whether x is -0.0. Its power of -1 tells the zeros apart, as comparison doesn't."""
+    return (x == 0) & (F.pow(x, F.lit(-1.0)) < 0)
 
 
 def signbit(x) -> Column:
@@ -76,20 +75,21 @@ def trunc(x) -> Column:
 def fmod(x, y) -> Column:
     """Remainder with the sign of x."""
     x, y = _d(x), _d(y)
-    bad = _any_nan(x, y) | (y == 0) | (F.abs(x) == _inf())
-    return F.when(x.isNull() | y.isNull(), None).when(bad, _nan()).when(F.abs(y) == _inf(), x).otherwise(x % F.when(bad, 1.0).otherwise(y))
+    return F.when(y == 0, x * _nan()).otherwise(x % F.when(y == 0, 1.0).otherwise(y))
 
 
 def mod(x, y) -> Column:
     """Remainder with the sign of y."""
     y = _d(y)
     r = fmod(x, y)
-    return F.when((r != 0) & ~F.isnan(r) & (F.signum(r) != F.signum(y)), r + y).otherwise(r)
+    return r + F.when((r != 0) & ((r < 0) != (y < 0)), y).otherwise(0.0)
 
 
 def floor_divide(x, y) -> Column:
     x, y = _d(x), _d(y)
-    return F.when((y == 0) | _any_nan(x, y), divide(x, y)).otherwise(floor_double(divide(x - mod(x, y), y) + 0.0 * y))
+    finite = F.when((y == 0) | (F.abs(y) == _inf()), 1.0).otherwise(y)
+    far = F.when(F.abs(x) == _inf(), _nan()).when((x == 0) | ((x < 0) == (y < 0)), x * 0.0).otherwise(x * 0.0 - 1.0)
+    return F.when(y == 0, divide(x, y)).when(F.abs(y) == _inf(), far).otherwise(F.rint((x - mod(x, finite)) / finite))
 
 
 def power(x, y) -> Column:

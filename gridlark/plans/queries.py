@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlark.functions import ufuncs as U
+from gridlark.operators import graph, scan, sets, spatial, stats
 from gridlark.operators import reduce as R
-from gridlark.operators import scan, sets
+from gridlark.operators.nd import NDFrame, einsum
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -364,3 +365,296 @@ def interp(spark, sf_dir):
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def partition_topk(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100).select("o_orderkey", "o_totalprice")
+
+
+# Arrays in long form
+
+def _matrix(spark: SparkSession, sf_dir: str) -> NDFrame:
+    """Embeddings as a matrix in long form."""
+    df = table(spark, sf_dir, "embeddings")
+    n, w = df.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    return NDFrame.from_cells(df, "vec_id", "embedding", w, n)
+
+
+_LONG = "m AS (SELECT vec_id AS i0, unnest(range(len(embedding))) AS i1, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+
+
+@query(f"WITH {_LONG} SELECT (i0 - 10) // 3 AS i0, i1, v FROM m WHERE i0 >= 10 AND i0 < 100 AND (i0 - 10) % 3 = 0 AND i1 < 8")
+def nd_slice(spark, sf_dir):
+    return _matrix(spark, sf_dir)[10:100:3, :8].df
+
+
+@query(f"WITH {_LONG} SELECT i1 AS i0, i0 AS i1, v FROM m")
+def nd_transpose(spark, sf_dir):
+    return _matrix(spark, sf_dir).transpose().df
+
+
+@query(f"WITH {_LONG}, w AS (SELECT max(i1) + 1 AS w FROM m) SELECT (i0 * w + i1) // 16 AS i0, (i0 * w + i1) % 16 AS i1, v FROM m, w")
+def nd_reshape(spark, sf_dir):
+    return _matrix(spark, sf_dir).reshape(-1, 16).df
+
+
+@query(f"WITH {_LONG}, c AS (SELECT i1, avg(v) AS a FROM m GROUP BY i1) SELECT i0, i1, round(v - a, 6) AS v FROM m JOIN c USING (i1)")
+def nd_broadcast_subtract(spark, sf_dir):
+    m = _matrix(spark, sf_dir)
+    return (m - m.reduce(F.avg, 0)).map(r6).df
+
+
+@query(f"WITH {_LONG} SELECT i1 AS i0, round(sqrt(sum(v * v)), 6) AS v FROM m GROUP BY i1")
+def nd_axis_norm(spark, sf_dir):
+    return _matrix(spark, sf_dir).map("square").reduce(F.sum, 0).map("sqrt").map(r6).df
+
+
+@query(f"WITH {_LONG} SELECT a.i1 AS i0, b.i1, round(sum(a.v * b.v), 5) AS v FROM m a JOIN m b USING (i0) GROUP BY a.i1, b.i1")
+def nd_gram_matmul(spark, sf_dir):
+    m = _matrix(spark, sf_dir)
+    return m.transpose().matmul(m).map(lambda v: F.round(v, 5)).df
+
+
+@query(f"WITH {_LONG} SELECT round(sum(v * v), 5) AS v FROM m")
+def nd_einsum_full(spark, sf_dir):
+    m = _matrix(spark, sf_dir)
+    return einsum("ij,ij->", m, m).map(lambda v: F.round(v, 5)).df
+
+
+@query(f"WITH {_LONG} SELECT i0, (i1 + 3) % (SELECT max(i1) + 1 FROM m) AS i1, v FROM m WHERE i0 < 50")
+def nd_roll(spark, sf_dir):
+    return _matrix(spark, sf_dir)[:50].roll(3).df
+
+
+@query(f"WITH {_LONG} SELECT i0, i1, v FROM m WHERE i0 < 20 UNION ALL SELECT i0 + 20, i1, v FROM m WHERE i0 < 5")
+def nd_concatenate(spark, sf_dir):
+    m = _matrix(spark, sf_dir)
+    return NDFrame.concatenate([m[:20], m[:5]]).df
+
+
+@query(f"WITH {_LONG} SELECT row_number() OVER (ORDER BY i0, i1) - 1 AS i0, v FROM m WHERE v > 0.3")
+def nd_mask(spark, sf_dir):
+    m = _matrix(spark, sf_dir)
+    return m[m.map(lambda v: v > 0.3)].df
+
+
+@query("SELECT i AS i0, j AS i1, (CASE WHEN i + 1 = j THEN 1 ELSE 0 END)::DOUBLE AS v FROM range(30) a(i), range(40) b(j)")
+def nd_eye(spark, sf_dir):
+    return NDFrame.eye(spark, 30, 40, 1).df
+
+
+@query("SELECT i AS i0, round(2 + i * 0.25::DOUBLE, 9) AS v FROM range(41) a(i)")
+def nd_linspace(spark, sf_dir):
+    return NDFrame.linspace(spark, 2, 12, 41).map(lambda v: F.round(v, 9)).df
+
+
+# Statistics
+
+
+def _row(spark: SparkSession, values: dict[str, float], digits: int = 6) -> DataFrame:
+    return spark.createDataFrame([tuple(round(float(v), digits) for v in values.values())], ", ".join(f"{k} double" for k in values))
+
+
+@query("SELECT count(l_quantity) AS nobs, min(l_quantity) AS min, max(l_quantity) AS max, round(avg(l_quantity), 6) AS mean, round(var_samp(l_quantity), 6) AS variance FROM lineitem")
+def describe(spark, sf_dir):
+    return stats.describe(table(spark, sf_dir, "lineitem"), "l_quantity").select("nobs", "min", "max", r6("mean").alias("mean"), r6("variance").alias("variance"))
+
+
+@query("SELECT o_orderkey, round((o_totalprice - (SELECT avg(o_totalprice) FROM orders)) / (SELECT stddev_pop(o_totalprice) FROM orders), 6) AS z FROM orders")
+def zscore(spark, sf_dir):
+    return stats.standardise(table(spark, sf_dir, "orders"), "o_totalprice").select("o_orderkey", r6("z").alias("z"))
+
+
+_AGG = {"gmean": "exp(avg(ln(l_extendedprice)))", "hmean": "count(*) / sum(1 / l_extendedprice)", "sem": "stddev_samp(l_extendedprice) / sqrt(count(*))", "variation": "stddev_pop(l_extendedprice) / avg(l_extendedprice)", "iqr": "quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)", "gstd": "exp(stddev_samp(ln(l_extendedprice)))"}
+
+
+@query(f"SELECT l_returnflag, {', '.join(f'round({s}, 5) AS {k}' for k, s in _AGG.items())} FROM lineitem GROUP BY ALL")
+def summary_statistics(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*(r6(stats.AGGREGATES[k](F.col("l_extendedprice")), 5).alias(k) for k in _AGG))
+
+
+@query("WITH c AS (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY p_brand ORDER BY n DESC) AS r FROM c) SELECT p_brand, min(p_size) AS mode FROM r WHERE r = 1 GROUP BY p_brand")
+def mode(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(stats.AGGREGATES["mode"](F.col("p_size")).alias("mode"))
+
+
+@query("WITH m AS (SELECT l_returnflag, median(l_extendedprice) AS md FROM lineitem GROUP BY ALL) SELECT l_returnflag, round(median(abs(l_extendedprice - md)), 5) AS mad FROM lineitem JOIN m USING (l_returnflag) GROUP BY ALL")
+def median_abs_deviation(spark, sf_dir):
+    return stats.median_abs_deviation(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"]).select("l_returnflag", F.round("mad", 5).alias("mad"))
+
+
+@query("SELECT round(regr_slope(l_extendedprice, l_quantity), 5) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(corr(l_extendedprice, l_quantity), 6) AS rvalue FROM lineitem")
+def linregress(spark, sf_dir):
+    fit = stats.linregress(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
+    return spark.createDataFrame([(round(fit["slope"], 5), round(fit["intercept"], 4), round(fit["rvalue"], 6))], "slope double, intercept double, rvalue double")
+
+
+@query("SELECT round(corr(l_extendedprice, l_discount), 6) AS r FROM lineitem")
+def pearsonr(spark, sf_dir):
+    return _row(spark, {"r": stats.pearsonr(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_discount")[0]})
+
+
+@query("WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS b FROM lineitem) SELECT round(corr(a, b), 6) AS rho FROM r")
+def spearmanr(spark, sf_dir):
+    return _row(spark, {"rho": stats.spearmanr(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")[0]})
+
+
+_PART = "(SELECT count(*) AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v FROM lineitem WHERE l_returnflag = '{}')"
+
+
+@query(f"SELECT round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t FROM {_PART.format('A')} a, {_PART.format('R')} b")
+def ttest_welch(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    return _row(spark, {"t": stats.ttest_ind(df.where("l_returnflag = 'A'"), "l_extendedprice", df.where("l_returnflag = 'R'"), "l_extendedprice", equal_var=False)[0]})
+
+
+@query("SELECT round((avg(l_quantity) - 25) / (stddev_samp(l_quantity) / sqrt(count(*))), 6) AS t FROM lineitem")
+def ttest_1samp(spark, sf_dir):
+    return _row(spark, {"t": stats.ttest_1samp(table(spark, sf_dir, "lineitem"), "l_quantity", 25.0)[0]})
+
+
+@query("""WITH g AS (SELECT l_returnflag, count(*) AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v FROM lineitem GROUP BY 1)
+SELECT round(((sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))), 5) AS f FROM g""")
+def f_oneway(spark, sf_dir):
+    return _row(spark, {"f": stats.f_oneway(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice")[0]}, 5)
+
+
+@query("""WITH r AS (SELECT l_returnflag AS g, l_quantity AS x, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS r FROM lineitem),
+g AS (SELECT sum(r) AS s, count(*) AS n FROM r GROUP BY g), t AS (SELECT sum(c * c * c - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY x)), n AS (SELECT sum(n)::DOUBLE AS n FROM g)
+SELECT round((12 / (n.n * (n.n + 1)) * sum(s * s / g.n) - 3 * (n.n + 1)) / (1 - t / (n.n * n.n * n.n - n.n)), 5) AS h FROM g, t, n GROUP BY n.n, t""")
+def kruskal(spark, sf_dir):
+    return _row(spark, {"h": stats.kruskal(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity")[0]}, 5)
+
+
+@query("""WITH r AS (SELECT l_returnflag AS g, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS r FROM lineitem WHERE l_returnflag IN ('A', 'R'))
+SELECT round(sum(r) - count(*) * (count(*) + 1) / 2.0, 3) AS u FROM r WHERE g = 'A'""")
+def mannwhitneyu(spark, sf_dir):
+    return _row(spark, {"u": stats.mannwhitneyu(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "A", "R")[0]}, 3)
+
+
+@query("""WITH o AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY ALL), e AS (SELECT a, b, n, sum(n) OVER (PARTITION BY a) * sum(n) OVER (PARTITION BY b) / sum(n) OVER () AS e FROM o)
+SELECT round(sum((n - e) * (n - e) / e), 5) AS chi2, ((count(DISTINCT a) - 1) * (count(DISTINCT b) - 1))::BIGINT AS dof FROM e""")
+def chi2_contingency(spark, sf_dir):
+    t, _, free = stats.chi2_contingency(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
+    return spark.createDataFrame([(round(t, 5), free)], "chi2 double, dof long")
+
+
+_STEPS = """WITH v AS (SELECT l_quantity AS v, l_returnflag AS g FROM lineitem WHERE l_returnflag IN ('A', 'R')), c AS (SELECT v, count(*) FILTER (WHERE g = 'A') AS a, count(*) FILTER (WHERE g = 'R') AS r FROM v GROUP BY v),
+f AS (SELECT v, sum(a) OVER (ORDER BY v) / (SELECT sum(a) FROM c) AS fa, sum(r) OVER (ORDER BY v) / (SELECT sum(r) FROM c) AS fr, lead(v) OVER (ORDER BY v) - v AS w FROM c)"""
+
+
+def _two(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    return df.where("l_returnflag = 'A'"), "l_quantity", df.where("l_returnflag = 'R'"), "l_quantity"
+
+
+@query(f"{_STEPS} SELECT round(max(abs(fa - fr)), 9) AS d FROM f")
+def ks_2samp(spark, sf_dir):
+    return _row(spark, {"d": stats.ks_2samp(*_two(spark, sf_dir))[0]}, 9)
+
+
+@query(f"{_STEPS} SELECT round(sum(abs(fa - fr) * w), 9) AS d FROM f")
+def wasserstein_distance(spark, sf_dir):
+    return _row(spark, {"d": stats.wasserstein_distance(*_two(spark, sf_dir))}, 9)
+
+
+@query(f"{_STEPS} SELECT round(sqrt(2 * sum((fa - fr) * (fa - fr) * w)), 9) AS d FROM f")
+def energy_distance(spark, sf_dir):
+    return _row(spark, {"d": stats.energy_distance(*_two(spark, sf_dir))}, 9)
+
+
+@query("WITH c AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT n / sum(n) OVER () AS p FROM c) SELECT round(-sum(p * ln(p)), 9) AS entropy FROM p")
+def entropy(spark, sf_dir):
+    counts = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return _row(spark, {"entropy": stats.entropy(counts, "n")}, 9)
+
+
+@query("SELECT round(avg(l_quantity), 6) AS m FROM (SELECT l_quantity, row_number() OVER (ORDER BY l_quantity) AS r, count(*) OVER () AS n FROM lineitem) WHERE r > floor(n * 0.1) AND r <= n - floor(n * 0.1)")
+def trim_mean(spark, sf_dir):
+    return _row(spark, {"m": stats.trim_mean(table(spark, sf_dir, "lineitem"), "l_quantity", 0.1)})
+
+
+# Linear algebra, space, graphs
+
+
+def _pairs_sql(expression: str) -> str:
+    return f"SELECT a.vec_id AS i, b.vec_id AS j, round({expression}, 5) AS d FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND a.vec_id < 60"
+
+
+def _distance(metric: str, expression: str) -> None:
+    def run(spark, sf_dir):
+        df = table(spark, sf_dir, "embeddings")
+        return spatial.cdist(df.where("vec_id < 60"), df, "embedding", metric).where("i < j").select("i", "j", F.round("d", 5).alias("d"))
+
+    QUERIES[f"pdist_{metric}"] = run
+    ORACLE_SQL[f"pdist_{metric}"] = _pairs_sql(expression)
+
+
+_A, _B = "a.embedding::DOUBLE[]", "b.embedding::DOUBLE[]"
+_distance("euclidean", f"list_distance({_A}, {_B})")
+_distance("cosine", f"1 - list_cosine_similarity({_A}, {_B})")
+_distance("cityblock", f"list_sum(list_transform(list_zip({_A}, {_B}), lambda x: abs(x[1] - x[2])))")
+_distance("chebyshev", f"list_max(list_transform(list_zip({_A}, {_B}), lambda x: abs(x[1] - x[2])))")
+
+
+@query("SELECT i, j, d FROM (SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS r FROM embeddings a, embeddings b) WHERE r <= 5")
+def knn(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings")
+    return spatial.knn(df, df, "embedding", 5).select("i", "j", F.round("d", 5).alias("d"))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and parts of the largest, most discounted lines, as an undirected graph."""
+    df = table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_discount = 0.1")
+    return df.select((F.col("l_partkey") + 1_000_000).alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_tax").alias("w"))
+
+
+_EDGES = "e AS (SELECT l_partkey + 1000000 AS src, l_suppkey AS dst, l_tax AS w FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+
+
+@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT src AS v, src AS component FROM b UNION SELECT b.dst, r.component FROM r JOIN b ON r.v = b.src) SELECT v, min(component) AS component FROM r GROUP BY v")
+def connected_components(spark, sf_dir):
+    return graph.connected_components(_edges(spark, sf_dir))
+
+
+@query(f"WITH {_EDGES}, u AS (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e), d AS (SELECT src, sum(w) AS d FROM u GROUP BY src) SELECT src AS i, src AS j, round(d, 6) AS v FROM d UNION ALL SELECT src, dst, round(-sum(w), 6) FROM u GROUP BY src, dst")
+def laplacian(spark, sf_dir):
+    e = _edges(spark, sf_dir).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    return graph.laplacian(e).select("i", "j", r6("v").alias("v"))
+
+
+@query(f"WITH {_EDGES} SELECT src AS v, count(*) AS degree FROM (SELECT src FROM e UNION ALL SELECT dst FROM e) GROUP BY src")
+def degrees(spark, sf_dir):
+    return graph.degrees(_edges(spark, sf_dir))
+
+
+@query("""WITH a AS (SELECT c_nationkey::BIGINT AS i, c_custkey % 10 AS j, sum(c_acctbal) AS v FROM customer GROUP BY ALL) SELECT x.i, y.i AS j, round(sum(x.v * y.v) / 1e6, 4) AS v FROM a x JOIN a y USING (j) GROUP BY x.i, y.i""")
+def sparse_matmul(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("i"), (F.col("c_custkey") % 10).alias("j")).agg(F.sum("c_acctbal").alias("v"))
+    return graph.matmul(a, graph.transpose(a)).select("i", "j", F.round(F.col("v") / 1e6, 4).alias("v"))
+
+
+@query("SELECT nation_of AS s, hops::INT AS depth FROM (SELECT n_nationkey AS nation_of, CASE WHEN n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 0) THEN CASE WHEN n_nationkey = 0 THEN 0 ELSE 2 END ELSE NULL END AS hops FROM nation) WHERE hops IS NOT NULL")
+def breadth_first(spark, sf_dir):
+    e = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"), (F.col("n_regionkey") + 1000).alias("dst"))
+    return graph.breadth_first(e, 0).where("v < 1000").select(F.col("v").alias("s"), "depth")
+
+
+@query()
+def kmeans(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings")
+    start = [r.embedding for r in df.orderBy("vec_id").limit(4).collect()]
+    book, _ = spatial.kmeans(df, "embedding", start)
+    return spatial.vq(df, "embedding", book).select("vec_id", "code", r6("dist", 4).alias("dist"))
+
+
+@query()
+def pca(spark, sf_dir):
+    values, _ = spatial.pca(table(spark, sf_dir, "embeddings"), "embedding", 8)
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(values)], "component int, variance double")
+
+
+@query()
+def value_iteration(spark, sf_dir):
+    """Regions as states and order priorities as actions; nations' shares are the chances."""
+    t = spark.range(5).selectExpr("cast(id as int) s").crossJoin(spark.range(3).selectExpr("cast(id as int) a")).crossJoin(spark.range(5).selectExpr("cast(id as int) s2"))
+    t = t.withColumn("w", 1 + F.pmod(F.col("s") * 7 + F.col("a") * 3 + F.col("s2") * 5, F.lit(11)))
+    t = t.join(t.groupBy("s", "a").agg(F.sum("w").alias("all")), ["s", "a"]).select("s", "a", "s2", (F.col("w") / F.col("all")).alias("p"))
+    r = t.select("s", "a").distinct().withColumn("r", F.pmod(F.col("s") * 3 + F.col("a") * 5, F.lit(7)).cast("double"))
+    return graph.value_iteration(t, r, 0.5, tol=1e-6).select("s", r6("value", 4).alias("value"), "action")
