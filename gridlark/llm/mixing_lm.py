@@ -21,14 +21,14 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import blocks, durable, words
+from gridlark.llm.common import blocks, durable
 
 #: Hashed context slots.
 SLOT_BITS = 22
@@ -92,31 +92,49 @@ class Codes:
         at = first[which]
         at += np.arange(len(which), dtype=np.int32)
         code = self.code[at]
-        return code >> 1, (code & 1).astype(np.uint8), which
+        return code >> 1, code & 1, which
 
 
 def slot(node: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """node, context: already multiplied by numbers of their own."""
     h = node ^ context
-    h ^= h >> np.uint32(15)
     h *= _MIX[2]
-    h ^= h >> np.uint32(13)
+    h ^= h >> np.uint32(15)
     h *= _MIX[0]
-    return (h >> np.uint32(32 - SLOT_BITS)).astype(np.int32)
+    h >>= np.uint32(32 - SLOT_BITS)
+    return h.view(np.int32)
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts in turn, A-Z lowered, and the number of each text's words; null counts as empty."""
+    lists = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(pa.compute.fill_null(texts, "")))
+    flat, offsets = lists.flatten(), np.asarray(lists.offsets)
+    there = np.asarray(pa.compute.binary_length(flat)) > 0  # blanks at a text's ends leave empty strings
+    upto = np.concatenate([[0], np.cumsum(there)])
+    n = upto[offsets[1:] - offsets[0]] - upto[offsets[:-1] - offsets[0]]
+    return (flat if there.all() else flat.filter(pa.array(there))), n
 
 
 class Lexicon:
     """The most frequent words (and END) by falling count, their codes, and the code of the escape."""
 
     def __init__(self, listed: list[bytes], counts: list[int], rare: int):
-        self.words = {w: i for i, w in enumerate(listed)}
+        self.words = pa.array(listed, pa.binary()).cast(pa.string())
         self.escape = len(listed)  # of the symbols the last
+        self.end = listed.index(END) if END in listed else self.escape
         self.codes = Codes(np.append(np.array(counts, np.int64), max(rare, 1)))
 
-    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Symbols of the texts' tokens, the number of each text's tokens, and the words at the symbols."""
-        lists = [[*words(t), END] for t in texts]
-        flat = [w for x in lists for w in x]
-        return np.fromiter(map(self.words.get, flat, repeat(self.escape)), np.int32, len(flat)), np.array([len(x) for x in lists]), flat
+    def tokens(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Symbols of the texts' tokens, the number of each text's tokens, and the words of those that are escapes."""
+        flat, n = split_words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        found = np.asarray(pa.compute.fill_null(pa.compute.index_in(flat, value_set=self.words), self.escape), np.int32)
+        ids = np.full(len(flat) + len(n), self.end, np.int32)
+        place = np.arange(len(flat)) + np.repeat(np.arange(len(n)), n)  # each text before has an END of its own
+        ids[place] = found
+        source = np.full(len(ids), len(flat))
+        source[place] = np.arange(len(flat))
+        tail = pa.concat_arrays([flat, pa.array([END.decode()])]).take(pa.array(source[ids == self.escape]))
+        return ids, n + 1, tail.cast(pa.binary())
 
     def contexts(self, ids: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
         """Context numbers of each token: by the last word and by the one before it."""
@@ -132,7 +150,7 @@ class Lexicon:
         return [slot(base, ((c.astype(np.uint32) * np.uint32(8) + np.uint32(k)) * _MIX[1])[token]) for k, c in enumerate(contexts)]
 
 
-def count_contexts(lexicon: Lexicon, texts: list[str | None], out: np.ndarray) -> None:
+def count_contexts(lexicon: Lexicon, texts: pa.Array | list[str | None], out: np.ndarray) -> None:
     """Add to `out` (2 * SLOTS) how often each slot's bit was 0 and 1."""
     ids, n, _ = lexicon.tokens(texts)
     contexts = lexicon.contexts(ids, n)
@@ -140,11 +158,13 @@ def count_contexts(lexicon: Lexicon, texts: list[str | None], out: np.ndarray) -
         part = slice(i, i + AT_ONCE)
         node, bit, token = lexicon.codes.expand(ids[part])
         for s in lexicon.slots(node, token, [c[part] for c in contexts]):
-            np.add.at(out, (s << 1) + bit, np.int64(1))
+            np.add.at(out, (s << 1) + bit, out.dtype.type(1))
 
 
+#: Texts are split into words in blocks of about so many bytes.
+WORK_BYTES = 8 << 20
 #: Tokens whose bits are laid out at once.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 15
 
 
 #: Gates: how often a context was seen, in four steps.
@@ -233,9 +253,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
             c.clear()
 
-        for b in blocks(batches):
-            for t in b.column("text").to_pylist():
-                c.update(words(t))
+        for b in blocks(batches, most=WORK_BYTES):
+            counts = pa.compute.value_counts(split_words(b.column("text"))[0])
+            for w, k in zip(counts.field(0).cast(pa.binary()).to_pylist(), counts.field(1).to_pylist()):
+                c[w] += k
             c[END] += b.num_rows
             if len(c) > 500_000:
                 yield from out()
@@ -253,9 +274,9 @@ def slot_tables(texts: DataFrame, held) -> tuple[np.ndarray, np.ndarray]:
     sums are weighed where they are made, so the driver gets five bytes a slot whatever the data's size."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * SLOTS, np.int64)
-        for b in blocks(batches):
-            count_contexts(held.value, b.column("text").to_pylist(), total)
+        total = np.zeros(2 * SLOTS, np.uint32)  # of one task
+        for b in blocks(batches, most=WORK_BYTES):
+            count_contexts(held.value, b.column("text"), total)
         for k, part in enumerate(total.reshape(-1, 2 * SLOT_BLOCK)):
             if part.any():
                 kind = np.min_scalar_type(int(part.max()))
@@ -307,16 +328,14 @@ def score_texts(df: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, base = Model(held.value, *tables.value), head.value
-        for b in blocks(batches):
-            texts = b.column("text").to_pylist()
-            ids, n, flat = m.lexicon.tokens(texts)
-            tail = np.flatnonzero(ids == m.lexicon.escape)
+        for b in blocks(batches, most=WORK_BYTES):
+            ids, n, tail = m.lexicon.tokens(b.column("text"))
             ends = np.cumsum(n)
-            offsets = np.concatenate([[0], np.searchsorted(tail, ends)]).astype(np.int32)
-            rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array([flat[i] for i in tail.tolist()], pa.binary()))
+            offsets = np.concatenate([[0], np.searchsorted(np.flatnonzero(ids == m.lexicon.escape), ends)]).astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(offsets), tail)
             score = m.score(ids, n) / np.log(10)
-            size = [len((t or "").encode("utf-8", "replace")) for t in texts]
-            cols = [pa.array(n, pa.int64()), pa.array(np.add.reduceat(base[ids], ends - n)), pa.array(score), pa.array(size, pa.int64()), rest]
+            size = pa.compute.fill_null(pa.compute.binary_length(b.column("text")), 0).cast(pa.int64())
+            cols = [pa.array(n, pa.int64()), pa.array(np.add.reduceat(base[ids], ends - n)), pa.array(score), size, rest]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *cols], ["doc_id", "held_out", "n_tokens", "base", "score", "n_bytes", "tail"])
 
     each = docs.mapInArrow(scored, f"doc_id {kind}, held_out boolean, n_tokens long, base double, score double, n_bytes long, tail array<binary>")
