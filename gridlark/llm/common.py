@@ -37,6 +37,8 @@ def durable(df: DataFrame) -> DataFrame:
     The folder is the session's spark.checkpoint.dir. Only where that is unset (a local run) is one made."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not (sc.getConf().get("spark.checkpoint.dir") or sc.master.startswith("local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 

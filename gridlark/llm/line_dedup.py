@@ -134,17 +134,17 @@ def line_bitmaps(rows: DataFrame, settle: int = SETTLE_BYTES) -> DataFrame:
     return lost.groupBy("doc", "row").agg(F.collect_list("places").alias("places")).select("doc", "row", bitmap("places").alias("keep_bitmap"))
 
 
-def dedup_lines(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", settle: int = SETTLE_BYTES) -> DataFrame:
-    """df with the column keep_bitmap (null: all lines stay). `kept_lines` applies it.
+def dedup_lines(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", settle: int = SETTLE_BYTES, output: str = "keep_bitmap") -> DataFrame:
+    """df with the column `output`, its keep bitmap (null: all lines stay). `kept_lines` applies it.
 
-    A document loses a line at most once, so what is collected for one is bounded by its own lines."""
+    A column of the output's name is replaced. A document loses a line at most once, so what is collected for one is bounded by its own lines."""
     rows = df.select(F.struct(*df.columns).alias("all"), F.coalesce(df[doc_id].cast("long"), F.lit(LAST)).alias("doc"), df[text].alias("text"))
     # Rows of one id are told apart by their content, not by their place, which could change when a task runs again.
     rows = rows.withColumn("row", F.xxhash64("text"))
-    return rows.select("all", "doc", "row").join(line_bitmaps(rows.select("doc", "row", "text"), settle), ["doc", "row"], "left").select("all.*", "keep_bitmap")
+    return rows.select("all", "doc", "row").join(line_bitmaps(rows.select("doc", "row", "text"), settle), ["doc", "row"], "left").select(*(F.col("all")[c].alias(c) for c in df.columns if c != output), F.col("keep_bitmap").alias(output))
 
 
-def apply_bitmaps(df: DataFrame, *, text: str = "text", output: str = "kept") -> DataFrame:
+def apply_bitmaps(df: DataFrame, *, text: str = "text", bitmap: str = "keep_bitmap", output: str = "kept") -> DataFrame:
     """df with the struct `output`: text, n_lines, n_dropped."""
     kind = pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
 
@@ -154,4 +154,4 @@ def apply_bitmaps(df: DataFrame, *, text: str = "text", output: str = "kept") ->
         cols = list(zip(*rows)) or [(), (), ()]
         return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kind)], fields=list(kind))
 
-    return df.withColumn(output, kept(F.col(text), F.col("keep_bitmap")))
+    return df.withColumn(output, kept(F.col(text), F.col(bitmap)))

@@ -45,9 +45,9 @@ def toxicity_categories() -> dict:
     return {"junk": junk, "toxic": toxic, "unfit": junk | toxic}
 
 
-def scored_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with the struct `toxicity`, by a chain fitted on their labelled rows."""
-    return score_toxicity(docs, fit_toxicity(docs, common.read_table(spark, sf_dir, "labels"), toxicity_categories()))
+def scored_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str, output: str = "toxicity") -> DataFrame:
+    """docs with the struct `output`, by a chain fitted on their labelled rows."""
+    return score_toxicity(docs, fit_toxicity(docs, common.read_table(spark, sf_dir, "labels"), toxicity_categories()), output=output)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ third of all rows meets in no task.
 
 Edge cases: a null source is a source of its own, apart from the empty name; null and empty texts have no tokens and fit
 any budget; a source without tokens is taken once; repeated rows are taken each; a null id is hashed as null; an empty
-table gives an empty table; columns of the input keep their names, new ones are in one struct, `mix`.
+table gives an empty table; columns of the input keep their names, new ones are in one struct, which replaces a column of its name.
 """
 
 from __future__ import annotations
@@ -79,8 +79,8 @@ def find_power(sources: DataFrame, *, target_entropy: float | None, max_epochs:
     return best
 
 
-def mix_sources(df: DataFrame, *, target_entropy: float | None = None, max_epochs: float | None = 2.0, budget: int | None = None, key: str = "mix", doc_id: str = "doc_id", source: str = "source", tokens: Column | None = None) -> DataFrame:
-    """df's rows, each as often as the mix takes it, with the struct `mix`: n_tokens, weight, epoch, block, and the sort
+def mix_sources(df: DataFrame, *, target_entropy: float | None = None, max_epochs: float | None = 2.0, budget: int | None = None, key: str = "mix", doc_id: str = "doc_id", source: str = "source", tokens: Column | None = None, output: str = "mix") -> DataFrame:
+    """df's rows, each as often as the mix takes it, with the struct `output`: n_tokens, weight, epoch, block, and the sort
     keys block_key and row_key: (epoch, block_key, row_key) is the order within a source.
 
     budget: tokens of all sources together. None: the least at which every source is taken whole at least once."""
@@ -116,7 +116,7 @@ def mix_sources(df: DataFrame, *, target_entropy: float | None = None, max_epoch
     so_far = F.col("before") + F.sum("n_tokens").over(Window.partitionBy("named", "block").orderBy(turn, "draw", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
     last = F.when((F.col("rest") > 0) & (so_far <= F.col("rest")), 1).otherwise(0)
     taken = each.withColumn("copies", F.col("full") + last).where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    return taken.select("all.*", F.struct("n_tokens", "weight", "epoch", "block", F.xxhash64(F.lit(key), "epoch", "named", "block").alias("block_key"), F.xxhash64(F.lit(key), "epoch", "draw").alias("row_key")).alias("mix"))
+    return taken.select(*(F.col("all")[c].alias(c) for c in df.columns if c != output), F.struct("n_tokens", "weight", "epoch", "block", F.xxhash64(F.lit(key), "epoch", "named", "block").alias("block_key"), F.xxhash64(F.lit(key), "epoch", "draw").alias("row_key")).alias(output))
 
 
 #: Sources up to this number are broadcast with their budgets; more are joined by a shuffle, split where they are hot.

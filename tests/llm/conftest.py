@@ -38,7 +38,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long")
-    extra = ["bucket", "word", "h", "kept", "score", "component_id", "rank", "slot", "count", "value", "label"]
+    extra = ["bucket", "word", "h", "kept", "score", "component_id", "rank", "slot", "count", "value", "label", "toxicity", "mix", "keep_bitmap", "row", "doc", "all", "named", "draw", "simhash", "part", "shard", "tail", "token", "places", "keys"]
     return df.withColumns({c: F.lit("clash") for c in extra})
 
 

@@ -24,7 +24,7 @@ def brute(rows):
 
 
 def run(df, settle=1 << 20):
-    got = apply_bitmaps(dedup_lines(df.drop("kept"), settle=settle)).collect()
+    got = apply_bitmaps(dedup_lines(df, settle=settle)).collect()
     return sorted(((r.doc_id, r.kept.text, r.kept.n_lines, r.kept.n_dropped) for r in got), key=str)
 
 

@@ -79,4 +79,5 @@ def test_odd_rows(spark, odd, empty, tmp_path):
         for name, f in corpus_pipeline.STAGES[:-1]:
             docs = f(spark, docs, str(tmp_path))
             assert docs.columns == odd.columns, name
+            assert docs.where("kept != 'clash' or toxicity != 'clash' or mix != 'clash'").count() == 0, name
         assert corpus_pipeline.encode(spark, docs, str(tmp_path)).count() == docs.count()

@@ -93,7 +93,7 @@ def test_query_against_brute_force(spark):
 
 
 def test_odd(odd, empty):
-    out = X.mix_sources(odd.drop("rank"))
+    out = X.mix_sources(odd)
     assert {(r.doc_id, r.source) for r in out.collect()} == {(r.doc_id, r.source) for r in odd.collect()}
     assert got(out) == brute([(r.doc_id, r.source, r.text) for r in odd.collect()], 0.0 if out.select("mix.weight").distinct().count() == 1 else _power(out))
     assert X.mix_sources(empty).count() == 0
