@@ -18,13 +18,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the category `toxic` is below one half."""
-    return queries.scored_toxicity(spark, docs, sf_dir).where("toxicity.toxic < 0.5").select(*docs.columns)
+    return queries.scored_toxicity(spark, docs, sf_dir, "__toxicity").where("__toxicity.toxic < 0.5").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier document has; texts and n_chars follow."""
-    kept = apply_bitmaps(dedup_lines(docs))
-    return kept.withColumns({"text": F.col("kept.text"), "n_chars": F.length("kept.text").cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
+    kept = apply_bitmaps(dedup_lines(docs, output="__bitmap"), bitmap="__bitmap", output="__kept")
+    return kept.withColumns({"text": F.col("__kept.text"), "n_chars": F.length("__kept.text").cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's budget takes them: each at least once, none over twice."""
-    return mix_sources(docs).select(*docs.columns)
+    return mix_sources(docs, output="__mix").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,10 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridlark.functions import cells, dates, distributions, special
 from gridlark.functions import ufuncs as U
-from gridlark.operators import graph, scan, sets, spatial, stats
+from gridlark.operators import graph, images, scan, sets, signal, solve, spatial, stats
 from gridlark.operators import reduce as R
 from gridlark.operators.nd import NDFrame, einsum
+from gridlark.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -658,3 +660,176 @@ def value_iteration(spark, sf_dir):
     t = t.join(t.groupBy("s", "a").agg(F.sum("w").alias("all")), ["s", "a"]).select("s", "a", "s2", (F.col("w") / F.col("all")).alias("p"))
     r = t.select("s", "a").distinct().withColumn("r", F.pmod(F.col("s") * 3 + F.col("a") * 5, F.lit(7)).cast("double"))
     return graph.value_iteration(t, r, 0.5, tol=1e-6).select("s", r6("value", 4).alias("value"), "action")
+
+
+# Cells, special functions and distributions
+
+
+def _cells(name: str, kernel: str, sql: str, **options) -> None:
+    def run(spark, sf_dir):
+        v = F.transform("embedding", lambda x: x.cast("double"))
+        return table(spark, sf_dir, "embeddings").select("vec_id", r6(cells.apply(kernel, v, **options), 5).alias("y"))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"SELECT vec_id, round({sql}, 5) AS y FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
+
+
+_cells("cell_mean", "mean", "list_aggregate(e, 'avg')")
+_cells("cell_std", "std", "list_aggregate(e, 'stddev_pop')")
+_cells("cell_median", "median", "list_aggregate(e, 'median')")
+_cells("cell_ptp", "ptp", "list_aggregate(e, 'max') - list_aggregate(e, 'min')")
+_cells("cell_percentile", "percentile", "list_aggregate(e, 'quantile_cont', 0.9)", q=90)
+_cells("cell_norm", "linalg.norm", "sqrt(list_inner_product(e, e))")
+
+
+def _vectors(name: str, kernel: str, sql: str, **options) -> None:
+    """Each element of a cell's result as a row."""
+
+    def run(spark, sf_dir):
+        v = F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 8)
+        return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(cells.apply(kernel, v, **options)).alias("k", "y")).select("vec_id", F.col("k").cast("long").alias("k"), r6("y", 5).alias("y"))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"WITH e AS (SELECT vec_id, list_slice(embedding::DOUBLE[], 1, 8) AS e FROM embeddings), y AS (SELECT vec_id, {sql} AS y FROM e) SELECT vec_id, unnest(range(len(y))) AS k, round(unnest(y), 5) AS y FROM y"
+
+
+_vectors("cell_sort", "sort", "list_sort(e)")
+_vectors("cell_cumsum", "cumsum", "list_transform(range(1, 9), lambda i: list_sum(list_slice(e, 1, i)))")
+_vectors("cell_diff", "diff", "list_transform(range(1, 8), lambda i: e[i + 1] - e[i])")
+_vectors("cell_flip", "flip", "list_reverse(e)")
+_vectors("cell_convolve", "convolve", "list_transform(range(1, 10), lambda i: 0.5 * coalesce(e[i], 0) + 0.25 * (CASE WHEN i > 1 THEN e[i - 1] ELSE 0 END))", v=[0.5, 0.25])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(lgamma(l_quantity), 6) AS gammaln, round(gamma(l_discount + 1), 6) AS gamma FROM lineitem WHERE l_linenumber = 1")
+def special_gamma(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", r6(special.column("gammaln", F.col("l_quantity"))).alias("gammaln"), r6(special.column("gamma", F.col("l_discount") + 1)).alias("gamma"))
+
+
+def _law(name: str, law: str, shape: tuple, x: str, sql: str, method: str = "cdf", **place) -> None:
+    def run(spark, sf_dir):
+        frozen = distributions.Frozen(law, *shape, **place)
+        return table(spark, sf_dir, "part").select("p_partkey", r6(frozen.column(method, F.expr(x)), 7).alias("y"))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"SELECT p_partkey, round({sql}, 7) AS y FROM (SELECT p_partkey, {x} AS x FROM part)"
+
+
+_law("law_expon_cdf", "expon", (), "p_size / 10.0", "1 - exp(-x / 2.0)", scale=2.0)
+_law("law_logistic_cdf", "logistic", (), "p_size / 10.0", "1 / (1 + exp(-(x - 1.0)))", loc=1.0)
+_law("law_weibull_pdf", "weibull_min", (1.5,), "p_size / 10.0", "1.5 * sqrt(x) * exp(-pow(x, 1.5))", "pdf")
+_law("law_norm_pdf", "norm", (), "p_size / 10.0", "exp(-x * x / 2) / sqrt(2 * pi())", "pdf")
+_law("law_cauchy_cdf", "cauchy", (), "p_size / 10.0", "0.5 + atan(x) / pi()")
+_law("law_pareto_ppf", "pareto", (3.0,), "p_size / 51e0", "pow(1 - x, -1 / 3e0)", "ppf")
+_law("law_geom_cdf", "geom", (0.1,), "p_size", "1 - pow(0.9, x)")
+_law("law_poisson_pmf", "poisson", (20.0,), "p_size", "exp(x * ln(20.0) - 20.0 - lgamma(x + 1))", "pmf")
+
+# Dates, time windows, labels
+
+
+@query("""WITH d AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders) SELECT d, count(*) FILTER (WHERE isodow(t) < 6) AS n FROM (SELECT d, unnest(generate_series(DATE '1992-01-01', d - 1, INTERVAL 1 DAY)) AS t FROM d) GROUP BY d""")
+def busday_count(spark, sf_dir):
+    days = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct()
+    return days.select("d", dates.busday_count(F.lit("1992-01-01").cast("date"), F.col("d")).alias("n"))
+
+
+@query("SELECT o_orderkey, (year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1 AS months, isodow(o_orderdate) < 6 AS works FROM orders")
+def date_parts(spark, sf_dir):
+    d = F.col("o_orderdate").cast("date")
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.months(d).alias("months"), dates.is_busday(d).alias("works"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(value) AS count, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max FROM events GROUP BY 1")
+def windowed_statistics(spark, sf_dir):
+    out = incremental.windowed_statistics(table(spark, sf_dir, "events"), "ts", "value", "1 hour")
+    return out.select("start", "count", r6("mean").alias("mean"), "min", "max")
+
+
+@query("""WITH g AS (SELECT user_id, ts, value, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, count(*) AS count, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
+def session_windows(spark, sf_dir):
+    out = incremental.sessions(table(spark, sf_dir, "events"), "ts", ["user_id"], "6 hours", "value")
+    return out.select("user_id", "start", "count", r6("total", 4).alias("total"))
+
+
+@query("SELECT event_type AS label, count(*) AS count, round(sum(value), 4) AS sum, round(avg(value), 6) AS mean, round(var_pop(value), 5) AS variance, min(value) AS min, max(value) AS max, round(median(value), 6) AS median FROM events GROUP BY 1")
+def label_statistics(spark, sf_dir):
+    out = images.label_statistics(table(spark, sf_dir, "events"), "event_type", "value")
+    return out.select("label", "count", r6("sum", 4).alias("sum"), r6("mean").alias("mean"), r6("variance", 5).alias("variance"), "min", "max", r6("median").alias("median"))
+
+
+@query("SELECT p_partkey, round(2 + p_size::DOUBLE * (0.5 + p_size * (-0.25 + p_size * 0.01)), 6) AS y FROM part")
+def polyval(spark, sf_dir):
+    y = F.lit(0.0)
+    for c in (0.01, -0.25, 0.5, 2.0):
+        y = y * F.col("p_size") + c
+    return table(spark, sf_dir, "part").select("p_partkey", r6(y).alias("y"))
+
+
+@query("SELECT i0, i1, v FROM (SELECT i AS i0, j AS i1, (CASE WHEN j - 2 BETWEEN 0 AND 4 THEN i * 5 + j - 2 ELSE -1 END)::DOUBLE AS v FROM range(4) a(i), range(9) b(j))")
+def nd_pad(spark, sf_dir):
+    return NDFrame.arange(spark, 0, 20).map(lambda v: v.cast("double")).reshape(4, 5).pad(2, 2, 1, "constant", -1.0).df
+
+
+@query("SELECT i AS i0, j AS i1, (i * 5 + j % 5)::DOUBLE AS v FROM range(4) a(i), range(15) b(j)")
+def nd_tile(spark, sf_dir):
+    return NDFrame.arange(spark, 0, 20).map(lambda v: v.cast("double")).reshape(4, 5).tile(3, 1).df
+
+
+@query("SELECT i AS i0, round(sum((i + 1)::DOUBLE * (j + 1) * k), 6) AS v FROM range(6) a(i), range(5) b(j), range(4) c(k) GROUP BY i")
+def nd_einsum_three(spark, sf_dir):
+    a, b, c = (NDFrame.arange(spark, 1, 7).map(lambda v: v.cast("double")), NDFrame.arange(spark, 1, 6).map(lambda v: v.cast("double")), NDFrame.arange(spark, 0, 4).map(lambda v: v.cast("double")))
+    return einsum("i,j,k->i", a, b, c).map(r6).df
+
+
+# Signals and solvers: held against numpy in the tests
+
+
+@query()
+def rfft_by_user(spark, sf_dir):
+    """Power of each user's values by frequency."""
+    return signal.by_group(table(spark, sf_dir, "events"), ["user_id"], "event_id", "value", _power, "power").select("user_id", "k", r6("power", 3).alias("power"))
+
+
+def _power(v):
+    import numpy as np
+
+    return np.abs(np.fft.rfft(v - v.mean())) ** 2
+
+
+@query()
+def savgol_by_user(spark, sf_dir):
+    return signal.by_group(table(spark, sf_dir, "events"), ["user_id"], "event_id", "value", lambda v: signal.savgol_filter(v, 5, 2) if len(v) >= 5 else v).select("user_id", "k", r6("y", 4).alias("y"))
+
+
+@query()
+def cubic_spline(spark, sf_dir):
+    knots = table(spark, sf_dir, "part").groupBy("p_size").agg(F.avg("p_retailprice").alias("y")).orderBy("p_size").collect()  # at most fifty sizes
+    spline = solve.Cubic([r.p_size for r in knots], [r.y for r in knots], "natural")
+    points = spark.range(0, 400).select((1 + F.col("id") / 10.0).alias("x")).where(f"x <= {knots[-1].p_size}")
+    return points.select("x", r6(spline.column(F.col("x")), 4).alias("y"))
+
+
+@query()
+def least_squares(spark, sf_dir):
+    w = spatial.lstsq(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    return spark.createDataFrame([(k, round(float(v), 3)) for k, v in enumerate(w)], "k int, weight double")
+
+
+@query()
+def minimum_spanning_tree(spark, sf_dir):
+    return graph.minimum_spanning_tree(_edges(spark, sf_dir))
+
+
+@query()
+def shortest_paths(spark, sf_dir):
+    e = _edges(spark, sf_dir).withColumn("w", F.col("w") + 1)
+    both = e.union(e.select("dst", "src", "w"))
+    first = both.agg(F.min("src").alias("v"))
+    return graph.shortest_paths(both, first).select("source", "v", r6("distance").alias("distance"))
+
+
+@query()
+def kernel_density(spark, sf_dir):
+    return stats.gaussian_kde(table(spark, sf_dir, "lineitem"), "l_quantity", [float(x) for x in range(0, 51, 2)]).select("x", r6("density").alias("density"))
