@@ -246,3 +246,93 @@ def reverse_cuthill_mckee(edges: DataFrame, start) -> DataFrame:
     n = order.count()
     w = Window.orderBy("depth", "predecessor", "degree", "v")  # vertices of one component; a bandwidth order is for matrices that fit a node
     return order.select("v", (n - F.row_number().over(w)).alias("place"))
+
+
+def q_values(transitions: DataFrame, rewards: DataFrame, values: DataFrame, discount: float) -> DataFrame:
+    """s, a, q of taking each action once and then earning `values` (s, value)."""
+    ahead = transitions.join(values.select(F.col("s").alias("s2"), "value"), "s2").groupBy("s", "a").agg(F.sum(F.col("p") * F.col("value")).alias("ahead"))
+    return rewards.join(ahead, ["s", "a"]).select("s", "a", (F.col("r") + discount * F.col("ahead")).alias("q"))
+
+
+def greedy(q: DataFrame) -> DataFrame:
+    """s, a: the best action, the lowest on ties."""
+    return q.groupBy("s").agg(F.max_by("a", F.struct("q", -F.col("a"))).alias("a"))
+
+
+def policy_iteration(transitions: DataFrame, rewards: DataFrame, discount: float, rounds: int = 100) -> DataFrame:
+    """s, value, action: evaluate, improve, until no action changes."""
+    policy = checkpoint(rewards.groupBy("s").agg(F.min("a").alias("a")))
+    for _ in range(rounds):
+        values = policy_evaluation(transitions, rewards, policy, discount)
+        q = checkpoint(q_values(transitions, rewards, values, discount))
+        own = q.join(policy, ["s", "a"]).select("s", F.col("q").alias("own"), F.col("a").alias("had"))
+        better = greedy(q).join(q, ["s", "a"]).join(own, "s")
+        new = checkpoint(better.select("s", F.when(F.col("q") > F.col("own") + 1e-9, F.col("a")).otherwise(F.col("had")).alias("a"), (F.col("q") > F.col("own") + 1e-9).alias("changed")))
+        policy = new.select("s", "a")
+        if new.where("changed").isEmpty():
+            return values.join(policy.withColumnRenamed("a", "action"), "s")
+    raise ArithmeticError("no convergence")
+
+
+def finite_horizon(transitions: DataFrame, rewards: DataFrame, steps: int, discount: float = 1.0) -> DataFrame:
+    """t, s, value, action for each step to go, by backward induction."""
+    values = rewards.select("s").distinct().withColumn("value", F.lit(0.0))
+    out = None
+    for t in reversed(range(steps)):
+        q = checkpoint(q_values(transitions, rewards, values, discount))
+        best = q.groupBy("s").agg(F.max("q").alias("value"), F.max_by("a", F.struct("q", -F.col("a"))).alias("action"))
+        now = checkpoint(best.select(F.lit(t).alias("t"), "s", "value", "action"))
+        out = now if out is None else out.unionByName(now)
+        values = now.select("s", "value")
+    return out
+
+
+def simulate(transitions: DataFrame, policy: DataFrame, start: DataFrame, steps: int, key: int = 0) -> DataFrame:
+    """run, t, s: walks under a policy (s, a) from start (run, s). The draw of a run's step is a keyed hash, so a walk doesn't
+    depend on how rows are dealt."""
+    w = Window.partitionBy("s", "a").orderBy("s2").rowsBetween(Window.unboundedPreceding, 0)
+    chance = checkpoint(transitions.join(policy.select("s", "a"), ["s", "a"]).withColumn("upto", F.sum("p").over(w)).select("s", "s2", (F.col("upto") - F.col("p")).alias("low"), "upto"))
+    now = checkpoint(start.select("run", F.lit(0).alias("t"), "s"))
+    out = now
+    for t in range(steps):
+        u = F.shiftrightunsigned(F.xxhash64(F.lit(key), "run", F.lit(t)), 11) / float(1 << 53)
+        now = checkpoint(now.withColumn("u", u).join(chance, "s").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("upto"))).groupBy("run").agg(F.min("s2").alias("s")).select("run", F.lit(t + 1).alias("t"), "s"))
+        out = out.unionByName(now)
+    return out
+
+
+def lsqr(a: DataFrame, b: DataFrame, n: int, tol: float = 1e-10, most: int = 300) -> DataFrame:
+    """(j, x) of least squares A x = b for a sparse A: conjugate gradients on the normal equations, A'A never made."""
+    at = transpose(a)
+    rhs = matvec(at, b.select(F.col("i").alias("j"), F.col("v").alias("x")))
+    state = checkpoint(b.sparkSession.range(n).select(F.col("id").alias("j")).join(rhs.select(F.col("i").alias("j"), F.col("v").alias("r")), "j", "left").select("j", F.lit(0.0).alias("x"), F.coalesce("r", F.lit(0.0)).alias("r"), F.coalesce("r", F.lit(0.0)).alias("p")))
+    rr = first = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
+    for _ in range(most):
+        if not rr or rr <= tol * tol * first:
+            break
+        ap = checkpoint(matvec(a, state.select("j", F.col("p").alias("x"))))
+        alpha = rr / ap.agg(F.sum(F.col("v") * F.col("v"))).first()[0]
+        back = matvec(at, ap.select(F.col("i").alias("j"), F.col("v").alias("x"))).select(F.col("i").alias("j"), F.col("v").alias("q"))
+        state = checkpoint(state.join(back, "j", "left").select("j", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.coalesce("q", F.lit(0.0))).alias("r"), "p"))
+        now = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
+        state = state.select("j", "x", "r", (F.col("r") + now / rr * F.col("p")).alias("p"))
+        rr = now
+    return state.select("j", "x")
+
+
+def depth_first(edges: DataFrame, start) -> list:
+    """Vertices in depth-first order, smaller neighbours first. The order is sequential by definition: the edges that are
+    reached are brought to the driver, so this is for graphs that fit it."""
+    reached = breadth_first(edges, start).select("v")
+    rows = _both(edges).join(reached.withColumnRenamed("v", "src"), "src").distinct().collect()
+    near: dict = {}
+    for r in rows:
+        near.setdefault(r.src, []).append(r.dst)
+    out, seen, stack = [], set(), [start]
+    while stack:
+        v = stack.pop()
+        if v not in seen:
+            seen.add(v)
+            out.append(v)
+            stack += sorted(near.get(v, []), reverse=True)
+    return out

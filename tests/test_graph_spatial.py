@@ -100,3 +100,28 @@ def test_clusters(points):
     hull = P.convex_hull(flat, "c0", "c1")
     area = 0.5 * sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(hull, hull[1:] + hull[:1]))
     assert area > 0 and all(any(np.allclose(h, p) for p in X[:, :2]) for h in hull)
+
+
+def test_more_decisions_and_systems(spark):
+    p = rng.random((4, 2, 4))
+    p /= p.sum(-1, keepdims=True)
+    r = rng.random((4, 2))
+    t = spark.createDataFrame([(s, a, q, float(p[s, a, q])) for s in range(4) for a in range(2) for q in range(4)], "s int, a int, s2 int, p double")
+    rew = spark.createDataFrame([(s, a, float(r[s, a])) for s in range(4) for a in range(2)], "s int, a int, r double")
+    v = np.zeros(4)
+    for _ in range(100):
+        v = (r + 0.4 * p @ v).max(1)
+    got = {x.s: x for x in G.policy_iteration(t, rew, 0.4).collect()}
+    assert np.allclose([got[s].value for s in range(4)], v, atol=1e-6) and [got[s].action for s in range(4)] == (r + 0.4 * p @ v).argmax(1).tolist()
+    w = np.zeros(4)
+    for _ in range(3):
+        w = (r + p @ w).max(1)
+    assert np.allclose([x.value for x in G.finite_horizon(t, rew, 3).where("t = 0").orderBy("s").collect()], w)
+    policy = spark.createDataFrame([(s, 0) for s in range(4)], "s int, a int")
+    runs = spark.range(600).select(F.col("id").alias("run"), F.lit(0).alias("s"))
+    first = [x.s for x in G.simulate(t, policy, runs, 1, key=3).where("t = 1").collect()]
+    assert len(first) == 600 and np.allclose(np.bincount(first, minlength=4) / 600, p[0, 0], atol=0.08)
+    a = rng.random((9, 4))
+    x = {q.j: q.x for q in G.lsqr(coo(spark, a), spark.createDataFrame([(i, float(i)) for i in range(9)], "i long, v double"), 4).collect()}
+    assert np.allclose([x[k] for k in range(4)], np.linalg.lstsq(a, np.arange(9.0), rcond=None)[0], atol=1e-6)
+    assert G.depth_first(spark.createDataFrame([(0, 1), (0, 2), (1, 3)], "src long, dst long"), 0) == [0, 1, 3, 2]
