@@ -46,3 +46,26 @@ def test_cells(spark):
         assert np.allclose([complex(*z) for z in r.rfft], np.fft.rfft(v)) and np.allclose(r.inv, np.linalg.inv(m)) and np.allclose([complex(*z) for z in r.eig], np.linalg.eigvals(m))
         assert r.p[0] == pytest.approx(np.polynomial.polynomial.polyval(2.0, v))
     assert out[-1].median is None and len(cells.supported()) > 300
+
+
+def test_more_functions():
+    x = np.array([0.7, 2.3, 5.1])
+    h = 1e-5
+    for f, d in ((S.jv, S.jvp), (S.yv, S.yvp), (S.iv, S.ivp), (S.kv, S.kvp)):
+        assert np.allclose(d(1.5, x), (f(1.5, x + h) - f(1.5, x - h)) / (2 * h), rtol=1e-6), d
+    assert np.allclose(S.jn_zeros(0, 3), [2.404825557695773, 5.520078110286311, 8.653727912911013]) and np.allclose(S.jn(2, S.jn_zeros(2, 4)), 0, atol=1e-10)
+    ai, aip, bi, bip = S.airy(np.array([-2.0, 0.0, 1.0]))
+    assert np.allclose(ai * bip - aip * bi, 1 / np.pi, rtol=1e-5) and ai[2] == pytest.approx(0.13529241631288141, rel=1e-6)
+    assert np.allclose(S.ber(x) ** 2 + S.bei(x) ** 2, np.abs(sum((1j * x * x / 4) ** k / math.factorial(k) ** 2 for k in range(40))) ** 2) and S.kei(np.array([1.0]))[0] == pytest.approx(-0.4949946365187199, rel=1e-6)
+    assert S.struve(0, np.array([1.0]))[0] == pytest.approx(0.5686566270482879, rel=1e-3) and np.allclose(S.spherical_jn(0, x), np.sin(x) / x) and np.allclose(S.spherical_yn(0, x), -np.cos(x) / x, rtol=1e-6) and np.allclose(S.spherical_in(0, x), np.sinh(x) / x, rtol=1e-6)
+    t = np.linspace(-0.9, 0.9, 7)
+    assert np.allclose(S.lpmv(1, 2, t), -3 * t * np.sqrt(1 - t * t)) and abs(S.sph_harm_y(0, 0, 0.3, 0.4)) == pytest.approx(0.5 / math.sqrt(math.pi))
+    assert np.allclose(S.bernoulli(4), [1, -0.5, 1 / 6, 0, -1 / 30]) and S.euler(6).tolist() == [1, 0, -1, 0, 5, 0, -61] and S.stirling2(5, 2) == 15 and S.factorial2(7) == 105
+    w = S.wright_omega(x)
+    assert np.allclose(w + np.log(w), x)
+    sn, cn, dn, _ = S.ellipj(x, 0.4)
+    assert np.allclose(S.ellipkinc(np.arcsin(S.ellipj(0.5, 0.4)[0]), 0.4), 0.5) and np.allclose(sn**2 + cn**2, 1) and np.allclose(dn**2 + 0.4 * sn**2, 1)
+    assert S.elliprg(0, 16, 16) == pytest.approx(math.pi) and float(S.elliprj(2.0, 3.0, 4.0, 5.0)) == pytest.approx(0.14297579667156753, rel=1e-6)
+    x, w = S.roots_gegenbauer(6, 1.5)
+    assert (w * x**2).sum() == pytest.approx(4 / 15) and S.roots_chebyu(5)[1].sum() == pytest.approx(math.pi / 2)
+    assert float(S.ncx2_cdf(3.0, 2.0, 1e-9)) == pytest.approx(1 - math.exp(-1.5)) and float(S.ncf_cdf(2.0, 3.0, 10.0, 1e-9)) == pytest.approx(float(S.fdtr(3, 10, 2.0))) and float(S.studentized_range_cdf(3.877676, 3, 10)) == pytest.approx(0.95, abs=1e-4)
