@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from gridlark.llm import common, queries
 from gridlark.llm.line_dedup import apply_bitmaps, dedup_lines
+from gridlark.llm.near_copies import near_copies
 from gridlark.llm.sentencepieces import encode_documents
-from gridlark.llm.simhash import near_duplicates
 from gridlark.llm.source_mixing import mix_sources
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +28,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that SimHash links."""
-    found = near_duplicates(docs)
+    """The document with the smallest id of each group that near copies (five words, similarity 0.8) link."""
+    found = near_copies(docs)
     gone = found.where("doc_id is not null and component_id is not null and doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -271,14 +271,21 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     prints = durable(fingerprints(df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))).select("doc_id", "simhash"))
     points = durable(prints.groupBy("simhash").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
     found = components(near_links(points.select(F.col("simhash").alias("vertex"), "simhash"), radius, shard_points))
-    least = points.select(F.col("simhash").alias("vertex"), "least")
+    return label_rows(prints, points, found, "simhash").select("doc_id", "simhash", "component_id")
+
+
+def label_rows(prints: DataFrame, points: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """prints (doc_id and `key`, its point) with component_id, the smallest doc_id of what is linked.
+
+    points: `key`, least (its smallest doc_id), rows. found: vertex (a key), component."""
+    least = points.select(F.col(key).alias("vertex"), "least")
     names = found.join(least, "vertex").groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = found.join(names, "component").select(F.col("vertex").alias("simhash"), "component_id", F.lit(True).alias("linked"))
-    # Rows whose fingerprint is theirs alone are their own component. The others are joined, dealt by a salt, so that a
+    linked = found.join(names, "component").select(F.col("vertex").alias(key), "component_id", F.lit(True).alias("linked"))
+    # Rows whose point is theirs alone are their own component. The others are joined, dealt by a salt, so that a
     # huge group of copies doesn't meet in one task.
-    several = points.join(linked, "simhash", "left").where("rows > 1 or linked").select("simhash", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), F.lit(True).alias("several"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    each = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(several, ["simhash", "salt"], "left")
-    return each.select("doc_id", "simhash", F.when(F.col("several"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    several = points.join(linked, key, "left").where("rows > 1 or linked").select(key, F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), F.lit(True).alias("several"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    each = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(several, [key, "salt"], "left")
+    return each.select("doc_id", key, F.when(F.col("several"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 #: A group of equal fingerprints is dealt over so many parts when its rows learn their component.
