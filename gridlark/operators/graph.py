@@ -99,22 +99,27 @@ def _both(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, rounds: int = 60) -> DataFrame:
-    """v, component: its smallest vertex. Each round a vertex takes its neighbours' least label, then its label's label."""
-    both = checkpoint(_both(edges).where("src != dst").distinct())
-    every = both.select(F.col("src").alias("v")).distinct()
+    """v, component: its smallest vertex. Large-star and small-star steps by turns, so rounds grow with the logarithm of
+    the size and not with the length of paths; a run that hasn't settled after `rounds` raises."""
+    both = _both(edges)
+    every = both.select(F.col("src").alias("v"), (F.col("src") != F.col("dst")).alias("linked")).where("linked").select("v").distinct()
     if vertices is not None:
         every = every.union(vertices.select(F.col(vertices.columns[0]).alias("v"))).distinct()
-    labels = checkpoint(every.select("v", F.col("v").alias("component")))
+    flat = lambda e: e.where("src != dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+    links, before = checkpoint(flat(edges.select("src", "dst"))), None
     for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("v", "dst"), "dst").groupBy(F.col("src").alias("v")).agg(F.min("component").alias("near"))
-        new = labels.join(near, "v", "left").select("v", "component", F.least("component", F.coalesce("near", "component")).alias("new"))
-        up = new.select(F.col("v").alias("new"), F.col("new").alias("up"))
-        new = checkpoint(new.join(up, "new").select("v", "component", F.least("new", "up").alias("new")))
-        changed = new.where("component != new").limit(1).count()
-        labels = new.select("v", F.col("new").alias("component"))
-        if not changed:
+        around = _both(links)
+        low = around.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
+        links = flat(around.where("dst > src").join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")))
+        low = links.groupBy("src").agg(F.min("dst").alias("low"))
+        links = checkpoint(flat(links.join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).unionByName(low.select("src", F.col("low").alias("dst")))))
+        now = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("src", "dst"))).first()
+        if now == before:
             break
-    return labels
+        before = now
+    else:
+        raise RuntimeError("components did not settle")
+    return checkpoint(every.join(links.select(F.col("src").alias("v"), "dst"), "v", "left").select("v", F.coalesce("dst", "v").alias("component")))
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, *, limit: float = float("inf"), rounds: int = 1000) -> DataFrame:
