@@ -75,12 +75,31 @@ class Memo(dict):
         return value
 
 
+#: A group of more rows than this, or than this share of all rows, is dealt over parts when its rows are joined to it.
+PART_ROWS, PART_SHARE = 50_000, 5_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """rows, left joined with their groups. A large group is repeated once a part and its rows are dealt over the parts
+    in turn, so it doesn't meet in one task; all other groups are joined as they are.
+
+    rows: a durable table, as its rows are dealt by their places. sizes: the keys and n, the group's number of rows, durable. What is broadcast is a hash and a
+    number for each large group, of which there are at most PART_SHARE."""
+    most = max(PART_ROWS, (sizes.agg(F.sum("n")).first()[0] or 0) // PART_SHARE)
+    large = F.broadcast(sizes.where(F.col("n") > most).groupBy(F.xxhash64(*keys).alias("__hash")).agg(F.ceil(F.max("n") / most).cast("int").alias("__parts")))
+    told = lambda df: df.withColumn("__hash", F.xxhash64(*keys)).join(large, "__hash", "left").withColumn("__parts", F.coalesce("__parts", F.lit(1))).drop("__hash")
+    left = told(rows).withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.col("__parts")).cast("int")).drop("__parts")
+    right = told(groups).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    return left.join(right, [*keys, "__part"], "left").drop("__part")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[Column], rows: int, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text and the label columns of at most `rows` labelled documents, chosen by a hash of the id.
 
-    `rows` bounds what is broadcast and what a fit may gather. Labels without an id are left out; of several labels of
-    a document the largest counts."""
+    `rows` bounds what is broadcast and what a fit may gather. Rows without an id or with a null label are left out: they
+    say nothing. Of several labels of a document the largest counts."""
     named = labels.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), *columns)
     names = [c for c in named.columns if c != "doc_id"]
+    named = named.dropna(subset=names)
     chosen = named.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in names)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).join(F.broadcast(chosen), "doc_id")

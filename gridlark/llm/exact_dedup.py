@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import durable
+from gridlark.llm.common import durable, join_groups
 
 #: A chunk has at least LEAST and at most MOST characters; it ends after a blank, or at MOST.
 LEAST, MOST = 400, 2000
@@ -54,18 +54,13 @@ def exact_groups(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", b
     listed = docs.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.is_valid_utf8("text").alias("valid"), keys.alias("keys"), F.coalesce("numbers", nothing).alias("numbers"))
     listed = durable(listed.select("doc_id", "text_sha256", "valid", F.col("keys.h").alias("hashes"), F.col("keys.n").alias("lengths"), "numbers"))
     recipe = ["valid", "hashes", "lengths", "numbers"]
-    groups = listed.groupBy(*recipe).agg(F.count(F.lit(1)).alias("size"), F.max("doc_id").alias("largest")).where("size > 1")
-    # Only groups of several rows are joined back, once for each salt, so that a huge group is dealt over tasks.
-    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    each = listed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*recipe, "salt"], "left")
+    groups = durable(listed.groupBy(*recipe).agg(F.count(F.lit(1)).alias("size"), F.max("doc_id").alias("largest")).where("size > 1"))
+    # Only groups of several rows are joined back; a huge one is dealt over tasks.
+    each = join_groups(listed, groups, groups.withColumnRenamed("size", "n"), recipe)
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("largest"))
     return each.select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
-#: Each group of several documents is dealt over so many parts when it is joined back to its members.
-SALTS = 8
-
-
 def _with_numbers(docs: DataFrame, distinct: DataFrame, shared: DataFrame) -> DataFrame:
     """docs with `numbers`: at which places a chunk's key is shared by different texts, and which of them it is.
 

@@ -1,21 +1,29 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-Texts with equal sets are one point. Candidates come from MinHash signatures of BANDS bands of ROWS values: two points
-meet if a band agrees, which at similarity 0.8 fails with a chance of 7e-5 and above it with less. Each candidate pair is
-verified by the Jaccard similarity of the whole sets, so no link is wrong. Links become components.
+The SimHash search by vantage-point trees comes first, over five-word shingles: it links most copies. A pair at a
+similarity of 0.8 differs in ten of 64 bits on average, though, and no tree prunes at that radius. What SimHash leaves
+apart comes from MinHash signatures of BANDS bands of ROWS values: two points (texts with equal sets are one) meet in a
+bucket if a band agrees, which at similarity 0.8 fails with a chance of 7e-5, and above it with less. Each candidate pair
+is verified by the Jaccard similarity of the whole sets, so no link is wrong. Links become components.
 
-Buckets are read twice, ordered by the next two bands. First each point is compared with its bucket's first and the one
-before it, which links most of what is alike. Then each is compared with the bucket's first and the latest point of each
-of the NEIGHBOURS latest other components: what is linked already isn't compared again, so work follows the number of
-points and not the square of a group of copies.
+Only buckets with points of several components are looked into, and there only pairs of different components. The first
+pass takes from each bucket the pairs that would connect its components, likeliest first. The passes after it take every
+pair, by falling steps of the similarity that the signatures tell, down to LEAST; a pair at 0.8 is below that with a chance
+of 3e-5. What a pass links isn't compared again by the next, so a large group of copies costs its points and not its pairs;
+only texts that share a band and are truly apart are compared pair by pair. No number of partners or candidates is capped.
+
+A bucket's points are dealt over parts of at most PART points; the points outside the bucket's largest component go to each
+part, after those that the part holds, and are streamed past them. So a task holds one part, whatever the bucket's size.
 
 Edge cases: null, empty and blank texts have the empty set and are copies of each other; a text of fewer words than a
-shingle is one shingle; a null id is left aside by the minimum; extra columns are ignored.
+shingle is one shingle; a very long text is one set, held by one task at a time; rows without an id come after all others;
+repeated rows are copies like any other; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import blocks, durable, shuffle_partitions
-from gridlark.llm.simhash import SEED, components, label_rows, shingle_hashes
+from gridlark.llm.simhash import SEED, components, label_rows, near_links, print_of, shingle_hashes
 
 SIZE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
-#: In a bucket of more components a point is compared with so many of them, the latest.
-NEIGHBOURS = 16
+#: Similarities told by the signatures at which the passes end.
+STEPS = 0.75, 0.7, 0.675, 0.654
+LEAST = STEPS[-1]
+#: Points that a task holds of a bucket.
+PART = 20_000
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 31, (2, BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -37,16 +48,19 @@ def shingle_set(text: str | None, size: int = SIZE) -> np.ndarray:
     return np.unique(shingle_hashes(text, size))
 
 
-def band_keys(hashes: np.ndarray, step: int = 1 << 11) -> np.ndarray:
-    """A key for each band of the set's MinHash signature; none for the empty set."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
+def signature(hashes: np.ndarray, step: int = 1 << 11) -> np.ndarray:
+    """The set's MinHash values."""
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(hashes), step):
         h = hashes[i : i + step]
         mixed = h.astype(np.uint32) * _DRAWN[0]
         mixed += (h >> np.uint64(32)).astype(np.uint32) * _DRAWN[1]
         np.minimum(least, mixed.min(1), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A key for each band of a signature."""
     raw = memoryview(least.tobytes())
     return np.array([xxhash.xxh64_intdigest(raw[k * ROWS * 4 : (k + 1) * ROWS * 4], k) for k in range(BANDS)], np.uint64).view(np.int64)
 
@@ -57,45 +71,100 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sets(df: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, point (a hash of the set), bands, hashes of df's doc_id and text."""
+    """doc_id, point (a hash of the set), simhash, bands (none for the empty set), signature (the values' lowest bytes),
+    hashes of df's doc_id, text and text_key."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            found = [shingle_set(t, size) for t in b.column("text").to_pylist()]
-            point = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], np.uint64).view(np.int64)
-            cols = [b.column("doc_id"), pa.array(point), _lists([band_keys(h) for h in found]), _lists([h.view(np.int64) for h in found])]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "point", "bands", "hashes"])
-
-    return df.select("doc_id", "text").mapInArrow(made, "doc_id long, point long, bands array<long>, hashes array<long>")
-
-
-def candidates(points: DataFrame, neighbours: int) -> DataFrame:
-    """a < b: points of different components that share a band. points: point, component, bands."""
-
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first, recent = None, (0, 0), {}  # of the bucket that is read: the latest point of each component, the latest last
-        for batch in batches:
-            a, b = [], []
-            for key, point, own in zip(*(batch.column(c).to_pylist() for c in ("key", "point", "component"))):
-                if key != held:
-                    held, first, recent = key, (own, point), {own: point}
+            cols: list[list] = [[], [], [], [], []]
+            for t in b.column("text").to_pylist():
+                h = shingle_hashes(t, size)
+                own = np.unique(h)
+                least = signature(own)
+                for c, v in zip(cols, (xxhash.xxh64_intdigest(own.tobytes(), SEED), print_of(h), band_keys(least) if len(h) else np.zeros(0, np.int64), least.astype(np.uint8).tobytes(), own.view(np.int64))):
+                    c.append(v)
+            longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[:2]]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *longs, _lists(cols[2]), pa.array(cols[3], pa.binary()), _lists(cols[4])], ["doc_id", "text_key", "point", "simhash", "bands", "signature", "hashes"])
+
+    return df.select("doc_id", "text", "text_key").mapInArrow(made, "doc_id long, text_key long, point long, simhash long, bands array<long>, signature binary, hashes array<long>")
+
+
+def _connecting(est: np.ndarray, q: int, mine: np.ndarray, theirs: np.ndarray, roots: dict[int, int]) -> np.ndarray:
+    """Of the held places `mine` (components `theirs`) the likeliest one for each component that isn't joined to q's yet."""
+
+    def find(v: int) -> int:
+        while roots.get(v, v) != v:
+            v = roots[v]
+        return v
+
+    order = mine[np.argsort(-est[mine], kind="stable")]
+    _, first = np.unique(theirs[order], return_index=True)
+    out = []
+    for i in np.sort(first).tolist():
+        a, b = find(q), find(int(theirs[order[i]]))
+        if a != b:
+            roots[max(a, b)] = min(a, b)
+            out.append(order[i])
+    return np.array(out, np.int64)
+
+
+def _compared(batches: Iterator[pa.RecordBatch], low: float, high: float, connecting: bool, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components whose told similarity is in [low, high), from rows sorted by key, part and side."""
+    now, held, cat, roots = None, [], None, {}
+    for batch in batches:
+        key, part, side, band, point, component, outside, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "side", "band", "point", "component", "outside", "n"))
+        sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        a, b = [], []
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (side[1:] != side[:-1])])) if len(key) else np.zeros(0, int)
+        for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
+            if (key[x], part[x]) != now:
+                now, held, cat, roots = (key[x], part[x]), [], None, {}
+            if side[x] == 0:
+                held.append([v[x:y] for v in (point, component, outside, n, sig)])
+                continue
+            if not held:
+                continue
+            if cat is None:
+                cat = [np.concatenate(v) for v in zip(*held)]
+            points, comps, outs, sizes, sigs = cat
+            for i in range(x, y):
+                # A held point outside the largest component is streamed as well: such a pair is taken once.
+                other = (comps != component[i]) & (~outs | (points < point[i])) & (np.minimum(sizes, n[i]) >= similarity * np.maximum(sizes, n[i]))
+                at = np.flatnonzero(other)
+                if not len(at):
                     continue
-                others = [p for c, p in recent.items() if c != own][-neighbours:]
-                if first[0] != own and first[1] not in others:
-                    others.append(first[1])
-                a += others
-                b += [point] * len(others)
-                recent.pop(own, None)
-                recent[own] = point
-                if len(recent) > neighbours + 1:
-                    del recent[next(iter(recent))]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    each = points.select("point", "component", "bands", F.posexplode("bands").alias("k", "key"))
-    after = lambda n: F.get("bands", (F.col("k") + n) % BANDS)
-    dealt = each.select("key", after(1).alias("next"), after(2).alias("then"), "point", "component").repartition(shuffle_partitions(points), "key")
-    pairs = dealt.sortWithinPartitions("key", "next", "then", "point").select("key", "point", "component").mapInArrow(paired, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                same = sigs[at] == sig[i]
+                est = same.mean(1)
+                good = np.flatnonzero((est >= low) & (est < high))
+                if not connecting:  # a pair is taken where it first meets
+                    good = good[same[good].reshape(len(good), BANDS, ROWS).all(2).argmax(1) == band[i]]
+                elif len(good):
+                    good = _connecting(est, int(component[i]), good, comps[at], roots)
+                a += points[at[good]].tolist()
+                b += [int(point[i])] * len(good)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+
+def mixed_buckets(points: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components: key, band, point, component, parts, outside (of the bucket's largest
+    component). points: point, component, bands."""
+    each = points.select("point", "component", F.posexplode("bands").alias("band", "key"))
+    counts = each.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.count(F.lit(1)).alias("components"), F.sum("k").alias("k"), F.max_by("component", F.struct("k", "component")).alias("largest"))
+    mixed = counts.where("components > 1").select("key", "largest", F.ceil(F.col("k") / PART).cast("int").alias("parts"))
+    return each.join(mixed, "key").select("key", "band", "point", "component", "parts", (F.col("component") != F.col("largest")).alias("outside"))
+
+
+def candidates(points: DataFrame, signatures: DataFrame, low: float, high: float, *, connecting: bool = False, similarity: float = SIMILARITY) -> DataFrame:
+    """a < b: points of different components that share a band and whose told similarity is in [low, high).
+
+    connecting: only the likeliest pairs that would connect a bucket's components. signatures: point, signature, n."""
+    rows = mixed_buckets(points).join(signatures, "point")
+    own = F.pmod(F.xxhash64("point"), F.col("parts")).cast("int")
+    sent = F.when(F.col("outside"), F.concat(F.array(F.struct(own.alias("part"), F.lit(0).alias("side"))), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.lit(1).alias("side"))))).otherwise(F.array(F.struct(own.alias("part"), F.lit(0).alias("side"))))
+    dealt = rows.withColumn("sent", F.explode(sent)).select("key", "sent.part", "sent.side", "band", "point", "component", "outside", "n", "signature")
+    dealt = dealt.repartition(shuffle_partitions(points), "key", "part").sortWithinPartitions("key", "part", "side", "point")
+    pairs = dealt.mapInArrow(partial(_compared, low=low, high=high, connecting=connecting, similarity=similarity), "a long, b long")
+    return pairs.distinct() if connecting else pairs
 
 
 def verified(pairs: DataFrame, hashes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -111,25 +180,35 @@ def verified(pairs: DataFrame, hashes: DataFrame, similarity: float = SIMILARITY
                 good.append(both >= similarity * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
-    # Sets of which one is too small for the other can't be similar enough: they are left out before their sets are sent.
-    n = hashes.select("point", F.size("hashes").alias("n"))
-    near = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")
-    whole = near.join(hashes.toDF("a", "x"), "a").join(hashes.toDF("b", "y"), "b")
+    whole = pairs.join(hashes.toDF("a", "x"), "a").join(hashes.toDF("b", "y"), "b")
     return whole.select("a", "b", "x", "y").mapInArrow(checked, "src long, dst long")
 
 
-def near_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, similarity: float = SIMILARITY, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """df's rows as doc_id, point, component_id: the smallest doc_id of the texts that near copies link."""
-    made = durable(sets(df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text")), size).withColumn("row", F.monotonically_increasing_id()))
-    points = durable(made.groupBy("point").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.min("row").alias("row")))
+def near_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
+    """df's rows as doc_id, text_key (the text's xxhash64), point, component_id (the smallest doc_id of the texts that near
+    copies link) and kept: whether the row is its component's first by id and text_key. Repeated rows are kept alike."""
+    rows = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"), F.xxhash64(df[text]).alias("text_key"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    made = durable(sets(rows, size).select(place.alias("place"), "*", F.monotonically_increasing_id().alias("row")))
+    points = durable(made.groupBy("point").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("row", "simhash")).alias("one")).select("point", "least", "rows", "one.row", "one.simhash"))
     # A point's set and bands are those of one of its rows, so a huge group of copies doesn't meet in one task.
-    banded = durable(made.select("row", "bands").join(points.select("row", "point"), "row").select("point", F.col("point").alias("component"), "bands"))
-    pairs = durable(candidates(banded, 1))
-    asked = durable(pairs.select(F.col("a").alias("point")).union(pairs.select("b")).distinct())
-    hashes = durable(made.select("row", "hashes").join(points.join(asked, "point").select("row", "point"), "row").select("point", "hashes"))
-    links = durable(verified(pairs, hashes, similarity))
-    # All points of buckets with several are in `asked`.
-    known = components(links).select(F.col("vertex").alias("point"), F.col("component").alias("known"))
-    apart = banded.join(asked, "point").join(known, "point", "left").select("point", F.coalesce("known", "component").alias("component"), "bands")
-    more = verified(durable(candidates(apart, neighbours)), hashes, similarity)
-    return label_rows(made.select("doc_id", "point"), points, components(links.unionByName(more)), "point")
+    whole = durable(made.join(points.select("row"), "row").select("point", "bands", "signature", F.size("hashes").alias("n"), "hashes"))
+    hashes, told = whole.select("point", "hashes"), whole.select("point", "signature", "n")
+    links = durable(_simhash_links(points, hashes, similarity))
+    known = components(links)
+    for low, high, connecting in ((LEAST, 2.0, True), *((low, high, False) for low, high in zip(STEPS, (2.0, *STEPS)))):
+        apart = durable(whole.select("point", "bands").join(known.toDF("point", "known"), "point", "left").select("point", F.coalesce("known", "point").alias("component"), "bands"))
+        more = durable(verified(durable(candidates(apart, told, low, high, connecting=connecting, similarity=similarity)), hashes, similarity))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            known = components(links)
+    each = label_rows(made.select("place", "point"), points, known, "point", own="place")
+    return each.select("place.doc_id", "place.text_key", "point", F.col("component_id.doc_id").alias("component_id"), F.col("place").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _simhash_links(points: DataFrame, hashes: DataFrame, similarity: float) -> DataFrame:
+    """Links that the SimHash search finds and whose sets are similar enough: src, dst."""
+    prints = points.groupBy("simhash").agg(F.min("point").alias("vertex"))
+    near = near_links(durable(prints)).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    equal = points.join(prints, "simhash").where("point != vertex").select(F.col("vertex").alias("a"), F.col("point").alias("b"))
+    return verified(near.unionByName(equal), hashes, similarity)

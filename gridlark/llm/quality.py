@@ -6,7 +6,8 @@ As the softmax has two classes and the average is linear, what a word adds to th
 is worked out once a word and worker.
 
 Edge cases: null and empty texts have no words and get the bias alone; repeated rows get equal scores; without labelled
-rows every score is 0.5; extra columns are ignored.
+rows every score is 0.5; rows whose label is null aren't learnt from; a very long text is one cell, scored word by word;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,10 +44,14 @@ class EmbeddingModel:
     output: np.ndarray
     bias: np.ndarray
 
-    def scorer(self):
+    def pushes(self) -> tuple[np.ndarray, float]:
+        """What each bucket adds to the log-odds of class 1, and the log-odds without words: all that a score needs."""
+        return (self.vectors @ (self.output[:, 1] - self.output[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0])
+
+    @staticmethod
+    def scorer(push: np.ndarray, base: float):
         """A function from texts to probabilities of class 1."""
-        push = (self.vectors @ (self.output[:, 1] - self.output[:, 0])).astype(np.float64)
-        base = float(self.bias[1] - self.bias[0])
+        push = push.astype(np.float64)
         made = Memo(lambda w: complex(push[f := subwords(w)].sum(), len(f)))
 
         def score(texts: list[str | None]) -> np.ndarray:
@@ -100,7 +105,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: Column, rows: int = 6
                 counts.append(list(c.values()))
             yield pa.RecordBatch.from_arrays([pa.array(places, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), b.column("label")], ["places", "counts", "label"])
 
-    sample = labelled_sample(docs, labels, [F.coalesce(label.cast("int"), F.lit(0)).alias("label")], rows)
+    sample = labelled_sample(docs, labels, [label.cast("int").alias("label")], rows)
     got = sample.orderBy("doc_id").mapInArrow(counted, "places array<int>, counts array<int>, label int").toArrow()
     pairs = [(np.asarray(p.values), np.asarray(c.values)) for p, c in zip(got.column("places"), got.column("counts"))]
     return fit_embeddings(pairs, got.column("label").to_numpy())
@@ -109,9 +114,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: Column, rows: int = 6
 def score_quality(docs: DataFrame, model: EmbeddingModel, *, text: str = "text", output: str = "score") -> DataFrame:
     """The rows with a column `output`: the probability of class 1. Scores whole texts; no shuffle."""
 
+    held = docs.sparkSession.sparkContext.broadcast(model.pushes())  # BUCKETS numbers, a fixed size
+
     @F.arrow_udf("double")
     def scores(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        score = model.scorer()
+        score = EmbeddingModel.scorer(*held.value)
         for a in arrays:
             step = max(1, len(a) * BLOCK_BYTES // max(a.nbytes, 1))
             yield pa.array(np.concatenate([np.zeros(0), *(score(a.slice(i, step).to_pylist()) for i in range(0, len(a), step))]))

@@ -1,14 +1,15 @@
 """SimHash near-duplicates by vantage-point trees over Hamming distance.
 
-Fingerprints that are equal are one point. Two fingerprints at a distance of at most RADIUS differ by at most half of
-it in one of their 32-bit halves, so points are searched in two forests, one for each half, at that smaller radius; each
-hit is verified on all 64 bits, so the pairs found are exact.
+Fingerprints that are equal are one point. Two fingerprints at a distance of at most RADIUS are equal in one of RADIUS + 1
+parts of their bits, so there is a forest for each part, and the part's leading bits, as many as the number of points
+asks for, say in which shard of that forest a point is: RADIUS + 1 rows a point at any size, and no shard overlaps another.
 
-The top of each tree comes from a bounded sample (vantage points and the radii at which their shells split); it only
-decides where points are compared. A point is stored in the one leaf shard that its distances lead to and is sent as a
-query to each shard that its ball overlaps: by the triangle inequality no other shard can hold a partner. A shard builds
-its own tree over its points and prunes branches by the same bound. It returns links that connect what is linked, at
-most one a point, never all pairs. Links become components by alternating large-star and small-star steps.
+A shard builds vantage-point trees over its points: a node parts them by their distance from a vantage point, and a query
+goes to each side that its ball overlaps; by the triangle inequality no other side can hold a partner. A small radius
+prunes best, so there are two trees: what is left to differ is at most half of the radius either in the half of the bits
+with the shard's part or in the other half. Each hit is verified on all 64 bits, so the pairs found are exact. A shard
+returns links that connect what is linked, at most one a point, never all pairs. Links become components by alternating
+large-star and small-star steps.
 
 Edge cases: null, empty and blank texts have fingerprint zero and link to each other; a null id is left aside by the
 minimum (a component of null ids alone has a null component_id); repeated rows have equal fingerprints; extra columns
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import blocks, durable, words
+from gridlark.llm.common import blocks, durable, join_groups, shuffle_partitions, words
 
 RADIUS = 3
 SEED = 42
@@ -47,9 +48,8 @@ def shingle_hashes(text: str | None, size: int = 3) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, map(whole.__getitem__, cuts), repeat(SEED)), np.uint64, len(starts))
 
 
-def simhash(text: str | None, size: int = 3, step: int = 1 << 15) -> int:
-    """64 bits; each is 1 where more than half of the shingles' hashes have it."""
-    h = shingle_hashes(text, size)
+def print_of(h: np.ndarray, step: int = 1 << 15) -> int:
+    """64 bits; each is 1 where more than half of the hashes have it."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), step):
         bits = np.unpackbits(h[i : i + step].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -57,6 +57,11 @@ def simhash(text: str | None, size: int = 3, step: int = 1 << 15) -> int:
     return int((1 << _SHIFTS[ones * 2 > len(h)]).sum(dtype=np.uint64)) if len(h) else 0
 
 
+def simhash(text: str | None, size: int = 3, step: int = 1 << 15) -> int:
+    """The text's fingerprint, from the hashes of its shingles."""
+    return print_of(shingle_hashes(text, size), step)
+
+
 def fingerprints(df: DataFrame, *, text: str = "text", output: str = "simhash") -> DataFrame:
     """df with its texts' fingerprints as a signed long."""
 
@@ -91,6 +96,8 @@ def tie(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 LEAF = 192
 #: So many comparisons are made at once.
 AT_ONCE = 1 << 21
+#: So many vantage points are tried for a node; the one whose sides need the fewest comparisons is taken.
+VANTAGES = 4
 
 
 class ShardSearch:
@@ -109,9 +116,10 @@ class ShardSearch:
             keep = a != b
             tie(self.root, a[keep], b[keep])
 
-    def search(self, points: np.ndarray, queries: np.ndarray, keys: np.ndarray, reach: int, other: np.ndarray | None) -> None:
-        """points, queries: places in prints. keys: the half searched by; reach: the radius in it. other: the other
-        half, to split by where the keys are all the same."""
+    def search(self, points: np.ndarray, queries: np.ndarray, keys: np.ndarray, reach: int, other: np.ndarray | None = None) -> None:
+        """Compare the queries with all points within `reach` of them in `keys`. points, queries: places in prints. A node
+        parts its points by their distance from a vantage point; a query goes to each side that its ball overlaps. Points
+        whose keys are all the same are searched by `other` keys at the whole radius."""
         todo = [(points, queries)]
         while todo:
             p, q = todo.pop()
@@ -120,128 +128,84 @@ class ShardSearch:
             if len(p) <= LEAF:
                 self.compare(p, q)
                 continue
-            for at in (0, len(p) // 2, len(p) - 1, len(p) // 3):
+            best = None
+            for at in np.unique(np.linspace(0, len(p) - 1, VANTAGES).astype(int)).tolist():
                 d = _near(keys[p], keys[p[at]])
                 cut = int(np.median(d))
-                if cut == d.max():
-                    cut -= 1
-                if cut >= 0 and (d <= cut).any():
-                    break
-            else:
-                if other is not None and (keys[p] == keys[p[0]]).all():
-                    self.search(p, q, other, self.radius, None)
-                else:
-                    self.compare(p, q)
-                continue
-            dq = _near(keys[q], keys[p[at]])
-            todo.append((p[d <= cut], q[dq <= cut + reach]))
-            todo.append((p[d > cut], q[dq > cut - reach]))
-
-
-def halves(prints: np.ndarray) -> list[np.ndarray]:
-    return [prints & np.uint64(0xFFFFFFFF), prints >> np.uint64(32)]
-
-
-class TopTree:
-    """The first levels of a vantage-point tree: which shard stores a key, and which shards its ball overlaps."""
-
-    def __init__(self, keys: np.ndarray, depth: int):
-        self.nodes: list[tuple[int, int] | None] = []  # vantage and cut of each inner node, in breadth-first order
-        level, self.depth = [keys], depth
-        for _ in range(depth):
-            below = []
-            for k in level:
-                if len(k) < 2:
-                    self.nodes.append(None)
-                    below += [k, k[:0]]
+                cut -= cut == d.max()
+                if cut < 0 or not (d <= cut).any():
                     continue
-                best = None
-                for v in k[:: max(1, len(k) // 8)][:8].tolist():
-                    d = _near(k, np.uint64(v))
-                    cut = int(np.median(d))
-                    spread = float(((d >= cut - 1) & (d <= cut + 2)).mean()) + abs(float((d <= cut).mean()) - 0.5)
-                    if (d > cut).any() and (best is None or spread < best[0]):
-                        best = spread, v, cut
-                self.nodes.append(best and best[1:])
-                d = _near(k, np.uint64(best[1])) if best else None
-                below += [k[d <= best[2]], k[d > best[2]]] if best else [k, k[:0]]
-            level = below
-
-    def shards(self, keys: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the key, shard) for each shard that the key's ball of radius `reach` overlaps."""
-        place, node = np.arange(len(keys)), np.zeros(len(keys), np.int64)
-        for level in range(self.depth):
-            first, out = (1 << level) - 1, []
-            for n in np.unique(node).tolist():
-                own = place[node == n]
-                if (split := self.nodes[first + n]) is None:
-                    out.append((own, np.full(len(own), 2 * n)))
-                    continue
-                d = _near(keys[own], np.uint64(split[0]))
-                inner, outer = own[d <= split[1] + reach], own[d > split[1] - reach]
-                out += [(inner, np.full(len(inner), 2 * n)), (outer, np.full(len(outer), 2 * n + 1))]
-            place, node = (np.concatenate(x) for x in zip(*out)) if out else (place, node)
-        return place, node
+                dq = _near(keys[q], keys[p[at]])
+                inner, outer = dq <= cut + reach, dq > cut - reach
+                cost = int((d <= cut).sum()) * int(inner.sum()) + int((d > cut).sum()) * int(outer.sum())
+                if best is None or cost < best[0]:
+                    best = cost, d <= cut, inner, outer
+            if best is None and other is not None:
+                self.search(p, q, other, self.radius)
+                continue
+            if best is None or best[0] >= len(p) * len(q):
+                self.compare(p, q)
+                continue
+            _, near, inner, outer = best
+            todo += [(p[near], q[inner]), (p[~near], q[outer])]
 
 
-#: The top of the trees comes from 32 points a shard, at least and at most so many.
-SAMPLE = 20_000, 1 << 20
 #: A shard's aim: about so many points are stored in it.
-SHARD_POINTS = 8_000
+SHARD_POINTS = 4_000
 
 
 def near_links(points: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS) -> DataFrame:
     """src, dst: links that connect every two points (vertex, simhash; simhashes distinct) within the radius."""
-    n = points.count()
-    depth = int(np.clip(np.ceil(np.log2(max(n / shard_points, 1))), 0, 15))
-    bound = min(max(SAMPLE[0], 32 << depth), SAMPLE[1])
-    sample = np.array([r[0] for r in points.orderBy(F.xxhash64("simhash"), "simhash").limit(bound).select("simhash").collect()], np.int64).view(np.uint64)
-    trees = [TopTree(h, depth) for h in halves(sample)] if depth else []
-    reach = radius // 2
+    n, width = points.count(), 64 // (radius + 1)
+    lead = int(np.clip(np.ceil(np.log2(max(n / shard_points, 1))), 0, width))
+    forests = radius + 1 if lead else 1
+    shards = forests << lead
+    whole, reach = np.uint64((1 << 64) - 1), radius // 2
 
     def dealt(batches):
         for b in batches:
             prints = np.asarray(b.column("simhash")).view(np.uint64)
-            for half, keys in enumerate(halves(prints)):
-                if not depth:
-                    if half == 0:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(prints), np.int32)), pa.array(np.ones(len(prints), bool)), b.column("vertex"), b.column("simhash")], ["shard", "stored", "vertex", "simhash"])
-                    continue
-                home, place_shard = trees[half].shards(keys, 0)
-                at, shard = trees[half].shards(keys, reach)
-                own = np.zeros(len(keys), np.int64)
-                own[home] = place_shard
-                ids = (2 * shard + half).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(own[at] == shard), b.column("vertex").take(pa.array(at)), b.column("simhash").take(pa.array(at))], ["shard", "stored", "vertex", "simhash"])
+            for f in range(forests):
+                shard = (prints >> np.uint64(width * (f + 1) - lead) & np.uint64((1 << lead) - 1)).astype(np.int64) if lead else np.zeros(len(prints), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(shard * forests + f), b.column("vertex"), b.column("simhash")], ["shard", "vertex", "simhash"])
 
     def linked(batches):
-        held = list(batches)  # a shard's points and queries: some bytes each, and their number is bounded by the top tree
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        shards = table.column("shard").to_numpy()
-        order = np.argsort(shards, kind="stable")
-        prints, stored, vertex = (table.column(c).to_numpy(zero_copy_only=False)[order] for c in ("simhash", "stored", "vertex"))
-        shards = shards[order]
-        edges = np.flatnonzero(np.diff(shards)) + 1
-        for a, z in zip([0, *edges.tolist()], [*edges.tolist(), len(shards)]):
-            if z == a:
-                continue
-            part, own = prints[a:z].view(np.uint64), stored[a:z]
-            found, hs = ShardSearch(part, radius), halves(part)
-            half = int(shards[a]) % 2 if depth else 0
-            points, queries = np.flatnonzero(own), np.arange(len(part))
-            if depth:
-                found.search(points, queries, hs[half], reach, hs[1 - half])
+        for shard, prints, vertex in _runs(batches):
+            found, own = ShardSearch(prints, radius), np.arange(len(prints))
+            half = np.uint64((1 << 32) - 1)
+            if lead:  # the shard's part is the same in all that it has to find
+                f = shard % forests
+                half = half if width * f < 32 else half << np.uint64(32)
+                half &= ~(np.uint64((1 << width) - 1) << np.uint64(width * f))
+                rest = ~half & ~(np.uint64((1 << width) - 1) << np.uint64(width * f)) & whole
             else:
-                for h in (0, 1):
-                    found.search(points, queries, hs[h], reach, hs[1 - h])
-            tied = np.flatnonzero(found.root != np.arange(len(part)))
-            yield pa.RecordBatch.from_arrays([pa.array(vertex[a:z][tied]), pa.array(vertex[a:z][found.root[tied]])], ["src", "dst"])
-
-    shards = (2 << depth) if depth else 1
-    sent = points.select("vertex", "simhash").mapInArrow(dealt, "shard int, stored boolean, vertex long, simhash long")
-    return sent.repartitionById(shards, F.col("shard")).mapInArrow(linked, "src long, dst long")
+                rest = ~half & whole
+            found.search(own, own, prints & half, reach, prints & rest)
+            found.search(own, own, prints & rest, reach, prints & half)
+            tied = np.flatnonzero(found.root != own)
+            yield pa.RecordBatch.from_arrays([pa.array(vertex[tied]), pa.array(vertex[found.root[tied]])], ["src", "dst"])
+
+    n_parts = min(shards, max(shuffle_partitions(points), forests * n // 200_000))
+    sent = points.select("vertex", "simhash").mapInArrow(dealt, "shard long, vertex long, simhash long")
+    return sent.repartitionById(n_parts, (F.col("shard") % n_parts).cast("int")).sortWithinPartitions("shard").mapInArrow(linked, "src long, dst long")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, fingerprints, vertices) of each shard in turn, of rows sorted by shard: one shard is held at a time."""
+    now, held = None, []
+    for b in batches:
+        shard, prints, vertex = (b.column(c).to_numpy() for c in ("shard", "simhash", "vertex"))
+        edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for x, y in zip(edges, edges[1:]):
+            if x == y:
+                continue
+            if shard[x] != now and held:
+                yield now, np.concatenate([h[0] for h in held]).view(np.uint64), np.concatenate([h[1] for h in held])
+                held = []
+            now = int(shard[x])
+            held.append((prints[x:y], vertex[x:y]))
+    if held:
+        yield now, np.concatenate([h[0] for h in held]).view(np.uint64), np.concatenate([h[1] for h in held])
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
@@ -274,19 +238,14 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     return label_rows(prints, points, found, "simhash").select("doc_id", "simhash", "component_id")
 
 
-def label_rows(prints: DataFrame, points: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """prints (doc_id and `key`, its point) with component_id, the smallest doc_id of what is linked.
+def label_rows(prints: DataFrame, points: DataFrame, found: DataFrame, key: str, own: str = "doc_id") -> DataFrame:
+    """prints (`own` and `key`, its point; durable) with component_id, the smallest `own` of what is linked.
 
-    points: `key`, least (its smallest doc_id), rows. found: vertex (a key), component."""
+    points: `key`, least (its smallest `own`), rows; durable. found: vertex (a key), component."""
     least = points.select(F.col(key).alias("vertex"), "least")
     names = found.join(least, "vertex").groupBy("component").agg(F.min("least").alias("component_id"))
     linked = found.join(names, "component").select(F.col("vertex").alias(key), "component_id", F.lit(True).alias("linked"))
-    # Rows whose point is theirs alone are their own component. The others are joined, dealt by a salt, so that a
-    # huge group of copies doesn't meet in one task.
-    several = points.join(linked, key, "left").where("rows > 1 or linked").select(key, F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), F.lit(True).alias("several"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    each = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(several, [key, "salt"], "left")
-    return each.select("doc_id", key, F.when(F.col("several"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-#: A group of equal fingerprints is dealt over so many parts when its rows learn their component.
-SALTS = 8
+    # Rows whose point is theirs alone are their own component. The others are joined, and a huge group of copies is dealt.
+    several = points.join(linked, key, "left").where("rows > 1 or linked").select(key, F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), F.lit(True).alias("several"))
+    each = join_groups(prints, several, points.select(key, F.col("rows").alias("n")), [key])
+    return each.withColumn("component_id", F.when(F.col("several"), F.col("component_id")).otherwise(F.col(own))).select(*prints.columns, "component_id")

@@ -5,7 +5,8 @@ In training these inputs are out-of-fold predictions, so later models learn from
 they meet in scoring. Terms are hashed whole words and word beginnings and endings; a term counts once a document.
 
 Edge cases: null and empty texts have no terms and get the intercepts' probabilities; repeated rows get equal
-results; with no labelled rows, or a category without positives, that category's probability is its base rate; extra
+results; rows with a category whose label is null aren't learnt from; with no labelled rows, or a category without
+positives, that category's probability is its base rate; of a very long text only its distinct words are held; extra
 columns pass through untouched.
 """
 
@@ -146,7 +147,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Colum
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), *(b.column(n) for n in names)], ["terms", *names])
 
     names = list(categories)
-    sample = labelled_sample(docs, labels, [F.coalesce(c.cast("int"), F.lit(0)).alias(n) for n, c in categories.items()], rows)
+    sample = labelled_sample(docs, labels, [c.cast("int").alias(n) for n, c in categories.items()], rows)
     got = sample.orderBy("doc_id").mapInArrow(terms, "terms array<int>, " + ", ".join(f"{n} int" for n in names)).toArrow()
     flat = [np.asarray(x.values) for x in got.column("terms")]
     return fit_chain(flat, np.stack([got.column(n).to_numpy() for n in names], 1).astype(int).reshape(-1, len(names)), names)

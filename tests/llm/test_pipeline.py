@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import sentencepiece
 from gridlark.llm import queries
-from tests.llm import test_line_dedup, test_simhash, test_source_mixing
+from tests.llm import test_line_dedup, test_near_copies, test_source_mixing
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -43,7 +43,7 @@ def test_lines(stages):
 
 def test_one_of_each_group_stays(stages):
     docs = sorted((r.doc_id, r.text) for r in stages[2])
-    groups = test_simhash.brute_components([test_simhash.brute_print(t) for _, t in docs])
+    groups = test_near_copies.brute_components([t for _, t in docs])
     assert sorted(r.doc_id for r in stages[3]) == sorted({docs[c][0] for c in groups})
 
 
