@@ -1,5 +1,12 @@
 """A corpus pipeline in stages: toxic documents go, repeated lines go, one document of each near-duplicate group stays,
-sources are mixed to their weights, and what is left is encoded. Each stage works on what its predecessor kept."""
+sources are mixed to their weights, and what is left is encoded. Each stage works on what its predecessor kept.
+
+Edge cases, in every stage: a null or empty text is a document like any other (not toxic unless the fit's intercept says
+so; one empty line; a near copy of other blank texts; no tokens to mix; begin and end ids alone). A null id stays null and
+comes after every other. Repeated rows are judged alike, and the near-duplicate stage keeps one of them. A null source is a
+source of its own. Very long texts are read whole, one by one. Extra columns pass through all stages but the last, whatever
+their names. An empty table stays empty; without labels no document is rejected.
+"""
 
 from __future__ import annotations
 
@@ -28,10 +35,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that near copies (five words, similarity 0.8) link."""
-    found = near_copies(docs)
-    gone = found.where("doc_id is not null and component_id is not null and doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group that near copies (five words, similarity 0.8) link: the one with the smallest id, and of rows
+    with that id the one with the smallest hash of its text. Rows without an id come last. Of repeated rows one stays."""
+    found = common.durable(near_copies(docs).select("doc_id", "text_key", "kept"))
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    told = lambda keys: keyed["doc_id"].cast("long").eqNullSafe(keys["doc_id"]) & (keyed["__key"] == keys["text_key"])
+    gone = found.where("not kept").select("doc_id", "text_key").distinct()
+    again = common.durable(found.where("kept").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    rest = keyed.join(gone, told(gone), "left_anti")
+    if not again.isEmpty():
+        once = keyed.join(again, told(again), "left_semi").dropDuplicates(["doc_id", "__key"])
+        rest = rest.join(again, told(again), "left_anti").unionByName(once)
+    return rest.select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
