@@ -1,10 +1,13 @@
 import hashlib
+import time
 
 import numpy as np
 import pytest
 import sentencepiece
-from gridlark.llm.queries import tokenizer_path
+from gridlark.llm.queries import op5_sentencepiece, tokenizer_path
 from gridlark.llm.sentencepieces import CharacterMap, PieceModel, _fields, encode_documents
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 PATH = tokenizer_path("piece_bpe_32k.model")
 TEXTS = ["", " ", "  a  b ", "\n", "a\nb\n\n c", "▁x ▁", "日本語 テスト🙂🙂", "\t\tx", "a" * 300, "\x00a", "<s> </s> <0x0A>", "x▁▁ y", "|a|b| c |", "\r\n", "Hello, world. This is it.", "L'été où être naïf"]
@@ -47,6 +50,49 @@ def test_character_map(rule):
         assert (np.diff(place) >= 0).all()
 
 
+@given(st.text(alphabet="abcdeé日🙂.-", min_size=1, max_size=200))
+@settings(max_examples=150, deadline=None)
+def test_long_units_merge_alike(text):
+    m = PieceModel(open(PATH, "rb").read()) if not _made else _made[0]
+    _made[:] = [m]
+    assert m._merged(text) == m._merged_long(text)
+
+
+_made: list[PieceModel] = []
+
+
+def test_a_megabyte_without_blanks(both):
+    own, library = both
+    text = "".join(np.random.default_rng(0).choice(list("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/"), 1_000_000))
+    start = time.perf_counter()
+    ids = own.encode(text)
+    assert time.perf_counter() - start < 20  # a few seconds alone
+    assert ids.tolist() == library.encode(text, add_bos=True, add_eos=True)
+
+
+def test_the_short_way_is_the_character_maps_way(both, spark):
+    """Without a map, encode and spans replace blanks alone. Going through the map's record gives the same on the whole table."""
+    own, _ = both
+    assert own.plain
+    mapped = PieceModel(open(PATH, "rb").read())
+    mapped.plain = False
+    for t in [*TEXTS, *(r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())]:
+        ids = own.encode(t)
+        assert (mapped.encode(t) == ids).all() and (mapped.spans(t, ids) == own.spans(t, ids)).all()
+
+
+def test_query(spark, both):
+    """The registered query against the library, on the whole table."""
+    library, docs = both[1], spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for r in docs:
+        ids = library.encode(r.text or "", add_bos=True, add_eos=True)
+        want.append((r.doc_id, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids).encode())))
+    got = op5_sentencepiece(spark, "/root/testdata/sf0.01").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_documents(spark, odd, both):
     own, library = both
     rows = encode_documents(odd, PATH, output="digest").collect()
