@@ -31,15 +31,21 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The same rows from the shared checkpoint folder: computed once, and safe against lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which the driver and all executors share.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset (a local run) is one made."""
-    sc = df.sparkSession.sparkContext
+    It is the session's spark.checkpoint.dir. Only where that is unset (a local run) is one made."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         if not (sc.getConf().get("spark.checkpoint.dir") or sc.master.startswith("local")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The same rows from the shared checkpoint folder: computed once, and safe against lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -60,15 +66,20 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
 
 
 class Memo(dict):
-    """A dict that makes missing values with `make` and starts anew at `most` entries, so its memory is bounded.
+    """A dict that makes missing values with `make` and starts anew at `most` entries; what is made of a key longer than
+    LONG_KEY isn't kept. So its memory is bounded.
 
     What is made depends on the key alone: forgetting changes the time taken, never a result."""
 
+    LONG_KEY = 400
+
     def __init__(self, make: Callable, most: int = 600_000):
         super().__init__()
         self.make, self.most = make, most
 
     def __missing__(self, key):
+        if len(key) > self.LONG_KEY:
+            return self.make(key)
         if len(self) >= self.most:
             self.clear()
         value = self[key] = self.make(key)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from gridlark.llm.sentencepieces import encode_documents
 from gridlark.llm.simhash import near_duplicates
 from gridlark.llm.source_mixing import mix_sources
 from gridlark.llm.toxicity import fit_toxicity, score_toxicity
-from gridlark.llm.training_order import training_order
+from gridlark.llm.training_order import materialise
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,12 +32,15 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's budget takes it, with its place in the order. A null source is one; blank texts have no tokens."""
     mixed = mix_sources(common.read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "source", "mix.*")
 
 
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order(common.read_table(spark, sf_dir, "documents"))
+    """The shards' manifest. The shards themselves are in a folder of their own beside the checkpoints."""
+    folder = f"{common.shared_folder(spark)}/training-order-{uuid.uuid4().hex}"
+    return materialise(common.read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), folder).withColumn("folder", F.lit(folder))
 
 
 def toxicity_categories() -> dict:
@@ -51,6 +55,7 @@ def scored_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str, output: s
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each category's probability, and whether the document stays. Blank texts get the intercepts' probabilities."""
     p = F.col("toxicity")
     scored = scored_toxicity(spark, common.read_table(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir)
     toxic = p["toxic"] >= 0.5
@@ -58,6 +63,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each whole text, learnt where the id's remainder isn't 0. Blank texts get the bias."""
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     learnt = common.read_table(spark, sf_dir, "labels").where(common.remainder("doc_id", 5) != 0)
     scored = score_quality(docs, fit_quality(docs, learnt, F.col("quality")))
@@ -65,27 +71,33 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of ids and digests of the ids, the decoded text and the spans. Null is empty: begin and end ids."""
     return encode_documents(common.read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), output="digest")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's group of equal texts. Null is empty; a null id is below every other."""
     return exact_groups(common.read_table(spark, sf_dir, "documents"))
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each text, of its edited text, and likeness to that and to the next document."""
     return compare_neighbours(common.read_table(spark, sf_dir, "documents"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each row. Blank texts have fingerprint zero and link."""
     found = near_duplicates(common.read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of each text, learnt where the id's remainder isn't 2. Null is empty: one end."""
     return score_texts(common.read_table(spark, sf_dir, "documents"), common.remainder("doc_id", 7) == 2)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines before, lines dropped, digest of what stays. Null and empty texts are one empty line, which stays."""
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = apply_bitmaps(dedup_lines(docs))
     return kept.select("doc_id", "kept.n_lines", "kept.n_dropped", F.sha2("kept.text", 256).alias("kept_sha256"))

@@ -1,14 +1,18 @@
 """Training-order materialisation: every sequence gets a global slot by a keyed permutation, and slots are written as
 shards of a fixed stride, so that reading is sequential and can resume anywhere.
 
-Documents are cut into sequences of a fixed number of byte tokens (the text's UTF-8 bytes, END after the last, then
-PAD). Sequences are numbered in order of document id: ranges of the id are summed first, and a running sum goes over the
-documents of a range only. The number goes through a Feistel network over the next power of two, walked on until it falls
-within the number of sequences: a permutation that needs no table and that can be inverted. Ranges of slots are dealt to
-tasks and sorted there.
-
-Edge cases: null and empty texts are one sequence of END alone; a null id comes last; rows of one id are in order of
-their text's hash; repeated rows are sequences each; an empty table gives an empty table; extra columns are ignored.
+Documents become token ids (a SentencePiece model's, with its begin and end ids) and are laid end to end in order of
+document id; every `length` tokens are a sequence, so no token is padding but those after the last document. Tokens are
+counted by ranges of the id first, and a running sum goes over the documents of a range only. A sequence's number goes
+through a Feistel network over the next power of two, walked on until it falls within the number of sequences: a
+permutation that needs no table and that can be inverted. Ranges of slots are dealt to tasks, sorted there, and written.
+
+Shards go through pyarrow's file systems into a folder that all executors share: a path, or a URI of a store that pyarrow
+knows (file, hdfs, s3, gs, abfs).
+
+Edge cases: null and empty texts are a begin and an end id; a null id comes last; rows of one id are in order of their
+text's hash; repeated rows are laid out each; a very long text runs through as many sequences as it needs; an empty table
+gives an empty table and no shard; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,13 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import shuffle_partitions
+from gridlark.llm.common import blocks, durable, shuffle_partitions
 
 LENGTH = 1024
-END, PAD = 256, 257
+#: Fills the last sequence; no model has an id as large.
+PAD = 0xFFFF
 SHARD_SEQUENCES = 4096
 RANGE_ROWS = 2000
 ROUNDS = 8
@@ -62,15 +68,45 @@ def permute(x: np.ndarray, n: int, key: int, *, inverse: bool = False) -> np.nda
     return out.astype(np.int64)
 
 
-def training_order(df: DataFrame, *, key: int = 1, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, doc_id: str = "doc_id", text: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """slot, shard, byte_offset (in the shard), doc_id, sequence (of the document), n_tokens (without PAD), tokens (binary,
-    `length` little-endian 16-bit ids); partitions hold ranges of slots, each in order.
+_processors: dict[str, object] = {}
 
-    Shard k has the slots from k * shard_sequences on."""
-    docs = df.select(df[doc_id].cast("long").alias("doc_id"), F.coalesce(df[text], F.lit("")).cast("binary").alias("data"))
-    docs = docs.withColumn("pieces", F.ceil((F.octet_length("data") + 1) / length))
+
+def _encoder(blob: bytes):
+    """The library's processor of a model file, made once a worker."""
+    import sentencepiece
+
+    key = hashlib.sha256(blob).hexdigest()
+    if key not in _processors:
+        _processors.clear()
+        _processors[key] = sentencepiece.SentencePieceProcessor(model_proto=blob)
+    return _processors[key]
+
+
+def token_ids(df: DataFrame, model_path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, key (the text's xxhash64), n, ids (little-endian 16-bit) of every text."""
+    with open(model_path, "rb") as f:
+        blob = f.read()
+    if _encoder(blob).get_piece_size() > PAD:
+        raise ValueError("ids of 16 bits need a vocabulary of at most 65535 pieces")
+    held = df.sparkSession.sparkContext.broadcast(blob)  # a model file: its size doesn't follow the data
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoder(held.value).encode
+        for b in blocks(batches):
+            ids = [np.array(x, "<u2") for x in encode([t or "" for t in b.column("text").to_pylist()], add_bos=True, add_eos=True, num_threads=1)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "key", "n", "ids"])
+
+    rows = df.select(df[doc_id].cast("long").alias("doc_id"), F.xxhash64(df[text]).alias("key"), df[text].alias("text"))
+    return rows.mapInArrow(encoded, "doc_id long, key long, n long, ids binary")
+
+
+def training_order(docs: DataFrame, *, key: int = 1, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """slot, shard, byte_offset (in the shard), number (of the sequence before it was permuted), n_tokens (without PAD),
+    tokens (binary, `length` little-endian 16-bit ids); partitions hold ranges of slots, each in order.
+
+    docs: as from token_ids, durable. Shard k has the slots from k * shard_sequences on."""
     rows = docs.count()
-    n = int(min(rows // range_rows + 1, 4 * max(shuffle_partitions(df), 64)))
+    n = int(min(rows // range_rows + 1, 4 * max(shuffle_partitions(docs), 64)))
     limits = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
     limits = np.unique(np.array(limits or [], np.int64))
 
@@ -80,91 +116,125 @@ def training_order(df: DataFrame, *, key: int = 1, length: int = LENGTH, shard_s
         return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), len(limits) + 1, found), pa.int32())
 
     placed = docs.withColumn("part", range_of("doc_id"))
-    sums = {r.part: r.n for r in placed.groupBy("part").agg(F.sum("pieces").alias("n")).collect()}  # a row a range
-    total = sum(sums.values())
+    sums = {r.part: r.n for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row a range
+    tokens = sum(sums.values())
+    total = -(-tokens // length)
     starts, at = [], 0
     for p in range(len(limits) + 2):
         starts.append(at)
         at += sums.get(p, 0)
     first = F.element_at(F.lit(np.array(starts, np.int64)), F.col("part") + 1)
-    before = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("data"), "pieces").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.repartitionById(len(limits) + 2, F.col("part")).withColumn("start", first + F.coalesce(F.sum("pieces").over(before), F.lit(0)))
-    cut = F.transform(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1), lambda k: F.struct(k.alias("k"), F.substring(F.col("data"), (k * length + 1).cast("int"), F.lit(length)).alias("data")))
-    each = placed.select("doc_id", "start", "pieces", F.explode(cut).alias("piece")).select("doc_id", "pieces", F.col("piece.k").alias("sequence"), F.col("piece.data").alias("data"), (F.col("start") + F.col("piece.k")).alias("number"))
+    before = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_last(), "key", "n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.repartitionById(len(limits) + 2, F.col("part")).withColumn("start", first + F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # A document's share of each sequence that it reaches into: from where in the document, and to where in the sequence.
+    number = F.explode(F.sequence(F.expr(f"start div {length}"), F.expr(f"(start + n - 1) div {length}")))
+    each = placed.where("n > 0").select("start", "n", "ids", number.alias("number"))
+    low, high = F.greatest("start", F.col("number") * length), F.least(F.col("start") + F.col("n"), (F.col("number") + 1) * length)
+    cut = F.substring(F.col("ids"), ((low - F.col("start")) * 2 + 1).cast("int"), ((high - low) * 2).cast("int"))
 
     @F.arrow_udf("long")
     def slots(numbers: pa.Array) -> pa.Array:
         return pa.array(permute(numbers.to_numpy(zero_copy_only=False), total, key))
 
     shards = max(1, -(-total // shard_sequences))
-    parts = min(shards, max(shuffle_partitions(df), total * length // (64 << 20)))
-    dealt = each.select(slots("number").alias("slot"), "doc_id", "sequence", (F.col("sequence") == F.col("pieces") - 1).alias("last"), "data")
+    parts = min(shards, max(shuffle_partitions(docs), 2 * tokens // (64 << 20)))
+    dealt = each.select(slots("number").alias("slot"), "number", (low - F.col("number") * length).cast("int").alias("at"), cut.alias("data"))
     shard = F.expr(f"slot div {shard_sequences}")
-    dealt = dealt.repartitionById(parts, (shard * parts / shards).cast("int")).sortWithinPartitions("slot")
+    dealt = dealt.repartitionById(parts, (shard * parts / shards).cast("int")).sortWithinPartitions("slot", "at")
     stride = 2 * length
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 2048):
-                b = whole.slice(i, 2048)
-                ids = np.full((b.num_rows, length), PAD, "<u2")
-                sizes = []
-                for row, data, last in zip(ids, b.column("data").to_pylist(), b.column("last").to_pylist()):
-                    size = len(data)
-                    row[:size] = np.frombuffer(data, np.uint8)
-                    if last:
-                        row[size] = END
-                    sizes.append(size + last)
-                slot = b.column("slot").to_numpy()
-                raw = pa.Array.from_buffers(pa.binary(stride), b.num_rows, [None, pa.py_buffer(ids.tobytes())]).cast(pa.binary())
-                cols = [b.column("slot"), pa.array(slot // shard_sequences), pa.array(slot % shard_sequences * stride), b.column("doc_id"), b.column("sequence"), pa.array(sizes, pa.int32()), raw]
-                yield pa.RecordBatch.from_arrays(cols, ["slot", "shard", "byte_offset", "doc_id", "sequence", "n_tokens", "tokens"])
-
-    return dealt.mapInArrow(tokens, "slot long, shard long, byte_offset long, doc_id long, sequence long, n_tokens int, tokens binary")
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, done = None, [], []
+
+        def close() -> None:
+            raw = b"".join(held)
+            done.append((*now, len(raw) // 2, raw + PAD.to_bytes(2, "little") * ((stride - len(raw)) // 2)))
+
+        def out() -> pa.RecordBatch:
+            slot, number, sizes, raw = zip(*done)
+            done.clear()
+            slot = np.array(slot, np.int64)
+            cols = [pa.array(slot), pa.array(slot // shard_sequences), pa.array(slot % shard_sequences * stride), pa.array(number, pa.int64()), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["slot", "shard", "byte_offset", "number", "n_tokens", "tokens"])
+
+        for b in batches:
+            for slot, number, data in zip(b.column("slot").to_pylist(), b.column("number").to_pylist(), b.column("data").to_pylist()):
+                if now is None or slot != now[0]:
+                    if now:
+                        close()
+                    now, held = (slot, number), []
+                held.append(data)
+                if len(done) >= 1024:
+                    yield out()
+        if now:
+            close()
+        if done:
+            yield out()
+
+    return dealt.mapInArrow(joined, "slot long, shard long, byte_offset long, number long, n_tokens int, tokens binary")
 
 
 def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
+def store(folder: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if "://" not in folder:
+        return pa.fs.LocalFileSystem(), folder.removeprefix("file:")
+    return pa.fs.FileSystem.from_uri(folder)
+
+
 def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
-    """Write training_order's rows as one file a shard into a folder that all executors share; shard, bytes, sha256 of
-    each. A shard appears under its name only when it is whole, so a task that runs again does no harm."""
+    """Write training_order's rows as one file a shard: shard, first_slot, n_sequences, n_tokens, bytes, sha256 of each.
+    A shard appears under its name only when it is whole, so a task that runs again does no harm."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
-        now, out, sha, size, path = None, None, None, 0, ""
-        done = []
+        fs, root = store(folder)
+        fs.create_dir(root, recursive=True)
+        now, out, sha, path, told, done = None, None, None, "", [], []
 
         def close():
             if out:
                 out.close()
-                os.replace(path, os.path.join(folder, shard_name(now)))
-                done.append((now, size, sha.hexdigest()))
+                whole = f"{root}/{shard_name(now)}"
+                try:
+                    fs.move(path, whole)
+                except OSError:  # a store that doesn't replace: the same shard is there from a task before
+                    if fs.get_file_info(whole).size != told[3]:
+                        raise
+                    fs.delete_file(path)
+                done.append((now, *told, sha.hexdigest()))
 
         for b in batches:
-            for shard, raw in zip(b.column("shard").to_pylist(), b.column("tokens").to_pylist()):
+            for shard, slot, n, raw in zip(*(b.column(c).to_pylist() for c in ("shard", "slot", "n_tokens", "tokens"))):
                 if shard != now:
                     close()
-                    now, sha, size = shard, hashlib.sha256(), 0
-                    path = os.path.join(folder, f".{shard_name(shard)}.{os.getpid()}.{os.urandom(4).hex()}")
-                    out = open(path, "wb")  # noqa: SIM115
+                    now, sha, told = shard, hashlib.sha256(), [slot, 0, 0, 0]
+                    path = f"{root}/.{shard_name(shard)}.{os.getpid()}.{os.urandom(4).hex()}"
+                    out = fs.open_output_stream(path)
                 out.write(raw)
                 sha.update(raw)
-                size += len(raw)
+                told[1:] = told[1] + 1, told[2] + n, told[3] + len(raw)
         close()
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], ["shard", "bytes", "sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], ["shard", "first_slot", "n_sequences", "n_tokens", "bytes", "sha256"])
+
+    return ordered.select("shard", "slot", "n_tokens", "tokens").mapInArrow(write, "shard long, first_slot long, n_sequences long, n_tokens long, bytes long, sha256 string")
+
 
-    return ordered.select("shard", "tokens").mapInArrow(write, "shard long, bytes long, sha256 string")
+def materialise(df: DataFrame, model_path: str, folder: str, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Texts to shards: write_shards over training_order over token_ids. The files are written when the rows are read."""
+    return write_shards(training_order(durable(token_ids(df, model_path, doc_id=doc_id, text=text)), **options), folder)
 
 
 def read_from(folder: str, slot: int = 0, *, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES) -> Iterator[np.ndarray]:
     """Sequences in training order from a slot on: the place to go on is slot times the stride."""
+    fs, root = store(folder)
     shard, skip = divmod(slot, shard_sequences)
-    while os.path.exists(path := os.path.join(folder, shard_name(shard))):
-        with open(path, "rb") as f:
-            f.seek(skip * 2 * length)
+    while fs.get_file_info(path := f"{root}/{shard_name(shard)}").type == pa.fs.FileType.File:
+        with fs.open_input_file(path) as f:
+            f.seek(min(skip * 2 * length, f.size()))
             while raw := f.read(2 * length):
                 yield np.frombuffer(raw, "<u2")
         shard, skip = shard + 1, 0

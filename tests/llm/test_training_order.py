@@ -2,8 +2,10 @@ import hashlib
 
 import numpy as np
 import pytest
+import sentencepiece
+from gridlark.llm import common
 from gridlark.llm import training_order as T
-from gridlark.llm.queries import op2_training_order
+from gridlark.llm.queries import op2_training_order, tokenizer_path
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -23,47 +25,60 @@ def test_permutation_depends_on_key_and_mixes():
     assert abs(np.corrcoef(np.arange(10_000), a)[0, 1]) < 0.05
 
 
+LIBRARY = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+
+
 def brute(rows, length, key):
-    """slot -> (doc_id, sequence, tokens)"""
-    pieces = []
-    keyed = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
-    for d, t in keyed:
-        ids = [*(t or "").encode(), T.END]
-        pieces += [(d, i // length, ids[i : i + length]) for i in range(0, len(ids), length)]
-    slots = T.permute(np.arange(len(pieces)), len(pieces), key)
-    return {int(s): (d, k, [*x, *[T.PAD] * (length - len(x))], len(x)) for s, (d, k, x) in zip(slots, pieces)}
+    """slot -> (number, tokens with PAD, tokens without)"""
+    stream = []
+    for _, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        stream += LIBRARY.encode(t or "", add_bos=True, add_eos=True)
+    n = -(-len(stream) // length)
+    slots = T.permute(np.arange(n), n, key)
+    parts = [stream[k * length : (k + 1) * length] for k in range(n)]
+    return {int(s): (k, [*x, *[T.PAD] * (length - len(x))], len(x)) for k, (s, x) in enumerate(zip(slots, parts))}
 
 
 def got(df):
-    return {r.slot: (r.doc_id, r.sequence, np.frombuffer(r.tokens, "<u2").tolist(), r.n_tokens) for r in df.collect()}
+    return {r.slot: (r.number, np.frombuffer(r.tokens, "<u2").tolist(), r.n_tokens) for r in df.collect()}
+
+
+def ordered(docs, **options):
+    return T.training_order(common.durable(T.token_ids(docs, tokenizer_path("piece_bpe_32k.model"))), **options)
 
 
 @pytest.mark.parametrize("range_rows", [2, 2000])
 def test_odd(odd, empty, range_rows):
-    out = T.training_order(odd, length=8, shard_sequences=5, range_rows=range_rows)
-    assert got(out) == brute([(r.doc_id, r.text) for r in odd.collect()], 8, 1)
+    out = ordered(odd, length=8, shard_sequences=5, range_rows=range_rows)
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    assert got(out) == brute(rows, 8, 1)
     assert out.count() == len(got(out))
-    assert T.training_order(empty).count() == 0
+    assert ordered(empty).count() == 0 and T.write_shards(ordered(empty), "/tmp/never").count() == 0
 
 
 def test_query(spark):
-    out = op2_training_order(spark, "/root/testdata/sf0.01")
+    """The registered query's shards, read back from its folder, are the brute-force order of the whole table."""
+    out = op2_training_order(spark, "/root/testdata/sf0.01").collect()
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
-    assert got(out) == brute([(r.doc_id, r.text) for r in docs], T.LENGTH, 1)
-    rows = out.collect()
-    assert all(r.slot == r.shard * T.SHARD_SEQUENCES + r.byte_offset // (2 * T.LENGTH) for r in rows)
-    assert [r.slot for r in rows] == sorted(r.slot for r in rows)  # partitions are ranges, each in order
+    want = brute([(r.doc_id, r.text) for r in docs], T.LENGTH, 1)
+    folder = out[0].folder
+    assert [x.tolist() for x in T.read_from(folder)] == [want[s][1] for s in range(len(want))]
+    for r in out:
+        raw = np.array([want[s][1] for s in range(r.first_slot, r.first_slot + r.n_sequences)], "<u2").tobytes()
+        assert (r.first_slot, r.bytes, r.sha256) == (r.shard * T.SHARD_SEQUENCES, len(raw), hashlib.sha256(raw).hexdigest())
+    assert sum(r.n_sequences for r in out) == len(want) and sum(r.n_tokens for r in out) == sum(w[2] for w in want.values())
 
 
 def test_shards(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    out = T.training_order(docs, length=256, shard_sequences=100)
+    out = ordered(docs, length=256, shard_sequences=100)
     want = [np.frombuffer(r.tokens, "<u2").tolist() for r in out.orderBy("slot").collect()]
-    made = {r.shard: r for r in T.write_shards(out, str(tmp_path)).collect()}
+    folder = f"file://{tmp_path}/shards"
+    made = {r.shard: r for r in T.write_shards(out, folder).collect()}
     for k, r in made.items():
-        raw = (tmp_path / T.shard_name(k)).read_bytes()
+        raw = (tmp_path / "shards" / T.shard_name(k)).read_bytes()
         assert len(raw) == r.bytes and hashlib.sha256(raw).hexdigest() == r.sha256
     assert sum(r.bytes for r in made.values()) == len(want) * 512
-    for start in (0, 1, 99, 100, 257, len(want) - 1, len(want)):
-        assert [x.tolist() for x in T.read_from(str(tmp_path), start, length=256, shard_sequences=100)] == want[start:]
-    assert not [p for p in tmp_path.iterdir() if p.name.startswith(".")]
+    for start in (0, 1, 99, 100, 257, len(want) - 1, len(want)):  # resumes in the middle of a shard
+        assert [x.tolist() for x in T.read_from(folder, start, length=256, shard_sequences=100)] == want[start:]
+    assert not [p for p in (tmp_path / "shards").iterdir() if p.name.startswith(".")]
