@@ -6,14 +6,17 @@ place in the code alone, with the last word, and with the word before it. Their
 that are gated by how much the contexts were seen; a document's weights start at fixed values and follow the error as it
 is read, and a last adaptive table maps the mix to what it turned out to mean. After an escape a word of the tail has its
 add-one share of the training tokens that escape; a word that no training text has is one event, as in the base score.
-The log-probabilities add up to the text's; over its bytes they give bits per byte.
+The log-probabilities add up to the text's; over the bytes of its words, with one blank or end after each, they give bits
+per byte.
 
-Counts cover all training documents: words in a table of any size, contexts in a hashed table of SLOTS, a parameter of
-the model that doesn't follow the data. Weights belong to one document, so a score doesn't depend on how the table is
-dealt.
+Counts cover all training documents: words in a table of any size; contexts, any word of the lexicon being one, in a hashed
+table of two slots a training token, up to MOST_SLOT_BITS. That bound is the memory of a task: it holds the whole table. A
+slot is a byte in it: the log-odds in 64 steps, and how often it was seen in four. Weights belong to one document, so a
+score doesn't depend on how the table is dealt.
 
 Edge cases: null and empty texts are one end; repeated rows get equal scores; without training tokens every word is an
-escape; a null id is empty text to the split; extra columns are ignored.
+escape; a null id is empty text to the split; a very long text is read run by run, and a word of any length is one token;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +33,10 @@ from pyspark.sql import functions as F
 
 from gridlark.llm.common import blocks, durable
 
-#: Hashed context slots.
-SLOT_BITS = 22
-SLOTS = 1 << SLOT_BITS
-#: The most words that the lexicon holds; all others are spelt.
+#: Bounds of the logarithm of the number of hashed context slots.
+LEAST_SLOT_BITS, MOST_SLOT_BITS = 14, 24
+#: The most words that the lexicon holds; all others are escapes.
 LEXICON = 1 << 18
-#: Last words of a higher rank than this are one context.
-CONTEXT_WORDS = 2048
 #: Weights change after each run of so many tokens.
 RUN = 48
 END = b"\n"  # no word: words have no blanks
@@ -95,13 +95,18 @@ class Codes:
         return code >> 1, code & 1, which
 
 
-def slot(node: np.ndarray, context: np.ndarray) -> np.ndarray:
+def slot_bits(tokens: int) -> int:
+    """Two slots a training token, within the bounds."""
+    return int(np.clip(max(2 * tokens - 1, 1).bit_length(), LEAST_SLOT_BITS, MOST_SLOT_BITS))
+
+
+def slot(node: np.ndarray, context: np.ndarray, bits: int) -> np.ndarray:
     """node, context: already multiplied by numbers of their own."""
     h = node ^ context
     h *= _MIX[2]
     h ^= h >> np.uint32(15)
     h *= _MIX[0]
-    h >>= np.uint32(32 - SLOT_BITS)
+    h >>= np.uint32(32 - bits)
     return h.view(np.int32)
 
 
@@ -116,16 +121,20 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class Lexicon:
-    """The most frequent words (and END) by falling count, their codes, and the code of the escape."""
+    """The most frequent words (and END) by falling count, their codes, and the code of the escape.
+
+    bits: of the number of context slots."""
 
-    def __init__(self, listed: list[bytes], counts: list[int], rare: int):
+    def __init__(self, listed: list[bytes], counts: list[int], rare: int, bits: int = LEAST_SLOT_BITS):
+        self.bits = bits
         self.words = pa.array(listed, pa.binary()).cast(pa.string())
         self.escape = len(listed)  # of the symbols the last
         self.end = listed.index(END) if END in listed else self.escape
         self.codes = Codes(np.append(np.array(counts, np.int64), max(rare, 1)))
 
-    def tokens(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        """Symbols of the texts' tokens, the number of each text's tokens, and the words of those that are escapes."""
+    def tokens(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Symbols of the texts' tokens, the number of each text's tokens, the words of those that are escapes, and each
+        text's bytes: of its words, and one after each and for the end."""
         flat, n = split_words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
         found = np.asarray(pa.compute.fill_null(pa.compute.index_in(flat, value_set=self.words), self.escape), np.int32)
         ids = np.full(len(flat) + len(n), self.end, np.int32)
@@ -134,31 +143,65 @@ class Lexicon:
         source = np.full(len(ids), len(flat))
         source[place] = np.arange(len(flat))
         tail = pa.concat_arrays([flat, pa.array([END.decode()])]).take(pa.array(source[ids == self.escape]))
-        return ids, n + 1, tail.cast(pa.binary())
+        upto = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.binary_length(flat)), dtype=np.int64)])
+        size = np.diff(upto[np.concatenate([[0], np.cumsum(n)])]) + n + 1
+        return ids, n + 1, tail.cast(pa.binary()), size
 
     def contexts(self, ids: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
         """Context numbers of each token: by the last word and by the one before it."""
         starts = np.cumsum(n) - n
-        c = np.minimum(ids, CONTEXT_WORDS)
-        last, before = np.full(len(c), CONTEXT_WORDS + 1, np.int32), np.full(len(c), CONTEXT_WORDS + 1, np.int32)
-        last[1:], before[2:] = c[:-1], c[:-2]
-        last[starts] = before[starts] = before[starts[n > 1] + 1] = CONTEXT_WORDS + 1
+        none = self.escape + 1  # of a text's first tokens
+        last, before = np.full(len(ids), none, np.int32), np.full(len(ids), none, np.int32)
+        last[1:], before[2:] = ids[:-1], ids[:-2]
+        last[starts] = before[starts] = before[starts[n > 1] + 1] = none
         return [last, before]
 
     def slots(self, node: np.ndarray, token: np.ndarray, contexts: list[np.ndarray]) -> list[np.ndarray]:
         base = node.astype(np.uint32) * _MIX[0]
-        return [slot(base, ((c.astype(np.uint32) * np.uint32(8) + np.uint32(k)) * _MIX[1])[token]) for k, c in enumerate(contexts)]
+        return [slot(base, ((c.astype(np.uint32) * np.uint32(8) + np.uint32(k)) * _MIX[1])[token], self.bits) for k, c in enumerate(contexts)]
+
+
+class Counts:
+    """How often each slot's bit was 0 and 1, in turn. Two bytes a count; what doesn't fit is kept apart."""
+
+    def __init__(self, bits: int):
+        self.small, self.large = np.zeros(2 << bits, np.uint16), {}
 
+    def add(self, places: np.ndarray) -> None:
+        """places: slot * 2 + bit; at most AT_ONCE of a kind at a time, so that no count wraps."""
+        np.add.at(self.small, places, np.uint16(1))
 
-def count_contexts(lexicon: Lexicon, texts: pa.Array | list[str | None], out: np.ndarray) -> None:
-    """Add to `out` (2 * SLOTS) how often each slot's bit was 0 and 1."""
-    ids, n, _ = lexicon.tokens(texts)
+    def settle(self) -> None:
+        for i in np.flatnonzero(self.small >= 1 << 15).tolist():
+            self.large[i] = self.large.get(i, 0) + int(self.small[i])
+            self.small[i] = 0
+
+    def blocks(self, size: int) -> Iterator[np.ndarray]:
+        """The counts by blocks of so many slots, each in the smallest type that holds it."""
+        own: dict[int, list[int]] = {}
+        for i in self.large:
+            own.setdefault(i // (2 * size), []).append(i)
+        for k, part in enumerate(self.small.reshape(-1, 2 * size)):
+            if k in own:
+                part = part.astype(np.int64)
+                for i in own[k]:
+                    part[i % (2 * size)] += self.large[i]
+            yield part.astype(np.min_scalar_type(int(part.max())))
+
+
+def count_contexts(lexicon: Lexicon, texts: pa.Array | list[str | None], out: Counts) -> None:
+    """Add how often each slot's bit was 0 and 1."""
+    ids, n, *_ = lexicon.tokens(texts)
     contexts = lexicon.contexts(ids, n)
     for i in range(0, len(ids), AT_ONCE):
         part = slice(i, i + AT_ONCE)
         node, bit, token = lexicon.codes.expand(ids[part])
         for s in lexicon.slots(node, token, [c[part] for c in contexts]):
-            np.add.at(out, (s << 1) + bit, out.dtype.type(1))
+            s <<= 1
+            s += bit
+            for j in range(0, len(s), AT_ONCE):
+                out.add(s[j : j + AT_ONCE])
+            out.settle()
 
 
 #: Texts are split into words in blocks of about so many bytes.
@@ -169,10 +212,15 @@ AT_ONCE = 1 << 15
 
 #: Gates: how often a context was seen, in four steps.
 SEEN = np.array([1, 6, 40])
-def weighed(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of a 1, and how often the slot was seen in four steps, for counts of 0 and 1 in turn."""
+#: What the 64 steps of a slot's log-odds stand for: finer near even odds.
+STEPS = (np.sinh((np.arange(64) - 31.5) / 12) * 1.1).astype(np.float32)
+
+
+def weighed(counts: np.ndarray) -> np.ndarray:
+    """A byte a slot, for counts of 0 and 1 in turn: four times the step of the log-odds of a 1, and how often it was seen."""
     zero, one = counts[::2].astype(np.float64), counts[1::2].astype(np.float64)
-    return np.log((one + 0.4) / (zero + 0.4)).astype(np.float32), np.searchsorted(SEEN, zero + one, side="right").astype(np.uint8)
+    odds = np.searchsorted((STEPS[1:] + STEPS[:-1]) / 2, np.log((one + 0.4) / (zero + 0.4)))
+    return (odds * 4 + np.searchsorted(SEEN, zero + one, side="right")).astype(np.uint8)
 
 
 #: First weights of the three predictors in each gate of the second's and third's step, fixed values: a context counts
@@ -187,10 +235,11 @@ def first_weights() -> np.ndarray:
 
 
 class Model:
-    def __init__(self, lexicon: Lexicon, odds: np.ndarray, step: np.ndarray, rate: float = 0.01, refine: float = 0.005):
-        """odds, step: of each slot, as from weighed(). The step goes in the odds' two lowest bits: one look-up gives both."""
+    def __init__(self, lexicon: Lexicon, table: np.ndarray, rate: float = 0.01, refine: float = 0.005):
+        """table: a byte a slot, as from weighed()."""
         self.lexicon, self.rate, self.refine = lexicon, np.float32(rate), np.float32(refine)
-        self.packed, self.start = odds.view(np.int32) & ~3 | step, first_weights().astype(np.float32)
+        self.table, self.start = table, first_weights().astype(np.float32)
+        self.odds = np.repeat(STEPS, 4)  # of each byte
 
     def score(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Natural log probability of each text's symbols. ids, n: as from Lexicon.tokens."""
@@ -213,10 +262,15 @@ class Model:
             part = slice(edges[r], edges[stop])
             node, bits, token = lex.codes.expand(ids[part])
             s1, s2 = lex.slots(node, token, [c[part] for c in contexts])
-            p1, p2 = self.packed[s1], self.packed[s2]
-            odds = lex.codes.odds[node], p1.view(np.float32), p2.view(np.float32)
+            p1, p2 = self.table[s1], self.table[s2]
+            odds = lex.codes.odds[node], self.odds[p1], self.odds[p2]
             docs = doc[part][token]
-            keys = (docs << 4) + ((p1 & 3) << 2) + (p2 & 3)
+            p1 &= 3
+            p1 <<= 2
+            p2 &= 3
+            p1 |= p2
+            keys = docs << 4
+            keys |= p1
             ends = np.concatenate([[0], np.cumsum(lex.codes.length[ids[part]])])[edges[r : stop + 1] - edges[r]]
             for k in range(stop - r):
                 at = slice(ends[k], ends[k + 1])
@@ -267,20 +321,21 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 #: Slots are sent and summed in blocks of so many.
 SLOT_BLOCK = 1 << 12
+#: A task counts about so many tokens: what it sends is one table, whatever it has read.
+TASK_TOKENS = 6_000_000
 
 
-def slot_tables(texts: DataFrame, held) -> tuple[np.ndarray, np.ndarray]:
+def slot_table(texts: DataFrame, held, bits: int, tokens: int) -> np.ndarray:
     """weighed() for all slots, from all texts. held: the broadcast lexicon. A task sends its counts as small arrays; the
-    sums are weighed where they are made, so the driver gets five bytes a slot whatever the data's size."""
+    sums are weighed where they are made, so the driver gets a byte a slot."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * SLOTS, np.uint32)  # of one task
+        total = Counts(bits)
         for b in blocks(batches, most=WORK_BYTES):
             count_contexts(held.value, b.column("text"), total)
-        for k, part in enumerate(total.reshape(-1, 2 * SLOT_BLOCK)):
+        for k, part in enumerate(total.blocks(SLOT_BLOCK)):
             if part.any():
-                kind = np.min_scalar_type(int(part.max()))
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([kind.str]), pa.array([part.astype(kind).tobytes()], pa.binary())], ["block", "kind", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.dtype.str]), pa.array([part.tobytes()], pa.binary())], ["block", "kind", "counts"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -289,16 +344,15 @@ def slot_tables(texts: DataFrame, held) -> tuple[np.ndarray, np.ndarray]:
                 sums.setdefault(k, np.zeros(2 * SLOT_BLOCK, np.int64))
                 sums[k] += np.frombuffer(raw, kind)
         for k, c in sums.items():
-            odds, step = weighed(c)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([odds.tobytes()], pa.binary()), pa.array([step.tobytes()], pa.binary())], ["block", "odds", "step"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([weighed(c).tobytes()], pa.binary())], ["block", "slots"])
 
-    n = min(SLOTS // SLOT_BLOCK, max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    parts = texts.select("text").mapInArrow(counted, "block int, kind string, counts binary").repartitionById(n, F.col("block") % n)
-    odds, step = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.uint8)
-    for k, o, s in zip(*(c.to_pylist() for c in parts.mapInArrow(summed, "block int, odds binary, step binary").toArrow().columns)):
-        at = slice(k * SLOT_BLOCK, (k + 1) * SLOT_BLOCK)
-        odds[at], step[at] = np.frombuffer(o, np.float32), np.frombuffer(s, np.uint8)
-    return odds, step
+    n = min((1 << bits) // SLOT_BLOCK, max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = max(1, -(-tokens // TASK_TOKENS))
+    parts = texts.select("text").coalesce(tasks).mapInArrow(counted, "block int, kind string, counts binary").repartitionById(n, F.col("block") % n)
+    table = np.full(1 << bits, weighed(np.zeros(2, np.int64))[0], np.uint8)
+    for k, raw in zip(*(c.to_pylist() for c in parts.mapInArrow(summed, "block int, slots binary").toArrow().columns)):
+        table[k * SLOT_BLOCK : (k + 1) * SLOT_BLOCK] = np.frombuffer(raw, np.uint8)
+    return table
 
 
 def score_texts(df: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: str = "text", lexicon_words: int = LEXICON) -> DataFrame:
@@ -320,22 +374,22 @@ def score_texts(df: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text
     listed = sorted(((n, w) for w, n in zip(*(c.to_pylist() for c in counts.where(level >= cut).select("word", "n").toArrow().columns))), key=lambda x: (-x[0], x[1]))
     rare, v_rare = n_all - sum(n for n, _ in listed), v_all - len(listed)
     sc = df.sparkSession.sparkContext
-    # Broadcasts of a fixed size: LEXICON words with their codes, SLOTS slots.
-    lexicon = Lexicon([w for _, w in listed], [n for n, _ in listed], rare)
+    # Broadcasts of a bounded size: LEXICON words with their codes, a byte for each of the slots.
+    bits = slot_bits(n_all)
+    lexicon = Lexicon([w for _, w in listed], [n for n, _ in listed], rare, bits)
     held = sc.broadcast(lexicon)
-    tables = sc.broadcast(slot_tables(seen, held))
+    tables = sc.broadcast(slot_table(seen, held, bits, n_all))
     head = sc.broadcast(np.append(np.log10((np.array([n for n, _ in listed], float) + 1) / (n_all + v_all + 1)), 0.0))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, base = Model(held.value, *tables.value), head.value
+        m, base = Model(held.value, tables.value), head.value
         for b in blocks(batches, most=WORK_BYTES):
-            ids, n, tail = m.lexicon.tokens(b.column("text"))
+            ids, n, tail, size = m.lexicon.tokens(b.column("text"))
             ends = np.cumsum(n)
             offsets = np.concatenate([[0], np.searchsorted(np.flatnonzero(ids == m.lexicon.escape), ends)]).astype(np.int32)
             rest = pa.ListArray.from_arrays(pa.array(offsets), tail)
             score = m.score(ids, n) / np.log(10)
-            size = pa.compute.fill_null(pa.compute.binary_length(b.column("text")), 0).cast(pa.int64())
-            cols = [pa.array(n, pa.int64()), pa.array(np.add.reduceat(base[ids], ends - n)), pa.array(score), size, rest]
+            cols = [pa.array(n, pa.int64()), pa.array(np.add.reduceat(base[ids], ends - n)), pa.array(score), pa.array(size), rest]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *cols], ["doc_id", "held_out", "n_tokens", "base", "score", "n_bytes", "tail"])
 
     each = docs.mapInArrow(scored, f"doc_id {kind}, held_out boolean, n_tokens long, base double, score double, n_bytes long, tail array<binary>")
@@ -350,5 +404,5 @@ def score_texts(df: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text
     return each.drop("tail").join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_tokens") - rare_n + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base") + share - rare_n * F.lit(float(np.log10(n_all + v_all + 1)))).alias("base_score"), score.alias("score"),
-        F.when(F.col("n_bytes") > 0, -score * F.lit(float(np.log2(10))) / F.col("n_bytes")).alias("bits_per_byte"),
+        (-score * F.lit(float(np.log2(10))) / F.col("n_bytes")).alias("bits_per_byte"),
     )
