@@ -32,6 +32,47 @@ _unit = lambda *p: (0.0, 1.0)
 _wide = lambda *p: (-math.inf, math.inf)
 _phi = lambda x: np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
 
+def _argus(c):
+    return S.ndtr(c) - _phi(c) * c - 0.5
+
+
+def _gamma_pdf(a, x):
+    return np.exp((a - 1) * np.log(np.maximum(x, 1e-300)) - x - S.gammaln(a))
+
+
+def _tukey(x, k):
+    """The cdf: where the closed quantile function gives x, by halving."""
+    low, high = np.zeros(np.shape(x)), np.ones(np.shape(x))
+    for _ in range(70):
+        p = (low + high) / 2
+        under = ((p**k - (1 - p) ** k) / k if k else np.log(p / (1 - p))) < x
+        low, high = np.where(under, p, low), np.where(under, high, p)
+    return (low + high) / 2
+
+
+_ORDERS = np.arange(1, 81)
+_orders = lambda x: np.sin(np.asarray(x)[..., None] * _ORDERS) / _ORDERS
+
+
+def S_ratio(k: float) -> np.ndarray:
+    """I_j(k) / I_0(k) for the first orders j."""
+    return np.array([float(S.ive(int(j), np.float64(k))) for j in _ORDERS]) / float(S.ive(0, np.float64(k)))
+
+
+def _poisson_mix(f: Callable, mean: float, terms: int = 200) -> np.ndarray:
+    """Sum over j of the chance of j by a Poisson law times f(j)."""
+    j = np.arange(max(0, int(mean) - terms), int(mean) + terms)
+    return (np.exp(j * math.log(mean) - mean - S.gammaln(j + 1)) * f(j)).sum(-1) if mean else f(np.zeros(1))[..., 0]
+
+
+def _by_quadrature(name: str, x, *shape) -> np.ndarray:
+    """A cdf from its density, over the line folded to an interval."""
+    t, w = np.polynomial.legendre.leggauss(400)
+    u = (t + 1) / 2  # of (-inf, x]: y = x - u / (1 - u)
+    y = np.asarray(x, float)[..., None] - u / (1 - u)
+    return (CONTINUOUS[name].pdf(y, *shape) * (w / 2 / (1 - u) ** 2)).sum(-1)
+
+
 CONTINUOUS: dict[str, Family] = {
     "norm": Family(lambda x: _phi(x), S.ndtr, _wide, S.ndtri),
     "uniform": Family(lambda x: np.ones_like(x), lambda x: x, _unit, lambda p: p),
@@ -102,6 +143,27 @@ CONTINUOUS: dict[str, Family] = {
     "rdist": Family(lambda x, c: (1 - x * x) ** (c / 2 - 1) / S.beta(0.5, c / 2), lambda x, c: S.betainc(c / 2, c / 2, (x + 1) / 2), lambda c: (-1.0, 1.0)),
     "kstwobign": Family(lambda x: 8 * x * sum((-1) ** (k - 1) * k * k * np.exp(-2 * k * k * x * x) for k in range(1, 60)), lambda x: 1 - S.kolmogorov(x), _half),
     "wald": Family(lambda x: np.exp(-((x - 1) ** 2) / (2 * x)) / np.sqrt(2 * np.pi * x**3), lambda x: S.ndtr((x - 1) / np.sqrt(x)) + math.e**2 * S.ndtr(-(x + 1) / np.sqrt(x)), _half),
+    "skewcauchy": Family(lambda x, a: 1 / (np.pi * (1 + x * x / (1 + a * np.sign(x)) ** 2)), lambda x, a: np.where(x <= 0, (1 - a) / 2 + (1 - a) / np.pi * np.arctan(x / (1 - a)), (1 - a) / 2 + (1 + a) / np.pi * np.arctan(x / (1 + a))), _wide),
+    "kappa3": Family(lambda x, a: a * (a + x**a) ** (-(a + 1) / a), lambda x, a: x * (a + x**a) ** (-1 / a), _half, lambda p, a: (a / (p**-a - 1)) ** (1 / a)),
+    "halfgennorm": Family(lambda x, b: b / S.gamma(1 / b) * np.exp(-(x**b)), lambda x, b: S.gammainc(1 / b, x**b), _half),
+    "genhalflogistic": Family(lambda x, c: 2 * (1 - c * x) ** (1 / c - 1) / (1 + (1 - c * x) ** (1 / c)) ** 2, lambda x, c: (1 - (1 - c * x) ** (1 / c)) / (1 + (1 - c * x) ** (1 / c)), lambda c: (0.0, 1 / c), lambda p, c: (1 - ((1 - p) / (1 + p)) ** c) / c),
+    "exponpow": Family(lambda x, b: b * x ** (b - 1) * np.exp(1 + x**b - np.exp(x**b)), lambda x, b: -np.expm1(-np.expm1(x**b)), _half, lambda p, b: np.log1p(-np.log1p(-p)) ** (1 / b)),
+    "truncweibull_min": Family(lambda x, c, a, b: c * x ** (c - 1) * np.exp(-(x**c)) / (np.exp(-(a**c)) - np.exp(-(b**c))), lambda x, c, a, b: (np.exp(-(a**c)) - np.exp(-(x**c))) / (np.exp(-(a**c)) - np.exp(-(b**c))), lambda c, a, b: (a, b), lambda p, c, a, b: (-np.log(np.exp(-(a**c)) - p * (np.exp(-(a**c)) - np.exp(-(b**c))))) ** (1 / c)),
+    "truncpareto": Family(lambda x, b, c: b * x ** (-b - 1) / (1 - c**-b), lambda x, b, c: (1 - x**-b) / (1 - c**-b), lambda b, c: (1.0, c), lambda p, b, c: (1 - p * (1 - c**-b)) ** (-1 / b)),
+    "laplace_asymmetric": Family(lambda x, k: np.where(x >= 0, np.exp(-x * k), np.exp(x / k)) / (k + 1 / k), lambda x, k: np.where(x >= 0, 1 - np.exp(-x * k) / (k * (k + 1 / k)), k * np.exp(x / k) / (k + 1 / k)), _wide, lambda p, k: np.where(p >= k / (k + 1 / k), -np.log((1 - p) * k * (k + 1 / k)) / k, np.log(p * (k + 1 / k) / k) * k)),
+    "genexpon": Family(lambda x, a, b, c: (a - b * np.expm1(-c * x)) * np.exp((-a - b) * x - b * np.expm1(-c * x) / c), lambda x, a, b, c: -np.expm1((-a - b) * x - b * np.expm1(-c * x) / c), _half),
+    "wrapcauchy": Family(lambda x, c: (1 - c * c) / (2 * np.pi * (1 + c * c - 2 * c * np.cos(x))), lambda x, c: np.where(x < np.pi, np.arctan((1 + c) / (1 - c) * np.tan(x / 2)) / np.pi, 1 - np.arctan((1 + c) / (1 - c) * np.tan(np.pi - x / 2)) / np.pi), lambda c: (0.0, 2 * math.pi)),
+    "levy_l": Family(lambda x: np.exp(1 / (2 * x)) / np.sqrt(2 * np.pi * np.abs(x) ** 3), lambda x: 1 - S.erfc(np.sqrt(0.5 / np.abs(x))), lambda: (-math.inf, 0.0)),
+    "powerlognorm": Family(lambda x, c, s: c / (x * s) * _phi(np.log(x) / s) * S.ndtr(-np.log(x) / s) ** (c - 1), lambda x, c, s: 1 - S.ndtr(-np.log(x) / s) ** c, _half, lambda p, c, s: np.exp(-s * S.ndtri((1 - p) ** (1 / c)))),
+    "recipinvgauss": Family(lambda x, m: np.exp(-((1 - m * x) ** 2) / (2 * x * m * m)) / np.sqrt(2 * np.pi * x), lambda x, m: S.ndtr(-(1 / m - x) / np.sqrt(x)) - np.exp(2 / m) * S.ndtr(-(1 / m + x) / np.sqrt(x)), _half),
+    "argus": Family(lambda x, c: c**3 / (math.sqrt(2 * math.pi) * (S.ndtr(c) - _phi(np.float64(c)) * c - 0.5)) * x * np.sqrt(1 - x * x) * np.exp(-c * c * (1 - x * x) / 2), lambda x, c: 1 - _argus(c * np.sqrt(1 - x * x)) / _argus(np.float64(c)), _unit),
+    "tukeylambda": Family(lambda x, k: 1 / ((_tukey(x, k) ** (k - 1) + (1 - _tukey(x, k)) ** (k - 1))), lambda x, k: _tukey(x, k), lambda k: (-1 / k, 1 / k) if k > 0 else (-math.inf, math.inf), lambda p, k: (p**k - (1 - p) ** k) / k if k else np.log(p / (1 - p))),
+    "pearson3": Family(lambda x, k: _phi(x) if abs(k) < 1e-6 else 2 / abs(k) * _gamma_pdf(4 / (k * k), 4 / (k * k) + 2 * x / k), lambda x, k: S.ndtr(x) if abs(k) < 1e-6 else (S.gammainc if k > 0 else S.gammaincc)(4 / (k * k), np.maximum(4 / (k * k) + 2 * x / k, 0)), lambda k: (-math.inf, math.inf) if abs(k) < 1e-6 else (-2 / k, math.inf) if k > 0 else (-math.inf, -2 / k)),
+    "vonmises": Family(lambda x, k: np.exp(k * (np.cos(x) - 1)) / (2 * np.pi * S.ive(0, np.float64(k))), lambda x, k: 0.5 + (x / 2 + (_orders(x) * S_ratio(k)).sum(-1)) / np.pi, lambda k: (-math.pi, math.pi)),
+    "ncx2": Family(lambda x, d, n: _poisson_mix(lambda j: _gamma_pdf(d / 2 + j, x[..., None] / 2) / 2, n / 2), lambda x, d, n: _poisson_mix(lambda j: S.gammainc(d / 2 + j, x[..., None] / 2), n / 2), _half),
+    "jf_skew_t": Family(lambda x, a, b: (1 + x / np.sqrt(a + b + x * x)) ** (a + 0.5) * (1 - x / np.sqrt(a + b + x * x)) ** (b + 0.5) / (2 ** (a + b - 1) * S.beta(a, b) * np.sqrt(a + b)), lambda x, a, b: S.betainc(a, b, (1 + x / np.sqrt(a + b + x * x)) / 2), _wide),
+    "norminvgauss": Family(lambda x, a, b: a * S.kve(1, a * np.sqrt(1 + x * x)) / (np.pi * np.sqrt(1 + x * x)) * np.exp(np.sqrt(a * a - b * b) + b * x - a * np.sqrt(1 + x * x)), lambda x, a, b: _by_quadrature("norminvgauss", x, a, b), _wide),
+    "crystalball": Family(lambda x, b, m: np.where(x > -b, np.exp(-x * x / 2), (m / b) ** m * np.exp(-b * b / 2) * np.maximum(m / b - b - x, 1e-300) ** -m) / (m / b / (m - 1) * np.exp(-b * b / 2) + math.sqrt(2 * math.pi) * S.ndtr(b)), lambda x, b, m: np.where(x > -b, m / b * np.exp(-b * b / 2) / (m - 1) + math.sqrt(2 * math.pi) * (S.ndtr(x) - S.ndtr(-b)), (m / b) ** m * np.exp(-b * b / 2) * np.maximum(m / b - b - x, 1e-300) ** (1 - m) / (m - 1)) / (m / b / (m - 1) * np.exp(-b * b / 2) + math.sqrt(2 * math.pi) * S.ndtr(b)), _wide),
     "powernorm": Family(lambda x, c: c * _phi(x) * S.ndtr(-x) ** (c - 1), lambda x, c: 1 - S.ndtr(-x) ** c, _wide, lambda p, c: -S.ndtri((1 - p) ** (1 / c))),
 }
 
@@ -110,6 +172,11 @@ def _pmf(log: Callable) -> Callable:
     return lambda k, *p: np.exp(log(k, *p))
 
 
+def _ncx2_cdf(x: float, d: np.ndarray, n: float) -> np.ndarray:
+    j = np.arange(0, int(n / 2) + 200)
+    return (np.exp(j * math.log(n / 2) - n / 2 - S.gammaln(j + 1)) * S.gammainc(np.asarray(d)[..., None] / 2 + j, x / 2)).sum(-1)
+
+
 _lc = lambda n, k: S.gammaln(n + 1) - S.gammaln(k + 1) - S.gammaln(n - k + 1)
 DISCRETE: dict[str, Family] = {
     "bernoulli": Family(lambda k, p: np.where(k == 1, p, 1 - p), lambda k, p: np.where(k < 1, 1 - p, 1.0), lambda p: (0, 1), discrete=True),
@@ -125,6 +192,10 @@ DISCRETE: dict[str, Family] = {
     "dlaplace": Family(lambda k, a: np.tanh(a / 2) * np.exp(-a * np.abs(k)), lambda k, a: np.where(k >= 0, 1 - np.exp(-a * (k + 1)) / (np.exp(-a) + 1) * 1.0, np.exp(a * (k + 1)) / (np.exp(a) + 1)), _wide, discrete=True),
     "planck": Family(lambda k, b: -np.expm1(-b) * np.exp(-b * k), lambda k, b: -np.expm1(-b * (k + 1)), _half, discrete=True),
     "yulesimon": Family(lambda k, a: a * S.beta(k, a + 1), lambda k, a: 1 - k * S.beta(k, a + 1), lambda a: (1, math.inf), discrete=True),
+    "boltzmann": Family(lambda k, a, n: -np.expm1(-a) / -np.expm1(-a * n) * np.exp(-a * k), lambda k, a, n: np.expm1(-a * (k + 1)) / np.expm1(-a * n), lambda a, n: (0, n - 1), discrete=True),
+    "nhypergeom": Family(_pmf(lambda k, m, n, r: _lc(k + r - 1, k) + _lc(m - r - k, n - k) - _lc(m, n)), None, lambda m, n, r: (0, n), discrete=True),
+    "betanbinom": Family(_pmf(lambda k, n, a, b: S.gammaln(k + n) - S.gammaln(n) - S.gammaln(k + 1) + S.betaln(a + n, b + k) - S.betaln(a, b)), None, _half, discrete=True),
+    "skellam": Family(lambda k, a, b: np.array([float(S.ive(abs(int(v)), np.float64(2 * math.sqrt(a * b)))) for v in np.atleast_1d(k).ravel()]).reshape(np.shape(k)) * np.exp(2 * math.sqrt(a * b) - a - b) * (a / b) ** (np.asarray(k) / 2), lambda k, a, b: np.where(k < 0, _ncx2_cdf(2 * b, -2 * np.minimum(k, -1), 2 * a), 1 - _ncx2_cdf(2 * a, 2 * (np.maximum(k, 0) + 1), 2 * b)), _wide, discrete=True),
     "zipfian": Family(lambda k, a, n: k ** (-float(a)) / (np.arange(1, n + 1) ** (-float(a))).sum(), None, lambda a, n: (1, n), discrete=True),
 }
 
@@ -188,25 +259,32 @@ class Frozen:
             with np.errstate(all="ignore"):
                 z = self.family.ppf(np.where((p > 0) & (p < 1), p, 0.5), *self.shape)
         else:
-            z = np.vectorize(self._invert, otypes=[float])(np.where((p > 0) & (p < 1), p, 0.5))
+            each, where = np.unique(np.where((p > 0) & (p < 1), p, 0.5), return_inverse=True)  # equal ones are inverted once
+            z = self._invert(each)[where].reshape(p.shape)
         z = np.where(p == 0, self.low - self.family.discrete, np.where(p == 1, self.high, z))
         return np.where((p >= 0) & (p <= 1), self.loc + self.scale * z, np.nan)
 
-    def _invert(self, p: float) -> float:
-        f = lambda z: float(self.cdf(self.loc + self.scale * z))
-        low = self.low if math.isfinite(self.low) else -1.0
-        high = self.high if math.isfinite(self.high) else max(low, 0) + 1.0
-        while not math.isfinite(self.low) and f(low) > p:
-            low *= 2
-        while not math.isfinite(self.high) and f(high) < p:
-            high = high * 2 + 1
-        if not self.family.discrete:
-            return S.solve_rising(f, p, low, high)
-        low, high = math.floor(low) - 1, math.ceil(high)
-        while high - low > 1:
-            mid = (low + high) // 2
-            low, high = (mid, high) if f(mid) < p * (1 - 1e-14) else (low, mid)
-        return high
+    def _invert(self, p: np.ndarray) -> np.ndarray:
+        """Where the cdf reaches each p (within 0..1): brackets are doubled, then halved, for all at once."""
+        p = np.atleast_1d(np.asarray(p, float))
+        f = lambda z: self.cdf(self.loc + self.scale * z)
+        low = np.full(len(p), self.low if math.isfinite(self.low) else -1.0)
+        high = np.maximum(low, 0) + 1.0 if not math.isfinite(self.high) else np.full(len(p), float(self.high))
+        for edge, free, beyond in ((low, not math.isfinite(self.low), lambda z: f(z) > p), (high, not math.isfinite(self.high), lambda z: f(z) < p)):
+            for _ in range(1100 if free else 0):
+                if not (out := beyond(edge)).any():
+                    break
+                edge[out] = edge[out] * 2 + (1 if edge is high else 0)
+        if self.family.discrete:
+            low, high = np.floor(low) - 1, np.ceil(high)
+        for _ in range(1100):
+            mid = np.floor((low + high) / 2) if self.family.discrete else (low + high) / 2
+            open_ = (high - low > 1) if self.family.discrete else (mid != low) & (mid != high) & (high - low > 4e-16 * np.abs(mid))
+            if not open_.any():
+                break
+            under = f(mid) < (p * (1 - 1e-14) if self.family.discrete else p)
+            low, high = np.where(open_ & under, mid, low), np.where(open_ & ~under, mid, high)
+        return high if self.family.discrete else (low + high) / 2
 
     def isf(self, p):
         return self.ppf(1 - np.asarray(p, float))
@@ -217,8 +295,8 @@ class Frozen:
     def expect(self, f: Callable) -> float:
         """E f(X), over the quantiles (or the support of a discrete distribution)."""
         if self.family.discrete:
-            low = int(self.low if math.isfinite(self.low) else self._invert(1e-14))
-            high = int(self.high if math.isfinite(self.high) else self._invert(1 - 1e-14))
+            low = int(self.low if math.isfinite(self.low) else self._invert(1e-14)[0])
+            high = int(self.high if math.isfinite(self.high) else self._invert(1 - 1e-14)[0])
             k = np.arange(low, high + 1) * self.scale + self.loc
             return float((f(k) * self.pmf(k)).sum())
         t, w = np.polynomial.legendre.leggauss(200)

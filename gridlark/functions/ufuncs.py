@@ -311,6 +311,43 @@ def nan_to_num(x, nan: float = 0.0, posinf: float | None = None, neginf: float |
     return F.when(F.isnan(x), float(nan)).when(x == _inf(), most if posinf is None else float(posinf)).when(x == -_inf(), -most if neginf is None else float(neginf)).otherwise(x)
 
 
+# Choosing
+
+
+def where(condition: Column, x, y) -> Column:
+    return F.when(condition, x).otherwise(y)
+
+
+def select(conditions: list[Column], values: list[Column], default: Column | float = 0.0) -> Column:
+    """The value of the first condition that holds."""
+    if len(conditions) != len(values) or not conditions:
+        raise ValueError("as many values as conditions, at least one")
+    out = F.when(conditions[0], values[0])
+    for c, v in zip(conditions[1:], values[1:]):
+        out = out.when(c, v)
+    return out.otherwise(default)
+
+
+def choose(index: Column, choices: list[Column], mode: str = "raise") -> Column:
+    """The choice at a place from 0. Modes raise (also for null), wrap, clip."""
+    n = len(choices)
+    if mode == "wrap":
+        index = F.pmod(index, F.lit(n))
+    elif mode == "clip":
+        index = F.greatest(F.least(index, F.lit(n - 1)), F.lit(0))
+    else:
+        index = F.when(index.between(0, n - 1), index).otherwise(F.raise_error(F.lit("ValueError: invalid entry in choice array")).cast("long"))
+    return F.element_at(F.array(*choices), (index + 1).cast("int"))
+
+
+def polyval(coefficients: list[float], x) -> Column:
+    """A polynomial by Horner's rule, the highest power first."""
+    x, y = _d(x), F.lit(0.0)
+    for c in coefficients:
+        y = y * x + float(c)
+    return y
+
+
 # Bits of longs
 
 

@@ -1,9 +1,15 @@
 """Sparse matrices as (i, j, v) and graphs as (src, dst, w): one row an entry, absent rows are zero or no edge.
 
-Iterative operators join and aggregate a round at a time and cut their lineage with reliable checkpoints."""
+Iterative operators join and aggregate a round at a time and cut their lineage with reliable checkpoints. One that hasn't
+settled after its number of rounds raises: none returns what it has so far.
+
+Edge cases: edges with a null end join nothing; repeated edges count as often as they are given where weights add up (degrees,
+laplacian, matvec) and once elsewhere; self loops link nothing; an empty table gives an empty table; extra columns are ignored.
+"""
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -73,22 +79,28 @@ def conjugate_gradient(a: DataFrame, b: DataFrame, n: int, tol: float = 1e-10, m
         now = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
         state = state.select("j", "x", "r", (F.col("r") + now / rr * F.col("p")).alias("p"))
         rr = now
+    if rr and rr > tol * tol * first:
+        raise RuntimeError(f"conjugate gradients did not settle in {most} rounds")
     return state.select("j", "x")
 
 
-def power_iteration(a: DataFrame, n: int, rounds: int = 60) -> tuple[float, DataFrame]:
-    """Largest eigenvalue in size, and its unit vector (j, x)."""
-    x = a.sparkSession.range(n).select(F.col("id").alias("j"), F.lit(1 / n**0.5).alias("x"))
-    value = 0.0
-    for k in range(rounds):
-        y = matvec(a, x).select(F.col("i").alias("j"), F.col("v").alias("x"))
-        y = checkpoint(y)
-        size = y.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
-        value, before = size, value
-        x = y.select("j", (F.col("x") / size).alias("x"))
-        if k and abs(value - before) <= 1e-12 * value:
-            break
-    return value, x
+def power_iteration(a: DataFrame, n: int, rounds: int = 500, tol: float = 1e-12) -> tuple[float, DataFrame]:
+    """Eigenvalue of the largest size, with its sign, and its unit vector (j, x). The start is uneven, so that it isn't
+    orthogonal to the vector by symmetry. Two eigenvalues of that size don't settle, and raise."""
+    x = a.sparkSession.range(n).select(F.col("id").alias("j"), (1.0 + (F.col("id") % 7) / 10.0).alias("x"))
+    size = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
+    x = x.select("j", (F.col("x") / size).alias("x"))
+    value = math.nan
+    for _ in range(rounds):
+        y = checkpoint(x.join(matvec(a, x).select(F.col("i").alias("j"), F.col("v").alias("y")), "j", "left").select("j", "x", F.coalesce("y", F.lit(0.0)).alias("y")))
+        now, size = y.agg(F.sum(F.col("x") * F.col("y")), F.sqrt(F.sum(F.col("y") * F.col("y")))).first()
+        if not size:
+            return 0.0, x
+        x = y.select("j", (F.col("y") / size).alias("x"))
+        if abs(now - value) <= tol * abs(now):
+            return now, x
+        value = now
+    raise RuntimeError(f"power iteration did not settle in {rounds} rounds")
 
 
 # Graphs
@@ -166,6 +178,32 @@ def laplacian(edges: DataFrame, normed: bool = False) -> DataFrame:
     return whole.join(d, "i").join(d.select(F.col("i").alias("j"), F.col("si").alias("sj")), "j").select("i", "j", (F.col("v") / (F.col("si") * F.col("sj"))).alias("v"))
 
 
+def dijkstra(edges: DataFrame, sources: DataFrame, *, limit: float = float("inf")) -> DataFrame:
+    """source, v, distance, predecessor (the smallest vertex on a shortest path; null at the source) over edges whose weights
+    aren't negative. Distances settle by relaxing what changed, then one join finds the predecessors."""
+    if not edges.where("w < 0").isEmpty():
+        raise ValueError("dijkstra needs weights that aren't negative")
+    best = checkpoint(shortest_paths(edges, sources, limit=limit))
+    steps = best.select("source", F.col("v").alias("src"), F.col("distance").alias("before")).join(edges.select("src", "dst", "w"), "src")
+    tight = steps.join(best.select("source", F.col("v").alias("dst"), "distance"), ["source", "dst"]).where((F.col("before") + F.col("w") == F.col("distance")) & (F.col("src") != F.col("dst")) & (F.col("dst") != F.col("source")))
+    found = tight.groupBy("source", F.col("dst").alias("v")).agg(F.min("src").alias("predecessor"))
+    return best.join(found, ["source", "v"], "left")
+
+
+def path_to(found: DataFrame, source, target) -> list:
+    """Vertices from source to target by the predecessors of dijkstra's result (source, v, predecessor); none without a path.
+    Follows one path: a look-up a step."""
+    own = checkpoint(found.where(F.col("source") == source).select("v", "predecessor"))
+    out, at = [target], target
+    while at != source:
+        row = own.where(F.col("v") == at).first()
+        if row is None or row.predecessor is None or len(out) > own.count():
+            return []
+        at = row.predecessor
+        out.append(at)
+    return out[::-1]
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     return _both(edges).groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("degree"))
 
@@ -183,10 +221,10 @@ def minimum_spanning_tree(edges: DataFrame, rounds: int = 40) -> DataFrame:
         chosen = out.select(F.col("a").alias("c"), "w", "src", "dst").unionByName(out.select(F.col("b").alias("c"), "w", "src", "dst")).groupBy("c").agg(pick).select("e.src", "e.dst", "e.w").distinct()
         chosen = checkpoint(chosen)
         if chosen.isEmpty():
-            break
+            return tree
         tree = checkpoint(tree.unionByName(chosen).distinct())
         label = connected_components(tree, label.select("v")).select("v", F.col("component").alias("c"))
-    return tree
+    raise RuntimeError("the spanning forest did not settle")
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame:
@@ -227,9 +265,9 @@ def value_iteration(transitions: DataFrame, rewards: DataFrame, discount: float,
         best = checkpoint(best)
         change = best.join(now.select("s", F.col("value").alias("old")), "s").agg(F.max(F.abs(F.col("value") - F.col("old")))).first()[0]
         now = best
-        if change is None or change <= tol * (1 - discount) / (2 * discount):
-            break
-    return now
+        if change is None or change <= (tol * (1 - discount) / (2 * discount) if discount else tol):
+            return now
+    raise ArithmeticError("value iteration did not settle")
 
 
 def policy_evaluation(transitions: DataFrame, rewards: DataFrame, policy: DataFrame, discount: float, tol: float = 1e-10, rounds: int = 3000) -> DataFrame:
@@ -241,8 +279,8 @@ def policy_evaluation(transitions: DataFrame, rewards: DataFrame, policy: DataFr
         change = new.join(now.select("s", F.col("value").alias("old")), "s").agg(F.max(F.abs(F.col("value") - F.col("old")))).first()[0]
         now = new
         if change is None or change <= tol:
-            break
-    return now
+            return now
+    raise ArithmeticError("policy evaluation did not settle")
 
 
 def reverse_cuthill_mckee(edges: DataFrame, start) -> DataFrame:
@@ -322,6 +360,8 @@ def lsqr(a: DataFrame, b: DataFrame, n: int, tol: float = 1e-10, most: int = 300
         now = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
         state = state.select("j", "x", "r", (F.col("r") + now / rr * F.col("p")).alias("p"))
         rr = now
+    if rr and rr > tol * tol * first:
+        raise RuntimeError(f"least squares did not settle in {most} rounds")
     return state.select("j", "x")
 
 

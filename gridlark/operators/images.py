@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.functions import cells
+from gridlark.operators.scan import quantiles
 
 #: Names of boundary modes and of numpy's paddings that give them.
 MODES = {"reflect": "symmetric", "constant": "constant", "nearest": "edge", "mirror": "reflect", "wrap": "wrap"}
@@ -292,6 +293,10 @@ for _name, _kind, _f in [
 
 
 def label_statistics(df: DataFrame, labels: str, value: str) -> DataFrame:
-    """label, count, sum, mean, variance, min, max, median of a long table's values by label: one aggregate."""
-    v = F.col(value).cast("double")
-    return df.groupBy(F.col(labels).alias("label")).agg(F.count(v).alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, 0.5).alias("median"))
+    """label, count, sum, mean, variance, min, max, median of a long table's values by label: one aggregate, and the medians
+    by ranges, so that a label of any size is read by all tasks."""
+    rows = df.select(F.col(labels).alias("label"), F.col(value).cast("double").alias("v"))
+    v = F.col("v")
+    sums = rows.groupBy("label").agg(F.count(v).alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"), F.min(v).alias("min"), F.max(v).alias("max"))
+    mid = quantiles(rows, ["label"], v, {"median": 0.5}).withColumnRenamed("label", "__label")
+    return sums.join(mid, sums["label"].eqNullSafe(mid["__label"])).drop("__label")

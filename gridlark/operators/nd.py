@@ -397,9 +397,132 @@ class NDFrame:
         return self.reduce(F.sum, axis, keepdims)
 
     def matmul(self, other: NDFrame) -> NDFrame:
-        """Sum over the shared axis: an equi-join on it and an aggregate that is partial before the shuffle."""
+        """Sum over the shared axis. A small result of long arrays is summed by tasks, which each read some of the shared
+        axis; else an equi-join on that axis and an aggregate that is partial before the shuffle."""
+        if self.ndim == other.ndim == 2 and self.shape[0] * other.shape[1] <= SMALL_PRODUCT and max(self.shape[0], other.shape[1]) <= 4096:
+            return _summed_product(self, other)
         return einsum("ij,jk->ik", self, other)
 
+    # Types, comparison and assignment
+
+    def astype(self, dtype: str) -> NDFrame:
+        """Elements as another type: floats to whole numbers are cut towards zero, to bool by being unlike zero; whole
+        numbers wrap around where they don't fit."""
+        v = F.col("v")
+        if dtype == "bool":
+            v = U.truth(v)
+        elif dtype in ("int64", "int32", "uint8"):
+            v = F.when(v.cast("boolean"), 1).otherwise(0).cast("long") if self.dtype == "bool" else U.trunc(v).cast("long") if self.dtype.startswith("float") else v.cast("long")
+            if dtype != "int64":
+                bits = {"int32": 32, "uint8": 8}[dtype]
+                v = F.pmod(v, F.lit(1 << bits))
+                v = F.when(v >= 1 << (bits - 1), v - (1 << bits)).otherwise(v) if dtype == "int32" else v
+        return NDFrame(self.df.withColumn("v", v.cast(TYPES[dtype])), self.shape, dtype)
+
+    def compare(self, other: NDFrame | float, op: str) -> NDFrame:
+        """equal, not_equal, less, less_equal, greater or greater_equal, element by element: an array of bool."""
+        out = self.combine(other, op)
+        return NDFrame(out.df, out.shape, "bool")
+
+    def __lt__(self, o):
+        return self.compare(o, "less")
+
+    def __le__(self, o):
+        return self.compare(o, "less_equal")
+
+    def __gt__(self, o):
+        return self.compare(o, "greater")
+
+    def __ge__(self, o):
+        return self.compare(o, "greater_equal")
+
+    def where_set(self, mask: NDFrame, value: NDFrame | float) -> NDFrame:
+        """self with `value` (broadcast to its shape) where the mask holds."""
+        if isinstance(value, NDFrame):
+            both = self.broadcast_like(value)
+            marked = both.df.join(mask.df.withColumnRenamed("v", "__m"), self.axes)
+            return self._like([F.col(a) for a in self.axes], F.when(F.col("__m").cast("boolean"), F.col("__w")).otherwise(F.col("v")), df=marked)
+        marked = self.df.join(mask.df.withColumnRenamed("v", "__m"), self.axes)
+        return self._like([F.col(a) for a in self.axes], F.when(F.col("__m").cast("boolean"), F.lit(value).cast(TYPES[self.dtype])).otherwise(F.col("v")), df=marked)
+
+    def broadcast_like(self, value: NDFrame) -> NDFrame:
+        """self with the broadcast value of each place beside its own, as __w."""
+        w = value.broadcast_to(self.shape).df.withColumnRenamed("v", "__w")
+        return NDFrame(self.df.join(w, self.axes), self.shape, self.dtype)
+
+    def fill(self, value: float) -> NDFrame:
+        return self.map(lambda v: F.lit(value).cast(TYPES[self.dtype]))
+
+    def __radd__(self, o):
+        return self + o
+
+    def __rmul__(self, o):
+        return self * o
+
+    def __rsub__(self, o):
+        return self.map(lambda v: F.lit(float(o)) - v)
+
+    def __rtruediv__(self, o):
+        return self.map(lambda v: U.divide(F.lit(float(o)), v))
+
+    def __rpow__(self, o):
+        return self.map(lambda v: U.power(F.lit(float(o)), v))
+
+    def __neg__(self):
+        return self.map(lambda v: -v)
+
+    def copy(self) -> NDFrame:
+        return NDFrame(self.df, self.shape, self.dtype)
+
+
+#: Products of at most so many elements are summed as whole matrices by each task.
+SMALL_PRODUCT = 1 << 20
+
+
+def _summed_product(a: NDFrame, b: NDFrame) -> NDFrame:
+    """(i, k) sums over the shared axis j: both sides are dealt by j once, a task adds up the outer products of its rows of
+    j in one matrix, and the tasks' matrices are summed."""
+    import numpy as np
+    import pyarrow as pa
+
+    n, m = a.shape[0], b.shape[1]
+    rows = a.df.select(F.col("i1").alias("j"), F.lit(0).alias("side"), F.col("i0").alias("at"), F.col("v").cast("double").alias("v"))
+    rows = rows.unionByName(b.df.select(F.col("i0").alias("j"), F.lit(1).alias("side"), F.col("i1").alias("at"), F.col("v").cast("double").alias("v")))
+    parts = int(a.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def added(batches):
+        total, held = None, []
+
+        def add(chunk):
+            j, side, at, v = (np.concatenate(c) for c in zip(*chunk))
+            _, place = np.unique(j, return_inverse=True)
+            left, right = np.zeros((place.max() + 1, n)), np.zeros((place.max() + 1, m))
+            left[place[side == 0], at[side == 0]] = v[side == 0]
+            right[place[side == 1], at[side == 1]] = v[side == 1]
+            return left.T @ right
+
+        for batch in batches:
+            j, side, at, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("j", "side", "at", "v"))
+            if not len(j):
+                continue
+            # A row of j may go on in the next batch: its last one waits.
+            cut = int(np.searchsorted(j, j[-1]))
+            if cut:
+                total = (0 if total is None else total) + add([*held, (j[:cut], side[:cut], at[:cut], v[:cut])])
+                held = []
+            elif held and held[-1][0][-1] != j[0]:
+                total = (0 if total is None else total) + add(held)
+                held = []
+            held.append((j[cut:], side[cut:], at[cut:], v[cut:]))
+        if held:
+            total = (0 if total is None else total) + add(held)
+        if total is not None:
+            i, k = np.nonzero(np.ones_like(total, bool))
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(k), pa.array(total.ravel())], ["i0", "i1", "v"])
+
+    sums = rows.repartition(parts, "j").sortWithinPartitions("j").mapInArrow(added, "i0 long, i1 long, v double")
+    return NDFrame(sums.groupBy("i0", "i1").agg(F.sum("v").alias("v")), (n, m))
+
 
 def einsum(labels: str, *arrays: NDFrame) -> NDFrame:
     """Sums of products by labels. Arrays are joined two by two on the labels that they share; labels that no later array
@@ -415,7 +538,13 @@ def einsum(labels: str, *arrays: NDFrame) -> NDFrame:
         cond = [F.col(f"i{k}") == F.col(f"i{t.index(c)}") for k, c in enumerate(t) if t.index(c) != k]
         for c in cond:
             df = df.where(c)
-        frames.append((sorted(set(t)), df.select(*(F.col(f"i{t.index(c)}").alias(c) for c in sorted(set(t))), F.col("v"))))
+        own = sorted(set(t))
+        df = df.select(*(F.col(f"i{t.index(c)}").alias(c) for c in own), F.col("v"))
+        # Labels that no other array and no result has are summed away before any join.
+        kept = [c for c in own if c in out or sum(c in u for u in terms) > 1]
+        if kept != own:
+            df, own = df.groupBy(*kept).agg(F.sum("v").alias("v")), kept
+        frames.append((own, df))
     have, now = frames[0]
     for k, (need, df) in enumerate([*frames[1:], ([], None)]):
         if df is not None:

@@ -1,6 +1,10 @@
 """Reductions over an axis: aggregates grouped by the kept axes, with array-library NaN and tie rules.
 
-Each is a Column for use in groupBy(...).agg(...), so partial aggregation happens before the shuffle."""
+Each is a Column for use in groupBy(...).agg(...), so partial aggregation happens before the shuffle.
+
+Edge cases: sums and maxima of whole numbers stay whole and exact (min_ and argmin by whole=True); all else is in doubles.
+A NaN spreads, but in NAN_AWARE. Nulls are left out; argmin and argmax pass them over. A group without values gives the
+function's neutral value (sum, prod, any, all) or null. Sums of booleans need a cast."""
 
 from __future__ import annotations
 
@@ -27,8 +31,13 @@ def _known(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def _c(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
 def sum_(c) -> Column:
-    return F.coalesce(F.sum(_d(c)), F.lit(0.0))
+    """In the sum's own type: whole numbers add up exactly, and beyond 64 bits are an error under ANSI mode."""
+    return F.coalesce(F.sum(_c(c)), F.lit(0))
 
 
 def prod(c) -> Column:
@@ -48,27 +57,37 @@ def std(c, ddof: int = 0) -> Column:
     return F.sqrt(var(c, ddof))
 
 
-def min_(c) -> Column:
-    return _spread(_d(c), F.min(_d(c)))
+def min_(c, whole: bool = False) -> Column:
+    """whole: of whole numbers, which have no NaN; kept in their type."""
+    return F.min(_c(c)) if whole else _spread(_d(c), F.min(_d(c)))
 
 
 def max_(c) -> Column:
-    return F.max(_d(c))  # NaN is the largest, so it spreads
+    return F.max(_c(c))  # NaN is the largest, so it spreads
 
 
-def ptp(c) -> Column:
-    return max_(c) - min_(c)
+def ptp(c, whole: bool = False) -> Column:
+    return max_(c) - min_(c, whole)
 
 
-def argmin(c, index) -> Column:
-    """Index of the smallest value: the first on ties, a NaN before all."""
-    c = _d(c)
-    return F.min_by(index, F.struct(F.when(F.isnan(c), 0).otherwise(1), F.when(F.isnan(c), 0.0).otherwise(c), index))
+def argmin(c, index, whole: bool = False) -> Column:
+    """Index of the smallest value: the first on ties, a NaN before all; nulls passed over. whole: compared as they are."""
+    x = _c(c) if whole else _d(c)
+    first = [] if whole else [F.when(F.isnan(x), 0).otherwise(1), F.when(F.isnan(x), 0.0).otherwise(x)]
+    return F.min_by(index, F.when(x.isNotNull(), F.struct(*(first or [x]), index)))
 
 
-def argmax(c, index) -> Column:
-    c = _d(c)
-    return F.min_by(index, F.struct(F.when(F.isnan(c), 0).otherwise(1), F.when(F.isnan(c), 0.0).otherwise(-c), index))
+def argmax(c, index, whole: bool = False) -> Column:
+    x = _c(c) if whole else _d(c)
+    first = [] if whole else [F.when(F.isnan(x), 0).otherwise(1), F.when(F.isnan(x), 0.0).otherwise(-x)]
+    return F.min_by(index, F.when(x.isNotNull(), F.struct(*(first or [F.bitwise_not(x)]), index)))
+
+
+def corr(x, y) -> Column:
+    """Pearson's correlation of the rows that have both; NaN where either doesn't vary, as ANSI mode would raise."""
+    x, y = _d(x), _d(y)
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return U.divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
 
 
 def any_(c) -> Column:
@@ -101,8 +120,8 @@ NAN_AWARE = {
     "nanmin": lambda c: F.coalesce(F.min(_known(_d(c))), _nan()),
     "nanmax": lambda c: F.coalesce(F.max(_known(_d(c))), _nan()),
     "nanmedian": lambda c: F.coalesce(F.percentile(_known(_d(c)), 0.5), _nan()),
-    "nanargmin": lambda c, index: argmin(_known(_d(c)), F.when(~F.isnan(_d(c)), index)),
-    "nanargmax": lambda c, index: argmax(_known(_d(c)), F.when(~F.isnan(_d(c)), index)),
+    "nanargmin": lambda c, index: argmin(_known(_d(c)), index),
+    "nanargmax": lambda c, index: argmax(_known(_d(c)), index),
 }
 
 #: (alpha, beta) of the quantile methods that interpolate at n*q + alpha + q*(1 - alpha - beta) - 1. Fixed values.
@@ -139,16 +158,17 @@ def quantile_of_sorted(values: Column, q: float, method: str = "linear") -> Colu
 
 def quantile(c, q: float, method: str = "linear") -> Column:
     """The linear method goes by Spark's percentile, whose buffers hold counts of distinct values; the others collect a
-    group's values and are for groups that fit a task."""
+    group's values. Both are for groups that fit a task; scan.quantiles takes groups of any size."""
     if method == "linear":
         return _spread(_d(c), F.percentile(_d(c), q))
     return quantile_of_sorted(F.array_sort(F.collect_list(_d(c))), q, method)
 
 
 def moments(c) -> dict[str, Column]:
-    """Central moments' statistics: biased skewness and excess kurtosis among them."""
+    """Central moments' statistics: biased skewness and excess kurtosis among them, NaN where nothing varies."""
     c = _d(c)
-    return {"mean": F.avg(c), "var": F.var_pop(c), "skew": F.skewness(c), "kurtosis": F.kurtosis(c)}
+    varied = lambda f: F.when(F.count(c) > 0, F.coalesce(f, _nan()))
+    return {"mean": F.avg(c), "var": F.var_pop(c), "skew": varied(F.skewness(c)), "kurtosis": varied(F.kurtosis(c))}
 
 
 def covariance(x, y, ddof: int = 1) -> Column:
@@ -157,6 +177,6 @@ def covariance(x, y, ddof: int = 1) -> Column:
 
 def cov_matrix(df: DataFrame, columns: list[str], *, correlation: bool = False) -> DataFrame:
     """i, j, v of the covariance (or correlation) matrix of columns: one aggregate over the table, then a small unpivot."""
-    f = F.corr if correlation else F.covar_samp
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), f(_d(a), _d(b)).alias("v")) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    f = corr if correlation else lambda a, b: F.when(F.count(F.when(_d(b).isNotNull(), _d(a))) > 1, F.covar_samp(_d(a), _d(b))).otherwise(_nan())
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), f(a, b).alias("v")) for i, a in enumerate(columns) for j, b in enumerate(columns)]
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))

@@ -1,4 +1,8 @@
-"""Set operations, counting and histograms over columns as relational plans."""
+"""Set operations, counting and histograms over columns as relational plans.
+
+Edge cases: nulls are in no set and no bin; a histogram of values with a NaN or an infinity raises, as its range isn't finite;
+repeated values count as often as they come; an empty table gives empty sets and bins of zero.
+"""
 
 from __future__ import annotations
 
@@ -43,6 +47,11 @@ def setxor1d(a: DataFrame, ca: str, b: DataFrame, cb: str) -> DataFrame:
     return sides.groupBy("value").agg(F.sum("s").alias("s")).where("s = 1").select("value")
 
 
+def first_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The k first rows of an order: each task keeps its own k, and only those are merged."""
+    return df.orderBy(*order).limit(k)
+
+
 def bincount(df: DataFrame, c: str, *, weights: str | None = None, minlength: int = 0) -> DataFrame:
     """bin, counts for every bin from 0 to the largest value, empty ones too."""
     value = F.sum(F.col(weights).cast("double")) if weights else F.count(F.lit(1))
@@ -77,6 +86,8 @@ def bin_of(x: Column, low: Column, high: Column, bins: int) -> Column:
 def _limits(df: DataFrame, c: str) -> DataFrame:
     low, high = F.min(F.col(c).cast("double")), F.max(F.col(c).cast("double"))
     one = df.agg(low.alias("a"), high.alias("b"))
+    finite = F.coalesce(~F.isnan("b") & (F.abs("a") != float("inf")) & (F.abs("b") != float("inf")), F.lit(True))
+    one = one.select("a", F.when(finite, F.col("b")).otherwise(F.raise_error(F.lit("ValueError: the range of the values is not finite")).cast("double")).alias("b"))
     flat = F.col("a") == F.col("b")
     return one.select(F.when(flat, F.col("a") - 0.5).otherwise(F.col("a")).alias("__low"), F.when(flat, F.col("b") + 0.5).otherwise(F.col("b")).alias("__high"))
 
@@ -102,6 +113,19 @@ def histogram2d(df: DataFrame, x: str, y: str, bins: tuple[int, int] = (10, 10))
     return at.groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("counts"))
 
 
+def histogramdd(df: DataFrame, columns: list[str], bins: list[int]) -> DataFrame:
+    """bin0, bin1, ..., counts of the bins that aren't empty, over any number of columns."""
+    limits = df.agg(*(f(F.col(c).cast("double")).alias(f"{n}{k}") for k, c in enumerate(columns) for n, f in (("a", F.min), ("b", F.max)))).first()
+    at = []
+    for k, (c, n) in enumerate(zip(columns, bins)):
+        low, high = limits[f"a{k}"], limits[f"b{k}"]
+        if low is not None and not (math.isfinite(low) and math.isfinite(high)):
+            raise ValueError("the range of the values is not finite")
+        low, high = (low - 0.5, high + 0.5) if low is not None and low == high else (low or 0.0, 0.0 if high is None else high)
+        at.append(bin_of(F.col(c).cast("double"), F.lit(float(low)), F.lit(float(high)), n).alias(f"bin{k}"))
+    return df.select(*at).dropna().groupBy(*(f"bin{k}" for k in range(len(columns)))).agg(F.count(F.lit(1)).alias("counts"))
+
+
 def bin_number(n: int, low: float, high: float, std: float, iqr: float, skew: float = 0.0, rule: str = "auto") -> int:
     """Number of bins by a rule's name, from one pass's statistics."""
     spread = high - low

@@ -393,6 +393,12 @@ def fir(c: Column | str, over: Window, taps: Sequence[float]) -> Column:
     return sum((float(k) * F.coalesce(F.lag(c, i).over(over), F.lit(0.0)) for i, k in enumerate(taps)), F.lit(0.0))
 
 
+def moving(c: Column | str, over: Window, before: int, after: int, statistic: str = "mean") -> Column:
+    """mean, min, max, sum or median of the rows from `before` earlier to `after` later ones, as far as there are any."""
+    f = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "median": lambda v: F.percentile(v, 0.5)}[statistic]
+    return f(F.col(c) if isinstance(c, str) else c).over(over.rowsBetween(-before, after))
+
+
 def by_group(df: DataFrame, keys: list[str], order: str, value: str, f: Callable[[np.ndarray], np.ndarray], output: str = "y") -> DataFrame:
     """keys, k, output: f of each group's signal in order. A group is one signal and must fit a task."""
     kinds = dict(df.dtypes)

@@ -148,9 +148,9 @@ def kmeans(df: DataFrame, point: str, code_book: np.ndarray, thresh: float = 1e-
         found, distance = _centres(vq(df, point, book), point)
         book = np.array([found[c] for c in sorted(found)])
         if abs(last - distance) <= thresh:
-            break
+            return book, distance
         last = distance
-    return book, distance
+    raise RuntimeError(f"k-means did not settle in {rounds} rounds")
 
 
 def whiten(df: DataFrame, point: str) -> DataFrame:

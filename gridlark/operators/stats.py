@@ -11,11 +11,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.functions import special as S
+from gridlark.functions import ufuncs as U
+from gridlark.operators import reduce as R
 from gridlark.operators import scan
 
 Test = tuple[float, float]
 
 
+def _over(a: float | None, b: float | None) -> float:
+    """a / b by IEEE rules: what doesn't vary gives NaN or an infinity and no error; nulls are NaN."""
+    with np.errstate(all="ignore"):
+        return float(np.divide(np.nan if a is None else float(a), np.nan if b is None else float(b)))
+
+
+def _root(x: float | None) -> float:
+    return math.sqrt(x) if x is not None and x >= 0 else math.nan
+
+
 def _clean(c: str) -> Column:
     x = F.col(c).cast("double")
     return F.when(~F.isnan(x), x)
@@ -29,6 +41,8 @@ def _moments(df: DataFrame, *columns: str) -> dict[str, tuple[int, float, float]
 
 
 def _two_sided(t: float, df: float, alternative: str = "two-sided") -> float:
+    if math.isnan(t) or df <= 0:
+        return math.nan
     low = float(S.stdtr(df, t))
     return {"two-sided": 2 * min(low, 1 - low) if abs(t) < 30 else 2 * float(S.stdtr(df, -abs(t))), "less": low, "greater": float(S.stdtr(df, -t))}[alternative]
 
@@ -36,20 +50,25 @@ def _two_sided(t: float, df: float, alternative: str = "two-sided") -> float:
 # Descriptive
 
 
-def describe(df: DataFrame, c: str) -> DataFrame:
-    x = _clean(c)
-    return df.agg(F.count(x).alias("nobs"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.var_samp(x).alias("variance"), F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"))
+def describe(df: DataFrame, c: str, nan_policy: str = "propagate") -> DataFrame:
+    """nan_policy: propagate (a NaN counts and spreads) or omit. Nulls are left out."""
+    x = _clean(c) if nan_policy == "omit" else F.col(c).cast("double")
+    bad = F.coalesce(F.bool_or(F.isnan(x)), F.lit(False))
+    told = lambda f: F.when(bad, float("nan")).otherwise(f)
+    varied = lambda f: told(F.when(F.count(x) > 0, F.coalesce(f, F.lit(float("nan")))))
+    return df.agg(F.count(x).alias("nobs"), told(F.min(x)).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), varied(F.var_samp(x)).alias("variance"), varied(F.skewness(x)).alias("skewness"), varied(F.kurtosis(x)).alias("kurtosis"))
 
 
 def zscore(c: str, by: list[str] = [], ddof: int = 0) -> Column:  # noqa: B006
     """Within groups. For a whole table use `standardise`, which needs no window."""
     w = Window.partitionBy(*by)
-    return (F.col(c) - F.avg(c).over(w)) / (F.stddev_pop(c) if ddof == 0 else F.stddev(c)).over(w)
+    return U.divide(F.col(c) - F.avg(c).over(w), (F.stddev_pop(c) if ddof == 0 else F.stddev(c)).over(w))
 
 
 def standardise(df: DataFrame, c: str, output: str = "z") -> DataFrame:
-    one = df.agg(F.avg(c).alias("__m"), F.stddev_pop(c).alias("__s"))
-    return df.crossJoin(F.broadcast(one)).withColumn(output, (F.col(c) - F.col("__m")) / F.col("__s")).drop("__m", "__s")
+    """(c - mean) / std over the whole table; NaN where nothing varies."""
+    m, s = df.agg(F.avg(c), F.stddev_pop(c)).first()
+    return df.withColumn(output, U.divide(F.col(c) - F.lit(m).cast("double"), F.lit(s).cast("double")))
 
 
 #: Aggregates by name, for groupBy(...).agg(...).
@@ -71,8 +90,10 @@ def moment(df: DataFrame, c: str, order: int) -> float:
 
 
 def median_abs_deviation(df: DataFrame, c: str, by: list[str]) -> DataFrame:
-    mid = df.groupBy(*by).agg(F.percentile(c, 0.5).alias("__mid"))
-    return df.join(mid, by).groupBy(*by).agg(F.percentile(F.abs(F.col(c) - F.col("__mid")), 0.5).alias("mad"))
+    """by, mad. Medians by ranges, for groups of any size."""
+    mid = scan.quantiles(df, by, F.col(c), {"__mid": 0.5})
+    off = df.join(mid, by).select(*by, F.abs(F.col(c) - F.col("__mid")).alias("__off"))
+    return scan.quantiles(off, by, F.col("__off"), {"mad": 0.5})
 
 
 def trim_mean(df: DataFrame, c: str, share: float) -> float:
@@ -83,7 +104,7 @@ def trim_mean(df: DataFrame, c: str, share: float) -> float:
     cut = int(share * total)
     inside = F.greatest(F.least(F.col("upto"), F.lit(total - cut)) - F.greatest(F.col("upto") - F.col("n"), F.lit(cut)), F.lit(0))
     r = run.agg(F.sum(F.col("v") * inside).alias("s"), F.sum(inside).alias("k")).first()
-    return r.s / r.k
+    return _over(r.s, r.k)
 
 
 def percentileofscore(df: DataFrame, c: str, score: float, kind: str = "rank") -> float:
@@ -104,9 +125,11 @@ def entropy(df: DataFrame, p: str, q: str | None = None, base: float | None = No
 
 
 def pearsonr(df: DataFrame, x: str, y: str) -> Test:
+    """NaN where either side doesn't vary."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r, n = both.agg(F.corr(_clean(x), _clean(y)), F.count(F.lit(1))).first()
-    return r, _two_sided(r * math.sqrt((n - 2) / max(1 - r * r, 1e-300)), n - 2)
+    r, n = both.agg(R.corr(_clean(x), _clean(y)), F.count(F.lit(1))).first()
+    r = math.nan if r is None else r
+    return r, _two_sided(r * math.sqrt(max(n - 2, 0) / max(1 - r * r, 1e-300)), n - 2)
 
 
 def spearmanr(df: DataFrame, x: str, y: str) -> Test:
@@ -121,9 +144,11 @@ pointbiserialr = pearsonr
 def linregress(df: DataFrame, x: str, y: str) -> dict[str, float]:
     a, b = _clean(x), _clean(y)
     r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg(a).alias("mx"), F.avg(b).alias("my"), F.var_pop(a).alias("vx"), F.var_pop(b).alias("vy"), F.covar_pop(a, b).alias("c")).first()
-    slope, corr = r.c / r.vx, r.c / math.sqrt(r.vx * r.vy)
-    error = math.sqrt((1 - corr * corr) * r.vy / r.vx / (r.n - 2))
-    return {"slope": slope, "intercept": r.my - slope * r.mx, "rvalue": corr, "pvalue": _two_sided(corr * math.sqrt((r.n - 2) / max(1 - corr * corr, 1e-300)), r.n - 2), "stderr": error, "intercept_stderr": error * math.sqrt(r.vx + r.mx**2)}
+    if not r.n:
+        return dict.fromkeys(("slope", "intercept", "rvalue", "pvalue", "stderr", "intercept_stderr"), math.nan)
+    slope, corr = _over(r.c, r.vx), _over(r.c, _root(r.vx * r.vy))
+    error = _root(_over((1 - corr * corr) * _over(r.vy, r.vx), r.n - 2))
+    return {"slope": slope, "intercept": r.my - slope * r.mx, "rvalue": corr, "pvalue": _two_sided(corr * math.sqrt(max(r.n - 2, 0) / max(1 - corr * corr, 1e-300)), r.n - 2), "stderr": error, "intercept_stderr": error * math.sqrt(r.vx + r.mx**2)}
 
 
 # Tests on means and variances
@@ -131,24 +156,26 @@ def linregress(df: DataFrame, x: str, y: str) -> dict[str, float]:
 
 def ttest_1samp(df: DataFrame, c: str, mean: float, alternative: str = "two-sided") -> Test:
     n, m, v = _moments(df, c)[c]
-    t = (m - mean) / math.sqrt(v / n)
+    t = _over(None if m is None else m - mean, _root(_over(v, n)))
     return t, _two_sided(t, n - 1, alternative)
 
 
 def ttest_ind(a: DataFrame, ca: str, b: DataFrame, cb: str, equal_var: bool = True, alternative: str = "two-sided") -> Test:
     (n, m, v), (k, p, w) = _moments(a, ca)[ca], _moments(b, cb)[cb]
-    return ttest_ind_from_stats(m, math.sqrt(v), n, p, math.sqrt(w), k, equal_var, alternative)
+    return ttest_ind_from_stats(m, _root(v), n, p, _root(w), k, equal_var, alternative)
 
 
 def ttest_ind_from_stats(m1, s1, n1, m2, s2, n2, equal_var: bool = True, alternative: str = "two-sided") -> Test:
-    v1, v2 = s1 * s1 / n1, s2 * s2 / n2
+    v1, v2 = _over(s1 * s1, n1), _over(s2 * s2, n2)
     if equal_var:
         df = n1 + n2 - 2
-        error = math.sqrt(((n1 - 1) * s1 * s1 + (n2 - 1) * s2 * s2) / df * (1 / n1 + 1 / n2))
+        error = _root(_over((n1 - 1) * s1 * s1 + (n2 - 1) * s2 * s2, df) * (_over(1, n1) + _over(1, n2)))
     else:
-        df = (v1 + v2) ** 2 / (v1 * v1 / (n1 - 1) + v2 * v2 / (n2 - 1))
-        error = math.sqrt(v1 + v2)
-    t = (m1 - m2) / error
+        df = _over((v1 + v2) ** 2, _over(v1 * v1, n1 - 1) + _over(v2 * v2, n2 - 1))
+        error = _root(v1 + v2)
+    t = _over(None if m1 is None or m2 is None else m1 - m2, error)
+    if math.isnan(df):
+        return t, math.nan
     return t, _two_sided(t, df, alternative)
 
 
@@ -159,9 +186,11 @@ def ttest_rel(df: DataFrame, x: str, y: str, alternative: str = "two-sided") ->
 def f_oneway(df: DataFrame, group: str, c: str) -> Test:
     g = df.groupBy(group).agg(F.count(_clean(c)).alias("n"), F.avg(_clean(c)).alias("m"), F.var_pop(_clean(c)).alias("v"))
     r = g.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"), F.sum(F.col("n") * F.col("v")).alias("within")).first()
+    if not r.n or r.k < 2:
+        return math.nan, math.nan
     between = r.q - r.s * r.s / r.n
-    f = between / (r.k - 1) / (r.within / (r.n - r.k))
-    return f, float(S.fdtrc(r.k - 1, r.n - r.k, f))
+    f = _over(_over(between, r.k - 1), _over(r.within, r.n - r.k))
+    return f, math.nan if math.isnan(f) else float(S.fdtrc(r.k - 1, r.n - r.k, f))
 
 
 def levene(df: DataFrame, group: str, c: str, center: str = "median") -> Test:
@@ -226,8 +255,10 @@ def _ranked_groups(df: DataFrame, group: str, c: str) -> tuple[list, float, int]
 
 def kruskal(df: DataFrame, group: str, c: str) -> Test:
     groups, ties, n = _ranked_groups(df, group, c)
-    h = (12 / (n * (n + 1)) * sum(g.r**2 / g.n for g in groups) - 3 * (n + 1)) / (1 - ties / (n**3 - n))
-    return h, float(S.chdtrc(len(groups) - 1, h))
+    if not n:
+        return math.nan, math.nan
+    h = _over(12 / (n * (n + 1)) * sum(g.r**2 / g.n for g in groups) - 3 * (n + 1), 1 - _over(ties, n**3 - n))
+    return h, math.nan if not math.isfinite(h) else float(S.chdtrc(len(groups) - 1, h))
 
 
 def mannwhitneyu(df: DataFrame, group: str, c: str, first, second) -> Test:
@@ -236,8 +267,8 @@ def mannwhitneyu(df: DataFrame, group: str, c: str, first, second) -> Test:
     of = {g.g: g for g in groups}
     a, b = of[first], of[second]
     u = a.r - a.n * (a.n + 1) / 2
-    s = math.sqrt(a.n * b.n / 12 * ((n + 1) - ties / (n * (n - 1))))
-    z = (max(u, a.n * b.n - u) - a.n * b.n / 2 - 0.5) / s
+    s = _root(a.n * b.n / 12 * ((n + 1) - _over(ties, n * (n - 1))))
+    z = _over(max(u, a.n * b.n - u) - a.n * b.n / 2 - 0.5, s)
     return u, min(1.0, 2 * float(S.ndtr(-z)))
 
 
@@ -265,7 +296,7 @@ def _steps(a: DataFrame, ca: str, b: DataFrame, cb: str) -> DataFrame:
     sums = both.groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     run = scan.prefix_scan(scan.prefix_scan(sums, [F.col("v")], F.col("x"), "fx", zero=0), [F.col("v")], F.col("y"), "fy", zero=0)
     total = sums.agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"))
-    return run.crossJoin(F.broadcast(total)).select("v", (F.col("fx") / F.col("nx")).alias("fx"), (F.col("fy") / F.col("ny")).alias("fy"), "nx", "ny")
+    return run.crossJoin(F.broadcast(total)).select("v", (F.col("fx") / F.col("nx")).alias("fx"), (F.col("fy") / F.col("ny")).alias("fy"), (F.col("x") / F.col("nx")).alias("px"), (F.col("y") / F.col("ny")).alias("py"), "nx", "ny")
 
 
 def ks_2samp(a: DataFrame, ca: str, b: DataFrame, cb: str) -> Test:
@@ -285,14 +316,12 @@ def ks_1samp(df: DataFrame, c: str, cdf: Column) -> Test:
 
 
 def _between(a: DataFrame, ca: str, b: DataFrame, cb: str, p: int) -> float:
+    """Integral of |F - G|**p. With the values' own places as the variable it is a sum by parts: each value meets the step
+    before it, so that no row needs the next one's value."""
     s = _steps(a, ca, b, cb)
-    ahead = s.select("v", (F.col("fx") - F.col("fy")).alias("d"))
-    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = ahead.repartitionByRange(n, "v").sortWithinPartitions("v").withColumn("part", F.spark_partition_id()).persist()
-    firsts = ranged.groupBy("part").agg(F.min("v").alias("first"))
-    following = firsts.select("part", F.lead("first").over(Window.orderBy("part")).alias("next"))
-    gap = F.coalesce(F.lead("v").over(Window.partitionBy("part").orderBy("v")), F.col("next")) - F.col("v")
-    return ranged.join(F.broadcast(following), "part").select((F.pow(F.abs("d"), p) * gap).alias("a")).agg(F.sum("a")).first()[0] or 0.0
+    power = lambda d: F.pow(F.abs(d), p)
+    own, before = F.col("fx") - F.col("fy"), F.col("fx") - F.col("px") - F.col("fy") + F.col("py")
+    return s.agg(F.sum(F.col("v") * (power(before) - power(own)))).first()[0] or 0.0
 
 
 def wasserstein_distance(a: DataFrame, ca: str, b: DataFrame, cb: str) -> float:

@@ -292,6 +292,14 @@ FORMATS: dict[str, Callable[[bytes], dict[str, np.ndarray]]] = {
 }
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of the files. A file is read whole by one task, so one over MOST_BYTES is an error and not left out."""
+    found = spark.read.format("binaryFile").load(path)
+    if large := found.where(F.col("length") > MOST_BYTES).select("path", "length").first():
+        raise ValueError(f"{large.path} has {large.length} bytes; files of at most {MOST_BYTES} are read: save larger arrays in parts")
+    return found.select("path", "content")
+
+
 def read_arrays(spark: SparkSession, path: str, fmt: str, ndim: int) -> DataFrame:
     """path, name, i0, ..., v of all arrays of `ndim` dimensions in the files at the path (a folder or a pattern)."""
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +310,7 @@ def read_arrays(spark: SparkSession, path: str, fmt: str, ndim: int) -> DataFram
                 for name, a in known[fmt](raw).items():
                     yield _long(p, name, np.asarray(a), ndim)
 
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= MOST_BYTES).select("path", "content")
+    files = _files(spark, path)
     return files.mapInArrow(parse, "path string, name string, " + "".join(f"i{k} long, " for k in range(ndim)) + "v double")
 
 
@@ -314,7 +322,7 @@ def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
                 i, j, v, _ = parse_matrix_market(raw)
                 yield pa.RecordBatch.from_arrays([pa.array([p] * len(v), pa.string()), pa.array(i), pa.array(j), pa.array(v)], ["path", "i", "j", "v"])
 
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= MOST_BYTES).select("path", "content")
+    files = _files(spark, path)
     return files.mapInArrow(parse, "path string, i long, j long, v double")
 
 
