@@ -451,3 +451,46 @@ _digits = {"scalar": 5}
 _family("cell_scalars", "embeddings", ["vec_id"], _E, {_name(n): (_scalar(n, n in PAIRS), q if cells.CATALOGUE[n][0] != "whole" else f"({q})::BIGINT", _digits.get(cells.CATALOGUE[n][0])) for n, q in (SCALARS | PAIRS).items()})
 _family("cell_vectors", "embeddings", ["vec_id"], _E, {n: (lambda c, n=n: _told(cells.apply(n, c("e"))), _SUM.replace("{v}", q), 4) for n, q in VECTORS.items()})
 _family("cell_vector_pairs", "embeddings", ["vec_id"], _E, {n: (lambda c, n=n: _told(cells.apply(n, c("e"), c("f"))), _SUM.replace("{v}", q), 4) for n, q in VECTOR_PAIRS.items()})
+
+# Polynomials in six bases. a has four coefficients and b three; results in a basis are told by their value at x.
+
+#: Of each basis: the first four members, their derivatives and their integrals from 0. Fixed values.
+BASES = {
+    "polynomial": ("poly", ["1", "x", "x * x", "x * x * x"], ["0", "1", "2 * x", "3 * x * x"], ["x", "x * x / 2", "pow(x, 3) / 3", "pow(x, 4) / 4"]),
+    "chebyshev": ("cheb", ["1", "x", "2 * x * x - 1", "4 * x * x * x - 3 * x"], ["0", "1", "4 * x", "12 * x * x - 3"], ["x", "x * x / 2", "2 * pow(x, 3) / 3 - x", "pow(x, 4) - 1.5 * x * x"]),
+    "legendre": ("leg", ["1", "x", "(3 * x * x - 1) / 2", "(5 * x * x * x - 3 * x) / 2"], ["0", "1", "3 * x", "(15 * x * x - 3) / 2"], ["x", "x * x / 2", "(pow(x, 3) - x) / 2", "(1.25 * pow(x, 4) - 1.5 * x * x) / 2"]),
+    "hermite": ("herm", ["1", "2 * x", "4 * x * x - 2", "8 * x * x * x - 12 * x"], ["0", "2", "8 * x", "24 * x * x - 12"], ["x", "x * x", "4 * pow(x, 3) / 3 - 2 * x", "2 * pow(x, 4) - 6 * x * x"]),
+    "hermite_e": ("herme", ["1", "x", "x * x - 1", "x * x * x - 3 * x"], ["0", "1", "2 * x", "3 * x * x - 3"], ["x", "x * x / 2", "pow(x, 3) / 3 - x", "pow(x, 4) / 4 - 1.5 * x * x"]),
+    "laguerre": ("lag", ["1", "1 - x", "(x * x - 4 * x + 2) / 2", "(-x * x * x + 9 * x * x - 18 * x + 6) / 6"], ["0", "-1", "x - 2", "(-x * x + 6 * x - 6) / 2"], ["x", "x - x * x / 2", "(pow(x, 3) / 3 - 2 * x * x + 2 * x) / 2", "(-pow(x, 4) / 4 + 3 * pow(x, 3) - 9 * x * x + 6 * x) / 6"]),
+}
+_WEIGHTS = {"cheb": "1 / sqrt(1 - x * x)", "leg": "1.0 + 0 * x", "herm": "exp(-x * x)", "herme": "exp(-x * x / 2)", "lag": "exp(-x)"}
+_COEFFICIENTS = {n: (e.replace("z", "cast(p_size as double)"), e.replace("z", "p_size")) for n, e in {"x": "z / 61", "a0": "z / 11", "a1": "1 - z / 23", "a2": "z / 53", "a3": "2 - z / 29", "b0": "z / 27", "b1": "3 - z / 17", "b2": "z / 41"}.items()}
+
+
+def _polynomials(module: str, short: str, basis: list[str], slope: list[str], area: list[str]) -> None:
+    k = lambda n, *args, **kw: cells.apply(f"{module}.{short}{n}", *args, **kw)
+    at = lambda v, c: k("val", c("x"), v)[0]
+    a = lambda c: F.array(*(c(f"a{i}") for i in range(4)))
+    b = lambda c: F.array(*(c(f"b{i}") for i in range(3)))
+    told = lambda members, n, letter: "(" + " + ".join(f"{letter}{i} * ({m})" for i, m in enumerate(members[:n])) + ")"
+    p, q = told(basis, 4, "a"), told(basis, 3, "b")
+    plain = "(a0 + a1 * x + a2 * x * x + a3 * x * x * x)"
+    columns: dict = {
+        "val": (lambda c: at(a(c), c), p, 6), "add": (lambda c: at(k("add", a(c), b(c)), c), f"{p} + {q}", 6), "sub": (lambda c: at(k("sub", a(c), b(c)), c), f"{p} - {q}", 6),
+        "mul": (lambda c: at(k("mul", a(c), b(c)), c), f"{p} * {q}", 5), "mulx": (lambda c: at(k("mulx", a(c)), c), f"x * {p}", 6), "pow": (lambda c: at(k("pow", b(c), F.lit(2)), c), f"{q} * {q}", 5),
+        "der": (lambda c: at(k("der", a(c)), c), told(slope, 4, "a"), 6), "int": (lambda c: at(k("int", a(c)), c), told(area, 4, "a"), 6), "line": (lambda c: at(k("line", c("a0"), c("a1")), c), "a0 + a1 * x", 6),
+        "fromroots": (lambda c: at(k("fromroots", F.array(c("a0"), c("a1"))), c), "(x - a0) * (x - a1)", 6), "trim": (lambda c: at(k("trim", F.concat(a(c), F.array(F.lit(0.0), F.lit(0.0)))), c), p, 6),
+        "vander": (lambda c: F.aggregate(F.zip_with(k("vander", F.array(c("x")), deg=3)[0], a(c), lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v), p, 6),
+    }
+    if short != "poly":
+        columns |= {
+            "weight": (lambda c: k("weight", F.array(c("x")))[0], _WEIGHTS[short], 8),
+            "from_poly": (lambda c: at(cells.apply(f"{module}.poly2{short}", a(c)), c), plain, 6),
+            "to_poly": (lambda c: cells.apply("polynomial.polyval", c("x"), cells.apply(f"{module}.{short}2poly", a(c)))[0], p, 6),
+            "val2d": (lambda c: k("val2d", F.array(c("x")), F.array(c("x")), F.array(F.array(c("a0"), c("a1")), F.array(c("b0"), c("b1"))))[0][0], f"a0 + (a1 + b0) * ({basis[1]}) + b1 * ({basis[1]}) * ({basis[1]})", 6),
+        }
+    _family(f"polynomials_{module}", "part", ["p_partkey"], _COEFFICIENTS, columns)
+
+
+for _module, _told_basis in BASES.items():
+    _polynomials(_module, *_told_basis)

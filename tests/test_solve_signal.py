@@ -144,3 +144,39 @@ def test_images(spark):
     assert (I.binary_erosion(I.binary_dilation(m)) >= m).all() and np.allclose(I.shift(x, (1, 0))[1:], x[:-1]) and np.allclose(I.zoom(x, 2)[0, 0], x[0, 0])
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(lab.ravel(), np.arange(63))], "l int, v double")
     assert {r.label: r["count"] for r in I.label_statistics(df, "l", "v").collect()}[1] == 8
+
+
+def test_filter_design():
+    from gridlark.operators import filters as L
+
+    db = lambda ba, w: 20 * np.log10(np.abs(np.polyval(ba[0][::-1], np.exp(-1j * np.pi * np.asarray(w))) / np.polyval(ba[1][::-1], np.exp(-1j * np.pi * np.asarray(w)))))
+    inside, beyond = np.linspace(0, 0.3, 300), np.linspace(0.8, 0.99, 300)
+    assert np.allclose(L.iirfilter(4, [0.2, 0.5], kind="bandpass")[1], G.butter(4, [0.2, 0.5], "bandpass")[1])
+    for n in (2, 3, 4, 5):
+        c1, c2, e = L.cheby1(n, 1, 0.3), L.cheby2(n, 40, 0.8), L.ellip(n, 1, 40, 0.3)
+        assert db(c1, 0.3) == pytest.approx(-1) and db(c1, inside).min() == pytest.approx(-1, abs=1e-6) and db(c2, 0.8) == pytest.approx(-40) and db(c2, beyond).max() < -40 + 1e-6
+        assert db(e, inside).min() == pytest.approx(-1, abs=1e-6) and db(e, inside).max() < 1e-9 and (n < 3 or db(e, beyond).max() < -40 + 1e-4)
+    assert db(L.cheby1(4, 1, 0.3, "highpass"), 0.3) == pytest.approx(-1) and db(L.ellip(4, 1, 40, [0.3, 0.6], "bandstop"), 0.6) == pytest.approx(-1)
+    assert db(L.iirnotch(0.3, 30), 0.3) < -200 and db(L.iirpeak(0.3, 30), 0.3) == pytest.approx(0, abs=1e-9) and L.bessel(3, 0.4)[1][0] == 1
+    n, w = L.buttord(0.2, 0.3, 3, 40)
+    assert db(L.iirfilter(n, w), 0.2) == pytest.approx(-3, abs=1e-9) and db(L.iirfilter(n, w), 0.3) <= -40
+
+
+def test_filter_forms():
+    from gridlark.operators import filters as L
+
+    x = np.random.default_rng(0).normal(size=300)
+    ba, sos = L.ellip(5, 1, 40, 0.3), L.ellip(5, 1, 40, 0.3, output="sos")
+    assert np.allclose(L.sosfilt(sos, x), G.lfilter(*ba, x)) and np.allclose(L.sos2tf(sos)[0], ba[0]) and np.allclose(L.sosfilt(L.tf2sos(*ba), x), G.lfilter(*ba, x))
+    assert np.allclose(L.sosfiltfilt(L.iirfilter(4, 0.3, output="sos"), x), G.filtfilt(*G.butter(4, 0.3), x))
+    assert np.allclose(np.abs(L.sosfreqz(sos, 64)[1]), np.abs(G.freqz(*ba, 64)[1])) and np.allclose(L.zpk2tf(*L.sos2zpk(sos))[1], ba[1])
+    ss = L.tf2ss(*ba)
+    assert np.allclose(L.ss2tf(*ss)[0], ba[0]) and np.allclose(L.dlsim(ss, x), G.lfilter(*ba, x)) and np.allclose(L.dstep(ss, 9), G.lfilter(*ba, np.ones(9))) and np.allclose(L.dimpulse(ss, 9), G.lfilter(*ba, L.unit_impulse(9)))
+    r, p, whole = L.residue([1, 2, 0, 1], [1, 3, 2])
+    assert (r / (1.7 - p)).sum() + np.polyval(whole, 1.7) == pytest.approx(np.polyval([1, 2, 0, 1], 1.7) / np.polyval([1, 3, 2], 1.7))
+    q, rest = L.deconvolve(np.convolve([1, 2, 3], [2, 1]) + [0, 0, 0, 1], [2, 1])
+    assert np.allclose(np.convolve([2, 1], q) + rest, np.convolve([1, 2, 3], [2, 1]) + [0, 0, 0, 1])
+    a, b, c, d = L.cont2discrete(([[-2.0]], [[1.0]], [[1.0]], [[0.0]]), 0.1)
+    assert a[0, 0] == pytest.approx(math.exp(-0.2)) and b[0, 0] == pytest.approx((1 - math.exp(-0.2)) / 2)
+    assert all(int(L.max_len_seq(n).sum()) == 2 ** (n - 1) for n in range(2, 12)) and L.vectorstrength([0, 1, 2], 1.0)[0] == pytest.approx(1)
+    assert np.allclose(L.convolve2d(np.eye(3), np.ones((2, 2)), "valid"), [[2, 1], [1, 2]]) and L.correlate2d(np.eye(2), np.eye(2)).max() == 2 and L.group_delay([1, 0, 0, 1], [1])[1][1] == pytest.approx(1.5)
