@@ -64,3 +64,57 @@ def permutation(df: DataFrame, key: int, ids: list[str], output: str = "i") -> D
     from gridlark.operators.scan import with_index
 
     return with_index(df, [F.xxhash64(F.lit(key), *ids), *map(F.col, ids)], output)
+
+
+def vectors(spark: SparkSession, distribution: str, n: int, *parameters, seed: int = 0) -> DataFrame:
+    """id, x (an array): n draws of a law of several variates (multivariate_normal, dirichlet, multinomial,
+    multivariate_hypergeometric), numpy's own stream."""
+    x = np.asarray(getattr(np.random.default_rng(seed), distribution)(*parameters, size=n), float)
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+
+
+def multivariate_normal(key: int, mean: list[float], cov: list[list[float]], *ids: Column) -> Column:
+    """An array of correlated normals by keyed hashes: the covariance's Cholesky factor times independent ones."""
+    low = np.linalg.cholesky(np.asarray(cov, float))
+    z = [normal(key + 2 * k, *ids) for k in range(len(mean))]
+    return F.array(*(sum((float(low[i, j]) * z[j] for j in range(i + 1)), F.lit(float(m))) for i, m in enumerate(mean)))
+
+
+def dirichlet(key: int, alpha: list[float], *ids: Column) -> Column:
+    """An array of shares by keyed hashes, for whole alphas: sums of exponentials, normalised."""
+    if any(a != int(a) or a < 1 for a in alpha):
+        raise ValueError("alphas must be whole and positive; `vectors` takes any")
+    parts, at = [], key
+    for a in alpha:
+        parts.append(sum((exponential(at + k, *ids) for k in range(int(a))), F.lit(0.0)))
+        at += int(a)
+    g = F.array(*parts)
+    return F.transform(g, lambda x: x / F.aggregate(g, F.lit(0.0), lambda s, y: s + y))
+
+
+def multinomial(key: int, n: int, shares: list[float], *ids: Column) -> Column:
+    """An array of counts of n keyed draws among the shares."""
+    edges = np.cumsum(np.asarray(shares, float))
+    if abs(edges[-1] - 1) > 1e-9:
+        raise ValueError("shares must add up to 1")
+    draws = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: uniform(key, k, *ids))
+    low = [0.0, *edges[:-1].tolist()]
+    within = lambda a, b: lambda u: (u >= a) & (u < b)
+    return F.array(*(F.size(F.filter(draws, within(a, b))).cast("long") for a, b in zip(low, [*edges[:-1].tolist(), 2.0])))
+
+
+def permuted(cell: Column, key: int, *ids: Column) -> Column:
+    """The cell's elements in a keyed random order."""
+    keyed = F.zip_with(cell, F.sequence(F.lit(0), F.size(cell) - 1), lambda v, k: F.struct(uniform(key, k, *ids).alias("u"), k.alias("k"), v.alias("v")))
+    return F.when(F.size(cell) > 0, F.transform(F.array_sort(keyed), lambda s: s["v"])).otherwise(cell)
+
+
+def state(generator: np.random.Generator) -> dict:
+    """The generator's state, to go on from later."""
+    return generator.bit_generator.state
+
+
+def restored(saved: dict) -> np.random.Generator:
+    g = np.random.default_rng()
+    g.bit_generator.state = saved
+    return g

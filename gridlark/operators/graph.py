@@ -365,6 +365,102 @@ def lsqr(a: DataFrame, b: DataFrame, n: int, tol: float = 1e-10, most: int = 300
     return state.select("j", "x")
 
 
+def bicgstab(a: DataFrame, b: DataFrame, n: int, tol: float = 1e-10, most: int = 300) -> DataFrame:
+    """(j, x) solving A x = b for a general square sparse A, b: (i, v). Two matrix products a round; sums come to the driver
+    as one row."""
+    start = b.sparkSession.range(n).select(F.col("id").alias("j")).join(b.select(F.col("i").alias("j"), F.col("v").alias("r")), "j", "left").select("j", F.coalesce("r", F.lit(0.0)).alias("r"))
+    state = checkpoint(start.select("j", F.lit(0.0).alias("x"), "r", F.col("r").alias("r0"), F.col("r").alias("p")))
+    rho, first = state.agg(F.sum(F.col("r") * F.col("r0")), F.sum(F.col("r") * F.col("r"))).first()
+    if not first:
+        return state.select("j", "x")
+    product = lambda c, name: matvec(a, state.select("j", F.col(c).alias("x"))).select(F.col("i").alias("j"), F.col("v").alias(name))
+    with_product = lambda c, name: checkpoint(state.join(product(c, name), "j", "left").withColumn(name, F.coalesce(name, F.lit(0.0))))
+    for _ in range(most):
+        state = with_product("p", "v")
+        bottom = state.agg(F.sum(F.col("r0") * F.col("v"))).first()[0]
+        if not bottom:
+            break
+        alpha = rho / bottom
+        state = state.withColumn("s", F.col("r") - alpha * F.col("v"))
+        state = with_product("s", "t")
+        top, size = state.agg(F.sum(F.col("t") * F.col("s")), F.sum(F.col("t") * F.col("t"))).first()
+        omega = top / size if size else 0.0
+        state = state.select("j", (F.col("x") + alpha * F.col("p") + omega * F.col("s")).alias("x"), (F.col("s") - omega * F.col("t")).alias("r"), "r0", "p", "v")
+        now, left = state.agg(F.sum(F.col("r") * F.col("r0")), F.sum(F.col("r") * F.col("r"))).first()
+        if left <= tol * tol * first:
+            return state.select("j", "x")
+        if not omega or not now:
+            break
+        beta = now / rho * alpha / omega
+        state, rho = state.select("j", "x", "r", "r0", (F.col("r") + beta * (F.col("p") - omega * F.col("v"))).alias("p")), now
+    raise RuntimeError("biconjugate gradients broke down or did not settle")
+
+
+def eigsh(a: DataFrame, n: int, k: int = 6, which: str = "LM", steps: int | None = None) -> tuple[list[float], DataFrame]:
+    """k eigenvalues of a symmetric sparse A, rising, and their unit vectors (which, j, x), by Lanczos steps with full
+    reorthogonalisation. which: LM (largest in size), LA (largest), SA (smallest).
+
+    Vectors stay DataFrames; the driver holds the steps' small tridiagonal matrix, of a size that doesn't follow the data."""
+    import numpy as np
+
+    steps = min(n, max(2 * k + 20, 40)) if steps is None else min(steps, n)
+    spark = a.sparkSession
+    q = spark.range(n).select(F.col("id").alias("j"), (1.0 + F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0).alias("x"))
+    size = q.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
+    basis = checkpoint(q.select(F.lit(0).alias("step"), "j", (F.col("x") / size).alias("x")))
+    diag, off = [], []
+    for s in range(steps):
+        now = basis.where(F.col("step") == s).select("j", "x")
+        w = checkpoint(now.select("j").join(matvec(a, now).select(F.col("i").alias("j"), F.col("v").alias("w")), "j", "left").select("j", F.coalesce("w", F.lit(0.0)).alias("w")))
+        for turn in range(2):  # twice is enough
+            dots = basis.join(w, "j").groupBy("step").agg(F.sum(F.col("x") * F.col("w")).alias("d")).collect()  # a row a step
+            if turn == 0:
+                diag.append(next((r.d for r in dots if r.step == s), 0.0))
+            mine = spark.createDataFrame([(r.step, r.d) for r in dots], "step int, d double")
+            back = basis.join(F.broadcast(mine), "step").groupBy("j").agg(F.sum(F.col("x") * F.col("d")).alias("b"))
+            w = checkpoint(w.join(back, "j", "left").select("j", (F.col("w") - F.coalesce("b", F.lit(0.0))).alias("w")))
+        size = w.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0]
+        if s + 1 == steps or size <= 1e-12 * max(map(abs, diag)):
+            break
+        off.append(size)
+        basis = checkpoint(basis.unionByName(w.select(F.lit(s + 1).alias("step"), "j", (F.col("w") / size).alias("x"))))
+    t = np.diag(diag) + np.diag(off[: len(diag) - 1], 1) + np.diag(off[: len(diag) - 1], -1)
+    values, vectors = np.linalg.eigh(t)
+    order = {"LM": np.argsort(-np.abs(values), kind="stable"), "LA": np.argsort(-values), "SA": np.argsort(values)}[which][:k]
+    order = order[np.argsort(values[order])]
+    weights = spark.createDataFrame([(c, s, float(vectors[s, i])) for c, i in enumerate(order.tolist()) for s in range(len(diag))], "which int, step int, d double")
+    found = basis.join(F.broadcast(weights), "step").groupBy("which", "j").agg(F.sum(F.col("x") * F.col("d")).alias("x"))
+    return values[order].tolist(), found
+
+
+def svds(a: DataFrame, shape: tuple[int, int], k: int = 6, steps: int | None = None) -> list[float]:
+    """k largest singular values of a sparse A, falling: the roots of the eigenvalues of A'A or AA', whichever is smaller."""
+    small = matmul(transpose(a), a) if shape[1] <= shape[0] else matmul(a, transpose(a))
+    values, _ = eigsh(checkpoint(small), min(shape), k, "LA", steps)
+    return [max(v, 0.0) ** 0.5 for v in values[::-1]]
+
+
+def spsolve_triangular(a: DataFrame, b: DataFrame, n: int, lower: bool = True) -> DataFrame:
+    """(j, x) solving a triangular sparse A x = b by levels: in each round all unknowns whose others are known are solved, so
+    the rounds are the longest chain of dependencies, n at most."""
+    diag = checkpoint(a.where("i = j").select("i", F.col("v").alias("d")))
+    if diag.where("d != 0").count() < n:
+        raise ValueError("the matrix is singular")
+    off = checkpoint(a.where("j < i" if lower else "j > i"))
+    right = b.sparkSession.range(n).select(F.col("id").alias("i")).join(b, "i", "left").select("i", F.coalesce("v", F.lit(0.0)).alias("b"))
+    left = checkpoint(right.join(diag, "i"))
+    done = None
+    while True:
+        waits = off.join(left.select(F.col("i").alias("j")), "j", "left_semi").select("i").distinct()
+        ready = left.join(waits, "i", "left_anti")
+        now = checkpoint(ready.select(F.col("i").alias("j"), (F.col("b") / F.col("d")).alias("x")))
+        done = now if done is None else checkpoint(done.unionByName(now))
+        pushed = matvec(off, now)
+        left = checkpoint(left.join(now.select(F.col("j").alias("i")), "i", "left_anti").join(pushed, "i", "left").select("i", (F.col("b") - F.coalesce("v", F.lit(0.0))).alias("b"), "d"))
+        if left.isEmpty():
+            return done
+
+
 def depth_first(edges: DataFrame, start) -> list:
     """Vertices in depth-first order, smaller neighbours first. The order is sequential by definition: the edges that are
     reached are brought to the driver, so this is for graphs that fit it."""
