@@ -586,6 +586,65 @@ def trim_mean(spark, sf_dir):
     return _row(spark, {"m": stats.trim_mean(table(spark, sf_dir, "lineitem"), "l_quantity", 0.1)})
 
 
+_L = "(SELECT l_returnflag AS g, l_quantity AS q, l_discount AS d, l_tax AS t, l_discount - l_tax AS e FROM lineitem)"
+
+
+@query(f"""WITH g AS (SELECT g, count(*)::DOUBLE AS n, var_samp(q) AS v FROM {_L} GROUP BY g),
+b AS (SELECT ((sum(n) - count(*)) * ln(sum((n - 1) * v) / (sum(n) - count(*))) - sum((n - 1) * ln(v))) / (1 + (sum(1 / (n - 1)) - 1 / (sum(n) - count(*))) / (3 * (count(*) - 1))) AS bartlett FROM g),
+m AS (SELECT avg(q) AS m, var_pop(q) AS v, count(*)::DOUBLE AS n FROM {_L}), k AS (SELECT avg(pow(q - m, 3)) / any_value(pow(v, 1.5)) AS s, avg(pow(q - m, 4)) / any_value(v * v) - 3 AS k, avg(pow(q - m, 3)) AS m3, any_value(n) AS n FROM {_L}, m),
+z AS (SELECT g, abs(q - avg(q) OVER (PARTITION BY g)) AS z FROM {_L}), zg AS (SELECT count(*)::DOUBLE AS n, avg(z) AS m, var_pop(z) AS v FROM z GROUP BY g),
+r AS (SELECT e, rank() OVER (ORDER BY abs(e)) + (count(*) OVER (PARTITION BY abs(e)) - 1) / 2.0 AS r FROM {_L} WHERE e <> 0),
+u AS (SELECT q, (sum(count(*)) OVER (ORDER BY q))::DOUBLE AS upto, count(*) AS c, sum(count(*)) OVER () AS n FROM {_L} GROUP BY q),
+w AS (SELECT g, rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2.0 AS r, count(*) OVER () AS n FROM {_L} WHERE g IN ('A', 'R')), wa AS (SELECT sum(r) AS s, count(*)::DOUBLE AS a, any_value(n)::DOUBLE AS n FROM w WHERE g = 'A')
+SELECT round(bartlett, 5) AS bartlett, round(k.n / 6 * (s * s + k * k / 4), 4) AS jarque_bera, round(m3, 4) AS moment3,
+(SELECT round(((sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))), 5) FROM zg) AS levene,
+(SELECT round(avg(e) / (stddev_samp(e) / sqrt(count(*))), 6) FROM {_L}) AS ttest_rel,
+(SELECT least(sum(r) FILTER (WHERE e > 0), sum(r) FILTER (WHERE e < 0)) FROM r) AS wilcoxon,
+(SELECT round(max(greatest(upto / n - q / 51, q / 51 - (upto - c) / n)), 9) FROM u) AS ks_1samp,
+(SELECT round((s - a * (n + 1) / 2) / sqrt(a * (n - a) * (n + 1) / 12), 6) FROM wa) AS ranksums,
+(SELECT round(100e0 * (count(*) FILTER (WHERE q < 25) + count(*) FILTER (WHERE q <= 25) + (count(*) FILTER (WHERE q = 25) > 0)::INT) / 2 / count(*), 6) FROM {_L}) AS percentileofscore,
+(SELECT round(corr((q > 25)::INT::DOUBLE, d), 6) FROM {_L}) AS pointbiserialr FROM b, k""")
+def stat_tests(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    marked = df.withColumn("high", (F.col("l_quantity") > 25).cast("int").cast("double"))
+    out = {
+        "bartlett": (stats.bartlett(df, "l_returnflag", "l_quantity")[0], 5), "jarque_bera": (stats.jarque_bera(df, "l_quantity")[0], 4), "moment3": (stats.moment(df, "l_quantity", 3), 4), "levene": (stats.levene(df, "l_returnflag", "l_quantity", "mean")[0], 5),
+        "ttest_rel": (stats.ttest_rel(df, "l_discount", "l_tax")[0], 6), "wilcoxon": (stats.wilcoxon(df, "l_discount", "l_tax")[0], 1), "ks_1samp": (stats.ks_1samp(df, "l_quantity", F.col("v") / 51)[0], 9), "ranksums": (stats.ranksums(df, "l_returnflag", "l_quantity", "A", "R")[0], 6),
+        "percentileofscore": (stats.percentileofscore(df, "l_quantity", 25.0), 6), "pointbiserialr": (stats.pointbiserialr(marked, "high", "l_discount")[0], 6),
+    }
+    return spark.createDataFrame([tuple(round(float(v), d) for v, d in out.values())], ", ".join(f"{k} double" for k in out))
+
+
+_MORE = {"tmean": "avg(x)", "tvar": "var_samp(x)", "tstd": "stddev_samp(x)", "tmin": "min(x)", "tmax": "max(x)", "tsem": "stddev_samp(x) / sqrt(count(*))", "circmean": "(atan2(sum(sin(x)), sum(cos(x))) + 4 * pi()) % (2 * pi())", "circvar": "1 - sqrt(pow(avg(sin(x)), 2) + pow(avg(cos(x)), 2))", "circstd": "sqrt(-2 * ln(sqrt(pow(avg(sin(x)), 2) + pow(avg(cos(x)), 2))))"}
+
+
+@query(f"SELECT l_suppkey, {', '.join(f'round({q}, 6) AS {k}' for k, q in _MORE.items())}, round(pow(avg(pow(x, 3)), 1 / 3e0), 6) AS pmean FROM (SELECT l_suppkey, l_quantity AS x FROM lineitem) GROUP BY ALL")
+def summary_more(spark, sf_dir):
+    x = F.col("l_quantity")
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(*(r6(stats.AGGREGATES[k](x)).alias(k) for k in _MORE), r6(stats.pmean(x, 3.0)).alias("pmean"))
+
+
+@query("""WITH l AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS c, max(l_extendedprice) AS d, min(l_tax) AS e, max(l_tax) AS f FROM lineitem)
+SELECT least(floor((l_quantity - a) / (b - a) * 7), 6)::BIGINT AS bin0, least(floor((l_extendedprice - c) / (d - c) * 5), 4)::BIGINT AS bin1, least(floor((l_tax - e) / (f - e) * 3), 2)::BIGINT AS bin2, count(*) AS counts FROM lineitem, l GROUP BY ALL""")
+def histogramdd(spark, sf_dir):
+    return sets.histogramdd(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"], [7, 5, 3])
+
+
+@query("SELECT o_orderkey, min(o_totalprice) OVER (ORDER BY o_orderkey) AS cummin FROM orders")
+def cummin(spark, sf_dir):
+    return scan.cummin(table(spark, sf_dir, "orders"), [F.col("o_orderkey")], F.col("o_totalprice")).select("o_orderkey", "cummin")
+
+
+@query(f"WITH {_LONG} SELECT i0, i1, v::BIGINT AS whole, v > 0 AS up, CASE WHEN v > 0 THEN 1e0 ELSE v END AS put FROM (SELECT i0, i1, trunc(v * 100) AS v FROM m)")
+def nd_types(spark, sf_dir):
+    """Elements cut to whole numbers, compared, and assigned where they are positive."""
+    m = (_matrix(spark, sf_dir) * 100.0).astype("int64")
+    up = m > 0
+    put = m.astype("float64").where_set(up, 1.0)
+    whole = m.df.withColumnRenamed("v", "whole")
+    return whole.join(up.df.withColumnRenamed("v", "up"), ["i0", "i1"]).join(put.df.withColumnRenamed("v", "put"), ["i0", "i1"])
+
+
 # Linear algebra, space, graphs
 
 
