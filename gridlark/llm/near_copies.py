@@ -37,7 +37,7 @@ from gridlark.llm.simhash import SEED, components, label_rows, near_links, print
 SIZE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Similarities told by the signatures at which the passes end.
-STEPS = 0.75, 0.7, 0.675, 0.654
+STEPS = 0.7, 0.654
 LEAST = STEPS[-1]
 #: Points that a task holds of a bucket.
 PART = 20_000
@@ -145,30 +145,39 @@ def _compared(batches: Iterator[pa.RecordBatch], low: float, high: float, connec
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
 
-def mixed_buckets(points: DataFrame) -> DataFrame:
-    """Rows of buckets that hold several components: key, band, point, component, parts, outside (of the bucket's largest
-    component). points: point, component, bands."""
-    each = points.select("point", "component", F.posexplode("bands").alias("band", "key"))
-    counts = each.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.count(F.lit(1)).alias("components"), F.sum("k").alias("k"), F.max_by("component", F.struct("k", "component")).alias("largest"))
-    mixed = counts.where("components > 1").select("key", "largest", F.ceil(F.col("k") / PART).cast("int").alias("parts"))
-    return each.join(mixed, "key").select("key", "band", "point", "component", "parts", (F.col("component") != F.col("largest")).alias("outside"))
+def shared_buckets(points: DataFrame) -> DataFrame:
+    """key, band, point of the buckets that hold several points. points: point, bands."""
+    each = points.select("point", F.posexplode("bands").alias("band", "key"))
+    several = each.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    return each.join(several, "key").select("key", "band", "point")
 
 
-def candidates(points: DataFrame, signatures: DataFrame, low: float, high: float, *, connecting: bool = False, similarity: float = SIMILARITY) -> DataFrame:
-    """a < b: points of different components that share a band and whose told similarity is in [low, high).
+def candidates(buckets: DataFrame, known: DataFrame, told: DataFrame, low: float, high: float, *, connecting: bool = False, similarity: float = SIMILARITY) -> DataFrame:
+    """a < b: points of different components that share a bucket and whose told similarity is in [low, high).
 
-    connecting: only the likeliest pairs that would connect a bucket's components. signatures: point, signature, n."""
-    rows = mixed_buckets(points).join(signatures, "point")
+    connecting: only the likeliest pairs that would connect a bucket's components. buckets: as from shared_buckets. known:
+    vertex, component; a point that it doesn't have is a component of its own. told: point, signature, n."""
+    each = buckets.join(known.toDF("point", "known"), "point", "left").withColumn("component", F.coalesce("known", "point")).drop("known")
+    counts = each.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.count(F.lit(1)).alias("components"), F.sum("k").alias("k"), F.max_by("component", F.struct("k", "component")).alias("largest"))
+    mixed = counts.where("components > 1").select("key", "largest", F.ceil(F.col("k") / PART).cast("int").alias("parts"))
+    rows = each.join(mixed, "key").withColumn("outside", F.col("component") != F.col("largest")).join(told, "point")
     own = F.pmod(F.xxhash64("point"), F.col("parts")).cast("int")
-    sent = F.when(F.col("outside"), F.concat(F.array(F.struct(own.alias("part"), F.lit(0).alias("side"))), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.lit(1).alias("side"))))).otherwise(F.array(F.struct(own.alias("part"), F.lit(0).alias("side"))))
+    place = lambda part, side: F.struct(part.alias("part"), F.lit(side).alias("side"))
+    sent = F.concat(F.array(place(own, 0)), F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: place(p, 1))).otherwise(F.array().cast("array<struct<part:int,side:int>>")))
     dealt = rows.withColumn("sent", F.explode(sent)).select("key", "sent.part", "sent.side", "band", "point", "component", "outside", "n", "signature")
-    dealt = dealt.repartition(shuffle_partitions(points), "key", "part").sortWithinPartitions("key", "part", "side", "point")
+    dealt = dealt.repartition(shuffle_partitions(buckets), "key", "part").sortWithinPartitions("key", "part", "side", "point")
     pairs = dealt.mapInArrow(partial(_compared, low=low, high=high, connecting=connecting, similarity=similarity), "a long, b long")
     return pairs.distinct() if connecting else pairs
 
 
-def verified(pairs: DataFrame, hashes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """src, dst: the pairs (a, b) whose sets (point, hashes) are similar enough."""
+#: Rows whose sets are asked for are told by a broadcast if they are at most so many, else by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def verified(pairs: DataFrame, points: DataFrame, made: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """src, dst: the pairs (a, b; durable) whose sets are similar enough. Only the sets that are asked for move.
+
+    points: point and row, one of its rows in `made`, which has row, point and hashes."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -180,6 +189,8 @@ def verified(pairs: DataFrame, hashes: DataFrame, similarity: float = SIMILARITY
                 good.append(both >= similarity * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
+    asked = durable(pairs.select(F.col("a").alias("point")).union(pairs.select("b")).distinct().join(points.select("point", "row"), "point").select("row"))
+    hashes = made.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "row", "left_semi").select("point", "hashes")
     whole = pairs.join(hashes.toDF("a", "x"), "a").join(hashes.toDF("b", "y"), "b")
     return whole.select("a", "b", "x", "y").mapInArrow(checked, "src long, dst long")
 
@@ -189,26 +200,29 @@ def near_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", si
     copies link) and kept: whether the row is its component's first by id and text_key. Repeated rows are kept alike."""
     rows = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"), F.xxhash64(df[text]).alias("text_key"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    made = durable(sets(rows, size).select(place.alias("place"), "*", F.monotonically_increasing_id().alias("row")))
+    made = durable(sets(rows, size).select(place.alias("place"), "point", "simhash", "bands", "signature", F.size("hashes").alias("n"), "hashes", F.monotonically_increasing_id().alias("row")))
     points = durable(made.groupBy("point").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("row", "simhash")).alias("one")).select("point", "least", "rows", "one.row", "one.simhash"))
-    # A point's set and bands are those of one of its rows, so a huge group of copies doesn't meet in one task.
-    whole = durable(made.join(points.select("row"), "row").select("point", "bands", "signature", F.size("hashes").alias("n"), "hashes"))
-    hashes, told = whole.select("point", "hashes"), whole.select("point", "signature", "n")
-    links = durable(_simhash_links(points, hashes, similarity))
-    known = components(links)
+    # A point's bands are those of one of its rows, so a huge group of copies doesn't meet in one task.
+    ones = made.select("row", "point", "bands", "signature", "n").join(points.select("row"), "row")
+    buckets = durable(shared_buckets(ones))
+    told = durable(ones.select("point", "signature", "n").join(buckets.select("point").distinct(), "point"))
+    links = _simhash_links(points, made, similarity)
+    known = durable(components(links))
     for low, high, connecting in ((LEAST, 2.0, True), *((low, high, False) for low, high in zip(STEPS, (2.0, *STEPS)))):
-        apart = durable(whole.select("point", "bands").join(known.toDF("point", "known"), "point", "left").select("point", F.coalesce("known", "point").alias("component"), "bands"))
-        more = durable(verified(durable(candidates(apart, told, low, high, connecting=connecting, similarity=similarity)), hashes, similarity))
+        pairs = durable(candidates(buckets, known, told, low, high, connecting=connecting, similarity=similarity))
+        if pairs.isEmpty():
+            continue
+        more = durable(verified(pairs, points, made, similarity))
         if not more.isEmpty():
-            links = links.unionByName(more)
-            known = components(links)
+            links = known.toDF("src", "dst").unionByName(more)
+            known = durable(components(links))
     each = label_rows(made.select("place", "point"), points, known, "point", own="place")
     return each.select("place.doc_id", "place.text_key", "point", F.col("component_id.doc_id").alias("component_id"), F.col("place").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _simhash_links(points: DataFrame, hashes: DataFrame, similarity: float) -> DataFrame:
+def _simhash_links(points: DataFrame, made: DataFrame, similarity: float) -> DataFrame:
     """Links that the SimHash search finds and whose sets are similar enough: src, dst."""
-    prints = points.groupBy("simhash").agg(F.min("point").alias("vertex"))
-    near = near_links(durable(prints)).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    prints = durable(points.groupBy("simhash").agg(F.min("point").alias("vertex")))
+    near = near_links(prints).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     equal = points.join(prints, "simhash").where("point != vertex").select(F.col("vertex").alias("a"), F.col("point").alias("b"))
-    return verified(near.unionByName(equal), hashes, similarity)
+    return verified(durable(near.unionByName(equal)), points, made, similarity)

@@ -9,11 +9,11 @@ goes to each side that its ball overlaps; by the triangle inequality no other si
 prunes best, so there are two trees: what is left to differ is at most half of the radius either in the half of the bits
 with the shard's part or in the other half. Each hit is verified on all 64 bits, so the pairs found are exact. A shard
 returns links that connect what is linked, at most one a point, never all pairs. Links become components by alternating
-large-star and small-star steps.
+large-star and small-star steps, or in one task where they are counted to be few.
 
 Edge cases: null, empty and blank texts have fingerprint zero and link to each other; a null id is left aside by the
-minimum (a component of null ids alone has a null component_id); repeated rows have equal fingerprints; extra columns
-pass through.
+minimum (a component of null ids alone has a null component_id); repeated rows have equal fingerprints; the shingles
+of a very long text are counted in blocks; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -208,10 +208,29 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
         yield now, np.concatenate([h[0] for h in held]).view(np.uint64), np.concatenate([h[1] for h in held])
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """vertex, component (its smallest vertex) for every vertex of the links, by large-star and small-star steps."""
+#: Links up to this number are joined up by one task, which holds two numbers for each vertex.
+TASK_LINKS = 2_000_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links' spanning forest: each vertex with the smallest one that these links reach from it."""
+    held = [(b.column("src").to_numpy(), b.column("dst").to_numpy()) for b in batches if b.num_rows]
+    if held:
+        src, dst = (np.concatenate(x) for x in zip(*held))
+        names, places = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        root = np.arange(len(names))  # names are in order: the smallest place is the smallest vertex
+        tie(root, places[: len(src)], places[len(src) :])
+        for i in range(0, len(names), 1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(names[i : i + (1 << 20)]), pa.array(names[root[i : i + (1 << 20)]])], ["src", "dst"])
+
+
+def components(links: DataFrame, rounds: int = 50, task_links: int = TASK_LINKS) -> DataFrame:
+    """vertex, component (its smallest vertex) for every vertex of the links: by one task where they are counted to be few
+    enough for its memory, else by large-star and small-star steps."""
     flat = lambda e: e.where("src != dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
     edges, before = durable(flat(links)), None
+    if edges.count() <= task_links:
+        return edges.repartition(1).mapInArrow(_forest, "src long, dst long").toDF("vertex", "component")
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))

@@ -71,11 +71,13 @@ def test_links_over_shards(spark, shard_points):
     assert [got.get(i, i) for i in range(len(p))] == want
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("task_links", [S.TASK_LINKS, 0])
+def test_components_of_chains_and_stars(spark, task_links):
+    found = lambda e: S.components(spark.createDataFrame(e, "src long, dst long"), task_links=task_links).collect()
     links = [(i, i + 1) for i in range(10, 60)] + [(100, i) for i in range(101, 150)] + [(7, 7), (3, 2), (2, 3)]
-    got = {r.vertex: r.component for r in S.components(spark.createDataFrame(links, "src long, dst long")).collect()}
+    got = {r.vertex: r.component for r in found(links)}
     far = [((1 << 62) + i, (1 << 62) + i + 1) for i in range(30)] + [(-(1 << 62) - i, -(1 << 62) - i - 1) for i in range(30)]
-    assert {r.component for r in S.components(spark.createDataFrame(far, "src long, dst long")).collect()} == {1 << 62, -(1 << 62) - 30}
+    assert {r.component for r in found(far)} == {1 << 62, -(1 << 62) - 30}
     assert got == {**{i: 10 for i in range(10, 61)}, **{i: 100 for i in range(100, 150)}, 2: 2, 3: 2}
 
 
