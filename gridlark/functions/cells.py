@@ -113,8 +113,36 @@ def _out(kind: str, v):
     return a.reshape(a.shape[0], -1).tolist()
 
 
+#: Kernels that take whole blocks of cells of one width, as the rows of a matrix: element by element, or along the rows.
+BY_ELEMENT = frozenset("add subtract multiply divide negative absolute fabs square sqrt cbrt exp exp2 expm1 log log2 log10 log1p sin cos tan arcsin arccos arctan sinh cosh tanh arcsinh arccosh arctanh degrees radians floor ceil trunc rint sign reciprocal positive maximum minimum fmax fmin hypot arctan2 power float_power mod fmod remainder floor_divide logaddexp logaddexp2 copysign nextafter spacing sinc nan_to_num heaviside ldexp zeros_like ones_like".split())
+ALONG_ROWS = frozenset("sum prod mean var std min max ptp median nansum nanprod nanmean nanvar nanstd nanmin nanmax nanmedian argmin argmax nanargmin nanargmax count_nonzero any all cumsum cumprod nancumsum nancumprod diff sort argsort partition argpartition percentile quantile nanpercentile nanquantile average trapezoid".split())
+
+
+def _matrix(column: pa.Array) -> np.ndarray | None:
+    """The column's cells as rows, if they are lists of one width without nulls."""
+    if not pa.types.is_list(column.type) or not pa.types.is_floating(column.type.value_type) or column.null_count or not len(column):
+        return None
+    flat, offsets = column.flatten(), np.asarray(column.offsets)
+    width = np.diff(offsets)
+    return None if flat.null_count or (width != width[0]).any() or not width[0] else flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _as_block(name: str, kind: str, f: Callable, columns: tuple, options: dict) -> pa.Array | None:
+    """All cells' results by one call, where the kernel and the cells allow it."""
+    if name not in BY_ELEMENT and not (name in ALONG_ROWS and len(columns) == 1 and "axis" not in options) or any(not isinstance(v, (int, float)) for v in options.values()):
+        return None
+    blocks = [_matrix(c) for c in columns]
+    if any(m is None or m.shape != blocks[0].shape for m in blocks):
+        return None
+    out = np.asarray(f(*blocks, **options) if name in BY_ELEMENT else f(*blocks, axis=-1, **options))
+    if kind in ("vector", "wholes"):
+        offsets = pa.array(np.arange(len(out) + 1) * out.shape[1], pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(out).ravel().astype(float if kind == "vector" else np.int64)))
+    return pa.array(out.astype({"scalar": float, "whole": np.int64, "truth": bool}[kind]))
+
+
 def apply(name: str, *cells: Column, **options) -> Column:
-    """The named function of the cells, with constant options passed to the kernel."""
+    """The named function of the cells, with constant options passed to the kernel. Cells of one width go as blocks."""
     kind, own = CATALOGUE[name]
     own = own if name in _OWN else None  # built-in kernels are looked up where they run
 
@@ -124,8 +152,10 @@ def apply(name: str, *cells: Column, **options) -> Column:
 
         f = own or here.CATALOGUE[name][1]
         with np.errstate(all="ignore"):
-            rows = zip(*(c.to_pylist() for c in columns))
-            return pa.array([None if any(x is None for x in r) else here._out(kind, f(*map(here._in, r), **options)) for r in rows], here.KINDS[kind][1])
+            if own is None and (block := here._as_block(name, kind, f, columns, options)) is not None:
+                return block
+            rows = zip(*(m if (m := here._matrix(c)) is not None else map(here._in, c.to_pylist()) for c in columns))
+            return pa.array([None if any(x is None for x in r) else here._out(kind, f(*r, **options)) for r in rows], here.KINDS[kind][1])
 
     return kernel(*cells)
 

@@ -6,6 +6,7 @@ What a family doesn't state in closed form comes from it: pdf by its formula, pp
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -54,6 +55,7 @@ _ORDERS = np.arange(1, 81)
 _orders = lambda x: np.sin(np.asarray(x)[..., None] * _ORDERS) / _ORDERS
 
 
+@functools.lru_cache(maxsize=64)
 def S_ratio(k: float) -> np.ndarray:
     """I_j(k) / I_0(k) for the first orders j."""
     return np.array([float(S.ive(int(j), np.float64(k))) for j in _ORDERS]) / float(S.ive(0, np.float64(k)))
@@ -67,7 +69,7 @@ def _poisson_mix(f: Callable, mean: float, terms: int = 200) -> np.ndarray:
 
 def _by_quadrature(name: str, x, *shape) -> np.ndarray:
     """A cdf from its density, over the line folded to an interval."""
-    t, w = np.polynomial.legendre.leggauss(400)
+    t, w = np.polynomial.legendre.leggauss(120)
     u = (t + 1) / 2  # of (-inf, x]: y = x - u / (1 - u)
     y = np.asarray(x, float)[..., None] - u / (1 - u)
     return (CONTINUOUS[name].pdf(y, *shape) * (w / 2 / (1 - u) ** 2)).sum(-1)
@@ -277,9 +279,10 @@ class Frozen:
                 edge[out] = edge[out] * 2 + (1 if edge is high else 0)
         if self.family.discrete:
             low, high = np.floor(low) - 1, np.ceil(high)
-        for _ in range(1100):
+        near = 0.0 if math.isfinite(self.low) else 1e-15  # about zero, where the support goes on to both sides
+        for _ in range(300):
             mid = np.floor((low + high) / 2) if self.family.discrete else (low + high) / 2
-            open_ = (high - low > 1) if self.family.discrete else (mid != low) & (mid != high) & (high - low > 4e-16 * np.abs(mid))
+            open_ = (high - low > 1) if self.family.discrete else (mid != low) & (mid != high) & (high - low > np.maximum(4e-16 * np.abs(mid), near))
             if not open_.any():
                 break
             under = f(mid) < (p * (1 - 1e-14) if self.family.discrete else p)

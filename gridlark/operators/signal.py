@@ -63,8 +63,13 @@ def _tukey(m: int, alpha: float) -> np.ndarray:
 # Filters
 
 
+#: Samples that a recursive filter answers at once.
+RUN = 32
+
+
 def lfilter(b: Sequence[float], a: Sequence[float], x: np.ndarray, zi: np.ndarray | None = None, final: bool = False):
-    """Direct form II transposed."""
+    """Direct form II transposed, a run of samples at a time: a run's output is its own input through the impulse response
+    plus what the state at its start still gives, both as matrix products. Only the state goes from run to run."""
     b, a = np.atleast_1d(np.asarray(b, float)), np.atleast_1d(np.asarray(a, float))
     b, a = b / a[0], a / a[0]
     x = np.asarray(x, float)
@@ -72,14 +77,39 @@ def lfilter(b: Sequence[float], a: Sequence[float], x: np.ndarray, zi: np.ndarra
         return np.convolve(x, b)[: len(x)]
     n = max(len(a), len(b))
     b, a = np.pad(b, (0, n - len(b))), np.pad(a, (0, n - len(a)))
-    z = np.zeros(n - 1) if zi is None else np.array(zi, float)
-    y = np.empty(len(x))
-    for k, v in enumerate(x.tolist()):
-        y[k] = b[0] * v + (z[0] if n > 1 else 0)
-        if n > 1:
-            z[:-1] = z[1:] + b[1:-1] * v - a[1:-1] * y[k]
-            z[-1] = b[-1] * v - a[-1] * y[k]
-    return (y, z) if final else y
+    state = np.zeros(n - 1) if zi is None else np.array(zi, float)
+    if n == 1:
+        return (b[0] * x, state) if final else b[0] * x
+    step = np.eye(n - 1, k=1)  # state' = step @ state + take * x; y = state[0] + b[0] * x
+    step[:, 0] -= a[1:]
+    take = b[1:] - a[1:] * b[0]
+
+    def run(part: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """part: (runs, m)"""
+        m = part.shape[1]
+        rows, gone = np.zeros((m + 1, n - 1)), np.zeros((m, n - 1))  # what of the state is heard after k samples; what x leaves in it
+        rows[0, 0] = 1
+        push = take.copy()
+        for k in range(m):
+            rows[k + 1] = rows[k] @ step
+            gone[m - 1 - k] = push
+            push = step @ push
+        h = np.concatenate([[b[0]], rows[: m - 1] @ take])
+        lag = np.subtract.outer(np.arange(m), np.arange(m))
+        y = part @ np.where(lag >= 0, h[np.maximum(lag, 0)], 0).T
+        fresh, whole = part @ gone, np.linalg.matrix_power(step, m)
+        states = np.empty((len(part), n - 1))
+        for k in range(len(part)):
+            states[k] = state
+            state = whole @ state + fresh[k]
+        return (y + states @ rows[:m].T).ravel(), state
+
+    cut = len(x) // RUN * RUN
+    y, state = run(x[:cut].reshape(-1, RUN), state) if cut else (np.zeros(0), state)
+    if cut < len(x):
+        rest, state = run(x[cut:].reshape(1, -1), state)
+        y = np.concatenate([y, rest])
+    return (y, state) if final else y
 
 
 def lfilter_zi(b, a) -> np.ndarray:

@@ -7,7 +7,7 @@ from gridlark.functions import special as S
 from pyspark.sql import functions as F
 
 SHAPES = {1: (2.5,), 2: (2.2, 3.1), 3: (30, 12, 9)}
-OWN = {"truncnorm": (-1.0, 2.0), "loguniform": (1.5, 4.0), "triang": (0.3,), "binom": (12, 0.3), "nbinom": (4, 0.4), "bernoulli": (0.3,), "geom": (0.3,), "randint": (2, 9), "zipfian": (1.2, 20), "logser": (0.6,), "betabinom": (10, 2.0, 3.0), "genextreme": (0.3,), "genpareto": (0.3,), "zipf": (3.5,), "yulesimon": (4.5,)}
+OWN = {"truncnorm": (-1.0, 2.0), "loguniform": (1.5, 4.0), "triang": (0.3,), "binom": (12, 0.3), "nbinom": (4, 0.4), "bernoulli": (0.3,), "geom": (0.3,), "randint": (2, 9), "zipfian": (1.2, 20), "logser": (0.6,), "betabinom": (10, 2.0, 3.0), "genextreme": (0.3,), "genpareto": (0.3,), "zipf": (3.5,), "yulesimon": (4.5,), "skewcauchy": (0.3,), "wrapcauchy": (0.4,), "truncweibull_min": (1.5, 0.2, 3.0), "truncpareto": (2.0, 9.0), "norminvgauss": (2.0, 0.5), "crystalball": (1.5, 3.0), "tukeylambda": (0.3,), "genexpon": (1.0, 0.5, 2.0), "boltzmann": (0.5, 20), "nhypergeom": (30, 10, 5), "betanbinom": (5, 3.0, 2.0), "skellam": (4.0, 2.0), "genhalflogistic": (0.5,)}
 
 
 def shape_of(name, family):
