@@ -9,7 +9,8 @@
    again.
 
 Edge cases: null counts as empty text, which is a text like any other; rows without an id form groups too (a null id is
-below every other); repeated rows count as rows; an empty table gives an empty table; extra columns are ignored. Texts
+below every other); repeated rows count as rows; a very long text is a long recipe, and only its chunks move; an
+empty table gives an empty table; extra columns are ignored. Texts
 that are not valid UTF-8 are one chunk, their bytes in hex, kept apart from valid ones.
 """
 

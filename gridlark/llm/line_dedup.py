@@ -8,7 +8,7 @@ all others lose theirs. The result is a compressed keep bitmap for each document
 it is a join on the document's row.
 
 Edge cases: null and empty texts have one empty line, which is too short to drop; a null id comes after every other;
-rows that share an id count as one document, so lines that only they share stay, and each row has its own bitmap;
+a very long text is read line by line, and its bitmap is deflated; rows that share an id count as one document, so lines that only they share stay, and each row has its own bitmap;
 extra columns pass through untouched.
 """
 

@@ -11,7 +11,8 @@ blocks of a source (some thousand documents each) and then within the one block
 third of all rows meets in no task.
 
 Edge cases: a null source is a source of its own, apart from the empty name; null and empty texts have no tokens and fit
-any budget; a source without tokens is taken once; repeated rows are taken each; a null id is hashed as null; an empty
+any budget; a source without tokens is taken once; repeated rows are taken each; rows of one id are in order of their
+tokens and their text's hash; a null id is hashed as null; of a very long text only its number of tokens counts; an empty
 table gives an empty table; columns of the input keep their names, new ones are in one struct, which replaces a column of its name.
 """
 
@@ -86,7 +87,7 @@ def mix_sources(df: DataFrame, *, target_entropy: float | None = None, max_epoch
     budget: tokens of all sources together. None: the least at which every source is taken whole at least once."""
     count = word_tokens(df["text"]) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))
     named = F.when(df[source].isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), df[source].cast("string")))
-    rows = df.select(F.struct(*df.columns).alias("all"), named.alias("named"), F.xxhash64(F.lit(key), df[doc_id]).alias("draw"), df[doc_id].alias("id"), count.alias("n_tokens"))
+    rows = df.select(F.struct(*df.columns).alias("all"), named.alias("named"), F.xxhash64(F.lit(key), df[doc_id]).alias("draw"), df[doc_id].alias("id"), count.alias("n_tokens"), (F.xxhash64(df["text"]) if "text" in df.columns else F.lit(0)).alias("tie"))
     narrow = durable(rows.select("named", "draw", "n_tokens"))
     sources = narrow.groupBy("named").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("tokens"))
     totals = sources.agg(F.sum("tokens").alias("all_tokens"), F.max("tokens").alias("most"), F.min(F.when(F.col("tokens") > 0, F.col("tokens"))).alias("least"))
@@ -113,7 +114,7 @@ def mix_sources(df: DataFrame, *, target_entropy: float | None = None, max_epoch
     blocks = blocks.select("named", "block", F.coalesce(F.sum("block_tokens").over(running), F.lit(0)).alias("before"))
     each = _with_budget(rows, budgets).withColumn("block", block).join(blocks, ["named", "block"])
     turn = F.xxhash64(F.lit(key), "full", "draw")
-    so_far = F.col("before") + F.sum("n_tokens").over(Window.partitionBy("named", "block").orderBy(turn, "draw", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
+    so_far = F.col("before") + F.sum("n_tokens").over(Window.partitionBy("named", "block").orderBy(turn, "draw", "id", "n_tokens", "tie").rowsBetween(Window.unboundedPreceding, 0))
     last = F.when((F.col("rest") > 0) & (so_far <= F.col("rest")), 1).otherwise(0)
     taken = each.withColumn("copies", F.col("full") + last).where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     return taken.select(*(F.col("all")[c].alias(c) for c in df.columns if c != output), F.struct("n_tokens", "weight", "epoch", "block", F.xxhash64(F.lit(key), "epoch", "named", "block").alias("block_key"), F.xxhash64(F.lit(key), "epoch", "draw").alias("row_key")).alias(output))
