@@ -69,7 +69,7 @@ def _poisson_mix(f: Callable, mean: float, terms: int = 200) -> np.ndarray:
 
 def _by_quadrature(name: str, x, *shape) -> np.ndarray:
     """A cdf from its density, over the line folded to an interval."""
-    t, w = np.polynomial.legendre.leggauss(120)
+    t, w = S.gauss(120)
     u = (t + 1) / 2  # of (-inf, x]: y = x - u / (1 - u)
     y = np.asarray(x, float)[..., None] - u / (1 - u)
     return (CONTINUOUS[name].pdf(y, *shape) * (w / 2 / (1 - u) ** 2)).sum(-1)
@@ -164,7 +164,7 @@ CONTINUOUS: dict[str, Family] = {
     "vonmises": Family(lambda x, k: np.exp(k * (np.cos(x) - 1)) / (2 * np.pi * S.ive(0, np.float64(k))), lambda x, k: 0.5 + (x / 2 + (_orders(x) * S_ratio(k)).sum(-1)) / np.pi, lambda k: (-math.pi, math.pi)),
     "ncx2": Family(lambda x, d, n: _poisson_mix(lambda j: _gamma_pdf(d / 2 + j, x[..., None] / 2) / 2, n / 2), lambda x, d, n: _poisson_mix(lambda j: S.gammainc(d / 2 + j, x[..., None] / 2), n / 2), _half),
     "jf_skew_t": Family(lambda x, a, b: (1 + x / np.sqrt(a + b + x * x)) ** (a + 0.5) * (1 - x / np.sqrt(a + b + x * x)) ** (b + 0.5) / (2 ** (a + b - 1) * S.beta(a, b) * np.sqrt(a + b)), lambda x, a, b: S.betainc(a, b, (1 + x / np.sqrt(a + b + x * x)) / 2), _wide),
-    "norminvgauss": Family(lambda x, a, b: a * S.kve(1, a * np.sqrt(1 + x * x)) / (np.pi * np.sqrt(1 + x * x)) * np.exp(np.sqrt(a * a - b * b) + b * x - a * np.sqrt(1 + x * x)), lambda x, a, b: _by_quadrature("norminvgauss", x, a, b), _wide),
+    "norminvgauss": Family(lambda x, a, b: a * S.kve(1, a * np.sqrt(1 + x * x)) / (np.pi * np.sqrt(1 + x * x)) * np.exp(np.sqrt(a * a - b * b) + b * x - a * np.sqrt(1 + x * x)), lambda x, a, b: np.where(x <= 0, _by_quadrature("norminvgauss", np.minimum(x, 0), a, b), 1 - _by_quadrature("norminvgauss", -np.maximum(x, 0), a, -b)), _wide),
     "crystalball": Family(lambda x, b, m: np.where(x > -b, np.exp(-x * x / 2), (m / b) ** m * np.exp(-b * b / 2) * np.maximum(m / b - b - x, 1e-300) ** -m) / (m / b / (m - 1) * np.exp(-b * b / 2) + math.sqrt(2 * math.pi) * S.ndtr(b)), lambda x, b, m: np.where(x > -b, m / b * np.exp(-b * b / 2) / (m - 1) + math.sqrt(2 * math.pi) * (S.ndtr(x) - S.ndtr(-b)), (m / b) ** m * np.exp(-b * b / 2) * np.maximum(m / b - b - x, 1e-300) ** (1 - m) / (m - 1)) / (m / b / (m - 1) * np.exp(-b * b / 2) + math.sqrt(2 * math.pi) * S.ndtr(b)), _wide),
     "powernorm": Family(lambda x, c: c * _phi(x) * S.ndtr(-x) ** (c - 1), lambda x, c: 1 - S.ndtr(-x) ** c, _wide, lambda p, c: -S.ndtri((1 - p) ** (1 / c))),
 }
@@ -302,7 +302,7 @@ class Frozen:
             high = int(self.high if math.isfinite(self.high) else self._invert(1 - 1e-14)[0])
             k = np.arange(low, high + 1) * self.scale + self.loc
             return float((f(k) * self.pmf(k)).sum())
-        t, w = np.polynomial.legendre.leggauss(200)
+        t, w = S.gauss(200)
         u = (t + 1) / 2
         q = u * u * (3 - 2 * u)  # dense at the ends, where quantiles are steep
         return float((f(self.ppf(q)) * w / 2 * 6 * u * (1 - u)).sum())
