@@ -49,6 +49,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows over one physical plan: what reads them again takes up at the plan's last shuffle, whose files are kept,
+    without a copy of the rows. Files of a lost executor are made again from the source, so the rows must not depend on
+    the run."""
+    spark, plan = df.sparkSession, df._jdf.queryExecution()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), df._jdf.schema(), False), spark)
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import blocks, durable, shuffle_partitions
+from gridlark.llm.common import blocks, settled, shuffle_partitions
 
 LENGTH = 1024
 #: Fills the last sequence; no model has an id as large.
@@ -82,29 +82,42 @@ def _encoder(blob: bytes):
     return _processors[key]
 
 
-def token_ids(df: DataFrame, model_path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, key (the text's xxhash64), n, ids (little-endian 16-bit) of every text."""
+_CODEC = pa.Codec("zstd", 1)
+
+
+def pack(ids: bytes) -> bytes:
+    """Ids are stored and moved packed, which takes a third off them."""
+    return _CODEC.compress(ids, asbytes=True)
+
+
+def unpack(raw: bytes, n: int) -> bytes:
+    """The n ids of two bytes."""
+    return _CODEC.decompress(raw, 2 * n, asbytes=True)
+
+
+def token_ids(docs: DataFrame, model_path: str) -> DataFrame:
+    """part, doc_id, key (the text's xxhash64), n, ids (n little-endian 16-bit ids, packed) of docs' part, doc_id and text."""
     with open(model_path, "rb") as f:
         blob = f.read()
     if _encoder(blob).get_piece_size() > PAD:
         raise ValueError("ids of 16 bits need a vocabulary of at most 65535 pieces")
-    held = df.sparkSession.sparkContext.broadcast(blob)  # a model file: its size doesn't follow the data
+    held = docs.sparkSession.sparkContext.broadcast(blob)  # a model file: its size doesn't follow the data
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(held.value).encode
         for b in blocks(batches):
             ids = [np.array(x, "<u2") for x in encode([t or "" for t in b.column("text").to_pylist()], add_bos=True, add_eos=True, num_threads=1)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "key", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("doc_id"), b.column("key"), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(x.tobytes()) for x in ids], pa.binary())], ["part", "doc_id", "key", "n", "ids"])
 
-    rows = df.select(df[doc_id].cast("long").alias("doc_id"), F.xxhash64(df[text]).alias("key"), df[text].alias("text"))
-    return rows.mapInArrow(encoded, "doc_id long, key long, n long, ids binary")
+    return docs.select("part", "doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(encoded, "part int, doc_id long, key long, n long, ids binary")
 
 
-def training_order(docs: DataFrame, *, key: int = 1, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, range_rows: int = RANGE_ROWS) -> DataFrame:
+def training_order(df: DataFrame, model_path: str, *, doc_id: str = "doc_id", text: str = "text", key: int = 1, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, range_rows: int = RANGE_ROWS) -> DataFrame:
     """slot, shard, byte_offset (in the shard), number (of the sequence before it was permuted), n_tokens (without PAD),
     tokens (binary, `length` little-endian 16-bit ids); partitions hold ranges of slots, each in order.
 
-    docs: as from token_ids, durable. Shard k has the slots from k * shard_sequences on."""
+    Shard k has the slots from k * shard_sequences on."""
+    docs = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
     rows = docs.count()
     n = int(min(rows // range_rows + 1, 4 * max(shuffle_partitions(docs), 64)))
     limits = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
@@ -115,7 +128,9 @@ def training_order(docs: DataFrame, *, key: int = 1, length: int = LENGTH, shard
         found = np.searchsorted(limits, pa.compute.fill_null(ids, 0).to_numpy(zero_copy_only=False))
         return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), len(limits) + 1, found), pa.int32())
 
-    placed = docs.withColumn("part", range_of("doc_id"))
+    # Ids are dealt by ranges of the document id once; that shuffle is read twice, for the ranges' sums and for the cuts.
+    dealt = token_ids(docs.withColumn("part", range_of("doc_id")), model_path).repartitionById(len(limits) + 2, F.col("part"))
+    placed = settled(dealt.sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_last(), "key", "n"))
     sums = {r.part: r.n for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row a range
     tokens = sum(sums.values())
     total = -(-tokens // length)
@@ -123,22 +138,38 @@ def training_order(docs: DataFrame, *, key: int = 1, length: int = LENGTH, shard
     for p in range(len(limits) + 2):
         starts.append(at)
         at += sums.get(p, 0)
-    first = F.element_at(F.lit(np.array(starts, np.int64)), F.col("part") + 1)
-    before = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_last(), "key", "n").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.repartitionById(len(limits) + 2, F.col("part")).withColumn("start", first + F.coalesce(F.sum("n").over(before), F.lit(0)))
-    # A document's share of each sequence that it reaches into: from where in the document, and to where in the sequence.
-    number = F.explode(F.sequence(F.expr(f"start div {length}"), F.expr(f"(start + n - 1) div {length}")))
-    each = placed.where("n > 0").select("start", "n", "ids", number.alias("number"))
-    low, high = F.greatest("start", F.col("number") * length), F.least(F.col("start") + F.col("n"), (F.col("number") + 1) * length)
-    cut = F.substring(F.col("ids"), ((low - F.col("start")) * 2 + 1).cast("int"), ((high - low) * 2).cast("int"))
-
-    @F.arrow_udf("long")
-    def slots(numbers: pa.Array) -> pa.Array:
-        return pa.array(permute(numbers.to_numpy(zero_copy_only=False), total, key))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A document's share of each sequence that it reaches into, and from where in the sequence. Rows come range by
+        range, in order."""
+        now, upto = None, 0
+        for b in batches:
+            rows: list[tuple] = []
+
+            def out() -> pa.RecordBatch:
+                number, at, n, data = zip(*rows)
+                rows.clear()
+                number = np.array(number, np.int64)
+                return pa.RecordBatch.from_arrays([pa.array(permute(number, total, key)), pa.array(number), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], ["slot", "number", "at", "n", "data"])
+
+            for part, n, packed in zip(b.column("part").to_pylist(), b.column("n").to_pylist(), b.column("ids").to_pylist()):
+                if part != now:
+                    now, upto = part, starts[part]
+                ids, start, done = unpack(packed, n), upto, 0
+                upto += n
+                while done < n:
+                    number, at = divmod(start + done, length)
+                    size = min(length - at, n - done)
+                    rows.append((number, at, size, pack(ids[2 * done : 2 * (done + size)])))
+                    done += size
+                if len(rows) >= 2048:
+                    yield out()
+            if rows:
+                yield out()
 
     shards = max(1, -(-total // shard_sequences))
     parts = min(shards, max(shuffle_partitions(docs), 2 * tokens // (64 << 20)))
-    dealt = each.select(slots("number").alias("slot"), "number", (low - F.col("number") * length).cast("int").alias("at"), cut.alias("data"))
+    dealt = placed.select("part", "n", "ids").mapInArrow(cut, "slot long, number long, at int, n int, data binary")
     shard = F.expr(f"slot div {shard_sequences}")
     dealt = dealt.repartitionById(parts, (shard * parts / shards).cast("int")).sortWithinPartitions("slot", "at")
     stride = 2 * length
@@ -158,12 +189,12 @@ def training_order(docs: DataFrame, *, key: int = 1, length: int = LENGTH, shard
             return pa.RecordBatch.from_arrays(cols, ["slot", "shard", "byte_offset", "number", "n_tokens", "tokens"])
 
         for b in batches:
-            for slot, number, data in zip(b.column("slot").to_pylist(), b.column("number").to_pylist(), b.column("data").to_pylist()):
+            for slot, number, n, data in zip(*(b.column(c).to_pylist() for c in ("slot", "number", "n", "data"))):
                 if now is None or slot != now[0]:
                     if now:
                         close()
                     now, held = (slot, number), []
-                held.append(data)
+                held.append(unpack(data, n))
                 if len(done) >= 1024:
                     yield out()
         if now:
@@ -223,9 +254,9 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     return ordered.select("shard", "slot", "n_tokens", "tokens").mapInArrow(write, "shard long, first_slot long, n_sequences long, n_tokens long, bytes long, sha256 string")
 
 
-def materialise(df: DataFrame, model_path: str, folder: str, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Texts to shards: write_shards over training_order over token_ids. The files are written when the rows are read."""
-    return write_shards(training_order(durable(token_ids(df, model_path, doc_id=doc_id, text=text)), **options), folder)
+def materialise(df: DataFrame, model_path: str, folder: str, **options) -> DataFrame:
+    """Texts to shards: write_shards over training_order. The files are written when the rows are read."""
+    return write_shards(training_order(df, model_path, **options), folder)
 
 
 def read_from(folder: str, slot: int = 0, *, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES) -> Iterator[np.ndarray]:

@@ -3,7 +3,6 @@ import hashlib
 import numpy as np
 import pytest
 import sentencepiece
-from gridlark.llm import common
 from gridlark.llm import training_order as T
 from gridlark.llm.queries import op2_training_order, tokenizer_path
 from hypothesis import given, settings
@@ -44,7 +43,7 @@ def got(df):
 
 
 def ordered(docs, **options):
-    return T.training_order(common.durable(T.token_ids(docs, tokenizer_path("piece_bpe_32k.model"))), **options)
+    return T.training_order(docs, tokenizer_path("piece_bpe_32k.model"), **options)
 
 
 @pytest.mark.parametrize("range_rows", [2, 2000])
