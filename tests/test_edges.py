@@ -8,6 +8,7 @@ from gridlark.functions import special as S
 from gridlark.operators import graph as G
 from gridlark.operators import nd, scan, sets, stats
 from gridlark.operators import reduce as R
+from gridlark.plans.queries import QUERIES
 from gridlark.sources import arrays
 from pyspark.sql import functions as F
 
@@ -108,6 +109,17 @@ def test_reductions(spark, odd):
     assert (empty.s, empty.p, empty.a, empty.i) == (0, 1, False, None)
 
 
+def test_products_beyond_64_bits(spark):
+    """sum_integers against Python's whole numbers: most of the products don't fit 64 bits."""
+    folder, want = "/root/testdata/sf0.001", {}
+    for r in spark.read.parquet(f"{folder}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_quantity").collect():
+        want.setdefault(r.l_suppkey, []).append((r.l_orderkey, r.l_quantity))
+    got = {r.l_suppkey: (r.total, r.low, r.high, r.large) for r in QUERIES["sum_integers"](spark, folder).collect()}
+    big = 9007199254740993
+    assert max(k * big for rows in want.values() for k, _ in rows) >= 1 << 63
+    assert got == {s: (sum(k * 1000000007 + 4503599627370497 for k, _ in rows), min(rows)[0] * big, max(rows)[0] * big, sum(q > 25 for _, q in rows)) for s, rows in want.items()}
+
+
 def test_what_does_not_vary(constant):
     assert all(math.isnan(v) for v in stats.pearsonr(constant, "c", "y")) and all(math.isnan(v) for v in stats.spearmanr(constant, "c", "y"))
     assert math.isnan(stats.linregress(constant, "c", "y")["slope"]) and math.isnan(stats.kruskal(constant, "g", "c")[0])
