@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -73,6 +74,16 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
             yield batch.slice(a, b - a)
 
 
+def give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last the worker's free memory goes back to the system, as the worker is kept for later tasks."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+            trim(0)
+
+
 class Memo(dict):
     """A dict that makes missing values with `make` and starts anew at `most` entries; what is made of a key longer than
     LONG_KEY isn't kept. So its memory is bounded.

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import blocks, durable, shuffle_partitions
+from gridlark.llm.common import blocks, durable, give_back, shuffle_partitions
 from gridlark.llm.simhash import SEED, components, label_rows, near_links, print_of, shingle_hashes
 
 SIZE, SIMILARITY = 5, 0.8
@@ -86,7 +86,7 @@ def sets(df: DataFrame, size: int = SIZE) -> DataFrame:
             longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[:2]]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *longs, _lists(cols[2]), pa.array(cols[3], pa.binary()), _lists(cols[4])], ["doc_id", "text_key", "point", "simhash", "bands", "signature", "hashes"])
 
-    return df.select("doc_id", "text", "text_key").mapInArrow(made, "doc_id long, text_key long, point long, simhash long, bands array<long>, signature binary, hashes array<long>")
+    return df.select("doc_id", "text", "text_key").mapInArrow(lambda batches: give_back(made(batches)), "doc_id long, text_key long, point long, simhash long, bands array<long>, signature binary, hashes array<long>")
 
 
 def _connecting(est: np.ndarray, q: int, mine: np.ndarray, theirs: np.ndarray, roots: dict[int, int]) -> np.ndarray:
@@ -177,22 +177,13 @@ BROADCAST_ROWS = 1_000_000
 def verified(pairs: DataFrame, points: DataFrame, made: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """src, dst: the pairs (a, b; durable) whose sets are similar enough. Only the sets that are asked for move.
 
-    points: point and row, one of its rows in `made`, which has row, point and hashes."""
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            x, y = t.column("x"), t.column("y")
-            good = []
-            for i in range(t.num_rows):
-                u, v = x[i].values.to_numpy(), y[i].values.to_numpy()
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                good.append(both >= similarity * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["src", "dst"]).filter(pa.array(good, pa.bool_()))
-
+    points: point and row, one of its rows in `made`, which has row, point and hashes. Sets are compared in the JVM: a batch
+    of rows with two whole sets each would be laid out whole on both sides of the way to Python."""
     asked = durable(pairs.select(F.col("a").alias("point")).union(pairs.select("b")).distinct().join(points.select("point", "row"), "point").select("row"))
     hashes = made.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "row", "left_semi").select("point", "hashes")
     whole = pairs.join(hashes.toDF("a", "x"), "a").join(hashes.toDF("b", "y"), "b")
-    return whole.select("a", "b", "x", "y").mapInArrow(checked, "src long, dst long")
+    compared = whole.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sizes"))
+    return compared.where(F.col("both") >= similarity * (F.col("sizes") - F.col("both"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def near_copies(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:

@@ -18,12 +18,13 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridlark.llm.common import Memo, blocks
+from gridlark.llm.common import Memo, blocks, give_back
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the model format
@@ -284,11 +285,16 @@ class PieceModel:
 _models: dict[str, PieceModel] = {}
 
 
-def _model(key: str, blob: bytes) -> PieceModel:
+@contextmanager
+def _model(key: str, blob: bytes) -> Iterator[PieceModel]:
+    """The worker's model for a task. What it remembers goes when the task ends: the worker serves other stages as well."""
     if key not in _models:
         _models.clear()
         _models[key] = PieceModel(blob)
-    return _models[key]
+    try:
+        yield _models[key]
+    finally:
+        _models[key].packed.clear()
 
 
 def encode_documents(df: DataFrame, model_path: str, *, doc_id: str = "doc_id", text: str = "text", output: str = "pieces") -> DataFrame:
@@ -306,27 +312,28 @@ def encode_documents(df: DataFrame, model_path: str, *, doc_id: str = "doc_id",
     kind = df.schema[doc_id].dataType.simpleString()
 
     def pieces(batches):
-        m = _model(key, held.value)
-        for batch in blocks(batches):
-            rows = []
-            for t in batch.column("text").to_pylist():
-                ids = m.encode(t)
-                s = m.spans(t, ids)
-                rows.append((ids.astype(np.int32), s[:, 0], s[:, 1], m.decode(ids)))
-            flat = lambda i: pa.array([r[i] for r in rows], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat(0), flat(1), flat(2), pa.array([r[3] for r in rows], pa.string())], ["doc_id", "ids", "begins", "ends", "decoded"])
+        with _model(key, held.value) as m:
+            for batch in blocks(batches):
+                rows = []
+                for t in batch.column("text").to_pylist():
+                    ids = m.encode(t)
+                    s = m.spans(t, ids)
+                    rows.append((ids.astype(np.int32), s[:, 0], s[:, 1], m.decode(ids)))
+                flat = lambda i: pa.array([r[i] for r in rows], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), flat(0), flat(1), flat(2), pa.array([r[3] for r in rows], pa.string())], ["doc_id", "ids", "begins", "ends", "decoded"])
 
     def digest(batches):
-        m, sha = _model(key, held.value), lambda b: hashlib.sha256(b).hexdigest()
-        for batch in blocks(batches):
-            rows = []
-            for t in batch.column("text").to_pylist():
-                ids = m.encode(t)
-                rows.append((len(ids), sha(ids), sha(m.decode_bytes(ids)), len((t or "").encode("utf-8", "replace")), sha(m.spans(t, ids))))
-            cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3], pa.int64()), pa.array(cols[4])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "spans_sha256"])
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        with _model(key, held.value) as m:
+            for batch in blocks(batches):
+                rows = []
+                for t in batch.column("text").to_pylist():
+                    ids = m.encode(t)
+                    rows.append((len(ids), sha(ids), sha(m.decode_bytes(ids)), len((t or "").encode("utf-8", "replace")), sha(m.spans(t, ids))))
+                cols = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3], pa.int64()), pa.array(cols[4])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "spans_sha256"])
 
     chosen = df.select(df[doc_id].alias("doc_id"), df[text].alias("text"))
     if output == "pieces":
-        return chosen.mapInArrow(pieces, f"doc_id {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string")
-    return chosen.mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, spans_sha256 string")
+        return chosen.mapInArrow(lambda batches: give_back(pieces(batches)), f"doc_id {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string")
+    return chosen.mapInArrow(lambda batches: give_back(digest(batches)), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, spans_sha256 string")

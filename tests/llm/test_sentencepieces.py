@@ -110,3 +110,19 @@ def test_documents(spark, odd, both):
 
 def test_empty(empty):
     assert encode_documents(empty, PATH, output="digest").count() == 0
+
+
+def test_workers_remember_nothing_between_tasks(spark):
+    """A worker that has encoded serves other stages next; the units that it has met would stay in its memory."""
+
+    def remembered(batches):
+        import pyarrow as pa
+        from gridlark.llm import sentencepieces
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(m.packed) for m in sentencepieces._models.values())], pa.int64())], ["n"])
+
+    rows = spark.range(400).selectExpr("id AS doc_id", "concat('some words and number ', id) AS text").repartition(4)
+    assert encode_documents(rows, PATH, output="digest").count() == encode_documents(rows, PATH).count() == 400
+    encode_documents(rows, PATH, output="digest").collect()
+    assert {r.n for r in rows.select("doc_id").mapInArrow(remembered, "n long").collect()} == {0}
