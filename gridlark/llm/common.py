@@ -74,14 +74,19 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
             yield batch.slice(a, b - a)
 
 
+def release() -> None:
+    """This process's free memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
 def give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches; after the last the worker's free memory goes back to the system, as the worker is kept for later tasks."""
     try:
         yield from batches
     finally:
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
-            trim(0)
+        release()
 
 
 class Memo(dict):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import BLOCK_BYTES, Memo, labelled_sample, words
+from gridlark.llm.common import BLOCK_BYTES, Memo, give_back, labelled_sample, release, words
 
 TERM_BITS = 20
 LETTERS = re.compile(rb"[a-z\x80-\xff]+")
@@ -148,9 +148,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Colum
 
     names = list(categories)
     sample = labelled_sample(docs, labels, [c.cast("int").alias(n) for n, c in categories.items()], rows)
-    got = sample.orderBy("doc_id").mapInArrow(terms, "terms array<int>, " + ", ".join(f"{n} int" for n in names)).toArrow()
-    flat = [np.asarray(x.values) for x in got.column("terms")]
-    return fit_chain(flat, np.stack([got.column(n).to_numpy() for n in names], 1).astype(int).reshape(-1, len(names)), names)
+    got = sample.orderBy("doc_id").mapInArrow(lambda batches: give_back(terms(batches)), "terms array<int>, " + ", ".join(f"{n} int" for n in names)).toArrow()
+    flat, known = [np.asarray(x.values) for x in got.column("terms")], np.stack([got.column(n).to_numpy() for n in names], 1).astype(int).reshape(-1, len(names))
+    del got
+    model = fit_chain(flat, known, names)
+    del flat
+    release()  # the driver lives on through all later stages
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ChainModel, *, text: str = "text", output: str = "toxicity") -> DataFrame:
@@ -158,8 +162,7 @@ def score_toxicity(docs: DataFrame, model: ChainModel, *, text: str = "text", ou
     names = model.categories
     kind = pa.struct([(n, pa.float64()) for n in names])
 
-    @F.arrow_udf(", ".join(f"{n} double" for n in names))
-    def scores(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def scored(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = model.scorer()
         for a in arrays:
             step = max(1, len(a) * BLOCK_BYTES // max(a.nbytes, 1))
@@ -167,4 +170,8 @@ def score_toxicity(docs: DataFrame, model: ChainModel, *, text: str = "text", ou
             rows = np.concatenate(parts) if parts else np.zeros((0, len(names)))
             yield pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(names))], fields=list(kind))
 
+    @F.arrow_udf(", ".join(f"{n} double" for n in names))
+    def scores(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return give_back(scored(arrays))
+
     return docs.withColumn(output, scores(docs[text]))

@@ -1,4 +1,5 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -81,3 +82,20 @@ def test_queries_hold_out(spark):
     assert np.mean([got[i].predicted == r.quality for i, r in labels.items() if got[i].held_out]) > 0.9
     flagged = {r.doc_id for r in queries.op3_toxicity(spark, SMALL).collect() if r.toxic}
     assert np.mean([(i in flagged) == bool(r.toxic) for i, r in labels.items()]) > 0.97
+
+
+def resident() -> int:
+    """MB of this process that are its own."""
+    size = Path("/proc/self/smaps_rollup").read_text()
+    return sum(int(line.split()[1]) for line in size.splitlines() if line.startswith("Pss_Anon:")) // 1024
+
+
+def test_driver_gives_back_what_the_fit_took(spark):
+    words = "array_join(transform(sequence(1, 200), i -> translate(hex(xxhash64(id, i) % 60000), '0123456789', 'ghijklmnop')), ' ')"
+    docs = spark.range(6000).selectExpr("id AS doc_id", f"{words} AS text")
+    labels = spark.range(6000).selectExpr("id AS doc_id", "cast(id % 3 = 0 AS int) AS toxic")
+    toxicity.fit_toxicity(docs.limit(10), labels, {"toxic": F.col("toxic")})
+    before = resident()
+    model = toxicity.fit_toxicity(docs, labels, {"toxic": F.col("toxic")})
+    assert model.weights.shape[0] == 1
+    assert resident() - before < 30
