@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -82,11 +83,11 @@ def _encoder(blob: bytes):
     return _processors[key]
 
 
-_CODEC = pa.Codec("zstd", 1)
+_CODEC = pa.Codec("zstd", 2)
 
 
 def pack(ids: bytes) -> bytes:
-    """Ids are stored and moved packed, which takes a third off them."""
+    """Ids are moved packed, which takes more than a third off them."""
     return _CODEC.compress(ids, asbytes=True)
 
 
@@ -112,6 +113,45 @@ def token_ids(docs: DataFrame, model_path: str) -> DataFrame:
     return docs.select("part", "doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(encoded, "part int, doc_id long, key long, n long, ids binary")
 
 
+def cut(batches: Iterator[pa.RecordBatch], starts: list[int], total: int, key: int, length: int) -> Iterator[pa.RecordBatch]:
+    """A range's share of each sequence that it reaches into, as one row whatever the number of its documents, and from
+    where in the sequence. Rows come range by range, in order. starts: where each range's tokens begin."""
+    now, upto, opened, held, rows = None, 0, 0, [], []
+
+    def close() -> None:
+        if held:
+            raw = b"".join(held)
+            rows.append((*divmod(opened, length), len(raw) // 2, pack(raw)))
+            held.clear()
+
+    def out() -> pa.RecordBatch:
+        number, at, n, data = zip(*rows)
+        rows.clear()
+        number = np.array(number, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(permute(number, total, key)), pa.array(number), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], ["slot", "number", "at", "n", "data"])
+
+    for b in batches:
+        for part, n, packed in zip(b.column("part").to_pylist(), b.column("n").to_pylist(), b.column("ids").to_pylist()):
+            if part != now:
+                close()
+                now, upto = part, starts[part]
+            ids, done = unpack(packed, n), 0
+            while done < n:
+                size = min(length - upto % length, n - done)
+                if not held:
+                    opened = upto
+                held.append(ids[2 * done : 2 * (done + size)])
+                done += size
+                upto += size
+                if upto % length == 0:
+                    close()
+            if len(rows) >= 2048:
+                yield out()
+    close()
+    if rows:
+        yield out()
+
+
 def training_order(df: DataFrame, model_path: str, *, doc_id: str = "doc_id", text: str = "text", key: int = 1, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES, range_rows: int = RANGE_ROWS) -> DataFrame:
     """slot, shard, byte_offset (in the shard), number (of the sequence before it was permuted), n_tokens (without PAD),
     tokens (binary, `length` little-endian 16-bit ids); partitions hold ranges of slots, each in order.
@@ -139,37 +179,9 @@ def training_order(df: DataFrame, model_path: str, *, doc_id: str = "doc_id", te
         starts.append(at)
         at += sums.get(p, 0)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A document's share of each sequence that it reaches into, and from where in the sequence. Rows come range by
-        range, in order."""
-        now, upto = None, 0
-        for b in batches:
-            rows: list[tuple] = []
-
-            def out() -> pa.RecordBatch:
-                number, at, n, data = zip(*rows)
-                rows.clear()
-                number = np.array(number, np.int64)
-                return pa.RecordBatch.from_arrays([pa.array(permute(number, total, key)), pa.array(number), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], ["slot", "number", "at", "n", "data"])
-
-            for part, n, packed in zip(b.column("part").to_pylist(), b.column("n").to_pylist(), b.column("ids").to_pylist()):
-                if part != now:
-                    now, upto = part, starts[part]
-                ids, start, done = unpack(packed, n), upto, 0
-                upto += n
-                while done < n:
-                    number, at = divmod(start + done, length)
-                    size = min(length - at, n - done)
-                    rows.append((number, at, size, pack(ids[2 * done : 2 * (done + size)])))
-                    done += size
-                if len(rows) >= 2048:
-                    yield out()
-            if rows:
-                yield out()
-
     shards = max(1, -(-total // shard_sequences))
     parts = min(shards, max(shuffle_partitions(docs), 2 * tokens // (64 << 20)))
-    dealt = placed.select("part", "n", "ids").mapInArrow(cut, "slot long, number long, at int, n int, data binary")
+    dealt = placed.select("part", "n", "ids").mapInArrow(partial(cut, starts=starts, total=total, key=key, length=length), "slot long, number long, at int, n int, data binary")
     shard = F.expr(f"slot div {shard_sequences}")
     dealt = dealt.repartitionById(parts, (shard * parts / shards).cast("int")).sortWithinPartitions("slot", "at")
     stride = 2 * length
