@@ -80,6 +80,17 @@ AGGREGATES = {
 }
 
 
+def summarise(df: DataFrame, by: list[str], c: str, names: list[str]) -> DataFrame:
+    """by and the AGGREGATES named, of c. The interquartile range comes from quantiles by ranges: as an aggregate, all distinct
+    values of a group meet in one task."""
+    plain = [n for n in names if n != "iqr"]
+    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), *(AGGREGATES[n](F.col(c)).alias(n) for n in plain))
+    if "iqr" in names:
+        ends = scan.few(scan.quantiles(df, by, F.col(c), {"__q1": 0.25, "__q3": 0.75}).select(F.struct(*by).alias("__by"), (F.col("__q3") - F.col("__q1")).alias("iqr")))
+        out = out.join(ends, F.struct(*by) == F.col("__by"), "left")
+    return out.select(*by, *names)
+
+
 def pmean(x: Column, p: float) -> Column:
     return F.exp(F.avg(F.log(x))) if p == 0 else F.pow(F.avg(F.pow(x, p)), 1 / p)
 
@@ -92,7 +103,7 @@ def moment(df: DataFrame, c: str, order: int) -> float:
 def median_abs_deviation(df: DataFrame, c: str, by: list[str]) -> DataFrame:
     """by, mad. Medians by ranges, for groups of any size."""
     mid = scan.quantiles(df, by, F.col(c), {"__mid": 0.5})
-    off = df.join(mid, by).select(*by, F.abs(F.col(c) - F.col("__mid")).alias("__off"))
+    off = df.join(scan.few(mid), by).select(*by, F.abs(F.col(c) - F.col("__mid")).alias("__off"))
     return scan.quantiles(off, by, F.col("__off"), {"mad": 0.5})
 
 
